@@ -70,16 +70,16 @@ _HOST_SQL = r"rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9
 
 ORACLE_SQL = {
     "op4_topk": """
-        with e as (select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
-                   where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-        s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(list_transform(q.v, x -> cast(x as double)), list_transform(c.v, x -> cast(x as double))) as bigint) as score
+        with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(list_transform(q.v, lambda x: cast(x as double)), list_transform(c.v, lambda x: cast(x as double))) as bigint) as score
               from e q, e c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 20""",
     "op10_url_filter": f"""
         with c as (select page_id, url, page_id % 365 as fetch_day, {_HOST_SQL} as host from pages),
         w as (select *, string_split(host, '.') as parts from c),
-        s as (select page_id, url, fetch_day, host, unnest(list_transform(range(1, len(parts) + 1), i -> array_to_string(list_slice(parts, i, len(parts)), '.'))) as rule from w where host <> ''),
+        s as (select page_id, url, fetch_day, host, unnest(list_transform(range(1, len(parts) + 1), lambda i: array_to_string(list_slice(parts, i, len(parts)), '.'))) as rule from w where host <> ''),
         m as (select distinct rule, md5(rule) as m from s where contains(rule, '.')),
         n as (select rule, cast('0x' || substr(m, 1, 3) as bigint) % 365 as a, cast('0x' || substr(m, 4, 3) as bigint) % 120 as b, cast('0x' || substr(m, 7, 3) as bigint) % 120 as d
               from m where cast('0x' || substr(m, 10, 3) as bigint) % 3 <> 0),
