@@ -32,6 +32,8 @@ from codeloom.llm.shingles import scramble, shingle_sets
 LEAST, HUNDRED = 75, 100
 #: Columns up to this length are squared at once.
 SHORT = 8
+#: A pair must share one more column for each DEPTH shingles of the smaller set; the columns taken grow by as much.
+DEPTH = 20
 #: The most common shingles that the order knows; from LOCAL in a task's batch on, a shingle is counted. Neither changes results, only cost.
 COMMON, LOCAL, COUNT_BATCH = 1 << 16, 4, 4 << 20
 #: Rows of a column that one task of the first pass holds, and of a tile of the second.
@@ -98,7 +100,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
 def _prefixes(docs: DataFrame, words: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
     """(h, part, s, n): for each set the shingles that its links must share one of; columns known to be long are dealt to several parts."""
     small_batches(docs.sparkSession, 2000)
-    parts = np.maximum(1, -(-counts // PART))
+    parts = np.where(counts > PART, -(-counts // PART), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -117,10 +119,10 @@ def _prefixes(docs: DataFrame, words: int, common: np.ndarray, counts: np.ndarra
             often = np.where(known, counts[place], 0) if len(common) else np.zeros(len(h), dtype=np.int64)
             order = np.lexsort((h, often, owner))
             at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            taken = order[at < np.repeat(n - -(-n * LEAST // HUNDRED) + 1, n)]
+            taken = order[at < np.repeat(n - -(-n * LEAST // HUNDRED) + 1 + n // DEPTH, n)]
             s = np.array([k for k, _ in sets], dtype=np.int64)[owner[taken]]
-            many = np.where(known, parts[place], 1)[taken] if len(common) else np.ones(len(taken), dtype=np.int64)
-            part = (s.view(np.uint64) % many.astype(np.uint64)).astype(np.int32)
+            many = np.where(known, parts[place], 0)[taken] if len(common) else np.zeros(len(taken), dtype=np.int64)
+            part = np.where(many > 0, 1 + s.view(np.uint64) % np.maximum(many, 1).astype(np.uint64), 0).astype(np.int32)  # 0: not dealt
             yield pa.RecordBatch.from_arrays([_i64(h[taken]), pa.array(part), pa.array(s), pa.array(n[owner[taken]].astype(np.int32))], names=["h", "part", "s", "n"])
 
     return docs.select("text").mapInArrow(run, "h long, part int, s long, n int")
@@ -132,7 +134,7 @@ def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(postings: DataFrame) -> DataFrame:
-    """(a, na, b, nb, h) from the columns of a block: pairs to count, with h null; and rows of long columns (a, na), with b null and h set."""
+    """(a, na, b, nb, c, h) from the columns of a block: pairs and the short columns they share, with h null; and rows of long columns (a, na), with b null and h set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -150,27 +152,35 @@ def _first_pass(postings: DataFrame) -> DataFrame:
         size = np.diff(np.append(begin, len(h)))
         group = np.cumsum(start) - 1
         left, right = [], []
+        long = (size[group] > SHORT) | (part > 0)
         for k in range(1, SHORT):  # short columns: every pair, by distance
             i = np.flatnonzero(group[k:] == group[:-k])
-            i = i[size[group[i]] <= SHORT]
+            i = i[~long[i]]
             left.append(i)
             right.append(i + k)
-        long = size[group] > SHORT
+        short = sum(map(len, left))
         i = np.flatnonzero(long & ~start)  # long ones: the first row is the pivot
         left.append(begin[group[i]])
         right.append(i)
         a, b = np.concatenate(left), np.concatenate(right)
-        fit = _within(n[a], n[b]) & (s[a] != s[b])
-        a, b = a[fit], b[fit]
-        _, one = np.unique(np.stack((s[a], s[b]), axis=1), axis=0, return_index=True)
+        counts = np.arange(len(a)) < short
+        fit = _within(n[a], n[b])
+        a, b, counts = a[fit], b[fit], counts[fit]
+        order = np.lexsort((s[b], s[a]))
+        a, b, counts = a[order], b[order], counts[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (s[a[1:]] != s[a[:-1]]) | (s[b[1:]] != s[b[:-1]])
+        one = np.flatnonzero(new)
+        c = np.add.reduceat(counts.astype(np.int64), one) if len(one) else np.empty(0, dtype=np.int64)
         a, b = a[one], b[one]
-        names = ["a", "na", "b", "nb", "h"]
-        yield pa.RecordBatch.from_arrays([_i64(s[a]), _i64(n[a]), _i64(s[b]), _i64(n[b]), pa.nulls(len(a), pa.int64())], names=names)
+        names = ["a", "na", "b", "nb", "c", "h"]
+        yield pa.RecordBatch.from_arrays([_i64(s[a]), _i64(n[a]), _i64(s[b]), _i64(n[b]), _i64(c), pa.nulls(len(a), pa.int64())], names=names)
         j = np.flatnonzero(long)
-        yield pa.RecordBatch.from_arrays([_i64(s[j]), _i64(n[j]), pa.nulls(len(j), pa.int64()), pa.nulls(len(j), pa.int64()), _i64(h[j])], names=names)
+        none = pa.nulls(len(j), pa.int64())
+        yield pa.RecordBatch.from_arrays([_i64(s[j]), _i64(n[j]), none, none, none, _i64(h[j])], names=names)
 
     dealt = postings.repartition(partitions(postings.sparkSession), "h", "part")
-    return dealt.mapInArrow(run, "a long, na long, b long, nb long, h long")
+    return dealt.mapInArrow(run, "a long, na long, b long, nb long, c long, h long")
 
 
 def _second_pass(columns: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,6 +286,14 @@ def _close(sig: str, other: str, n: str, m: str) -> Column:
     return HUNDRED * most >= LEAST * (F.col(n) + F.col(m) - most)
 
 
+def _enough(pairs: DataFrame, long: DataFrame) -> DataFrame:
+    """Marks pairs that may share as many columns as their sizes ask for: c short ones, and long ones as far as both are in any."""
+    one, two = long.select(F.col("s").alias("a"), F.col("k").alias("ka")), long.select(F.col("s").alias("b"), F.col("k").alias("kb"))
+    most = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
+    asked = 1 + F.floor(F.least("na", "nb") / DEPTH)
+    return pairs.join(one, "a", "left").join(two, "b", "left").withColumn("enough", most >= asked)
+
+
 def _count(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) that link: overlaps counted exactly from the whole sets.
 
@@ -375,11 +393,15 @@ def classes(docs: DataFrame, words: int = 5) -> DataFrame:
     common = top.h.to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(common)
     first = stash(_first_pass(_prefixes(docs, words, common[order], top.c.to_numpy().astype(np.int64)[order])))
-    pairs = first.where("h is null").select("a", "na", "b", "nb").dropDuplicates(["a", "b"])
+    pairs = first.where("h is null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
     columns = first.where("h is not null").select("h", F.col("a").alias("s"), F.col("na").alias("n")).distinct()
-    links = _count(pairs, docs, sets, words)
+    long = stash(columns.groupBy("s").agg(F.count("*").alias("k")))
+    pairs = stash(_enough(pairs, long).select("a", "na", "b", "nb", "c", "enough"))
+    links = _count(pairs.where("enough"), docs, sets, words)
     label = components(links)
-    rest = stash(_second_pass(columns, label, sets))
+    rest = _second_pass(columns, label, sets).join(pairs.select("a", "b", "c"), ["a", "b"], "left")
+    # pairs known from short columns that passed the bound are counted already
+    rest = stash(_enough(rest.withColumn("c", F.coalesce("c", F.lit(0))), long).where("enough").join(pairs.where("enough").select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
     if rest.limit(1).count():
         more = _count(rest, docs, sets, words)
         up = lambda name: F.coalesce(name, F.col(name[0]))
