@@ -221,7 +221,7 @@ def _second_pass(columns: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
         def tile_done(held: list[pa.RecordBatch]) -> None:
             t = pa.Table.from_batches(held)
             col = lambda name: t.column(name).to_numpy()
-            sig = np.array(t.column("sig").combine_chunks().flatten().to_numpy()).reshape(-1, WORDS)
+            sig = np.array(t.column("sig").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(-1, WORDS)  # bits of signed numbers would be counted by magnitude
             s, n = col("s"), col("n").astype(np.int64)
             for ij in product(None, col("lo")[0], col("hi")[0], col("mine"), s, n, col("c"), sig):
                 x, y = ij[:, 0], ij[:, 1]
