@@ -40,6 +40,8 @@ COMMON, LOCAL, COUNT_BATCH = 1 << 16, 4, 4 << 20
 PART, TILE = 8192, 4096
 #: Members of a pivot counted by one task, and 64-bit words of a signature.
 MEMBERS, WORDS = 512, 8
+#: Columns of a set by which the first one that a pair shares is found.
+FIRSTS = 8
 #: Bits of the filter that picks the texts whose sets are needed, at most.
 FILTER_BITS = 1 << 24
 NARROW = 4000
@@ -183,11 +185,13 @@ def _first_pass(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, na long, b long, nb long, c long, h long")
 
 
-def _second_pass(columns: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _second_pass(columns: DataFrame, labels: DataFrame, sets: DataFrame, long: DataFrame) -> DataFrame:
     """(a, na, b, nb): pairs of different components that share a long column and whose sizes and signatures allow the threshold.
 
     A column is cut into parts of about TILE rows and every two parts meet in
-    a task of their own, so no task holds a column.
+    a task of their own, so no task holds a column. A pair comes from the first
+    column that it shares: it is known where both rows have one of their FIRSTS
+    smallest columns in common, else the pair comes from each.
     """
     spark = columns.sparkSession
     small_batches(spark, NARROW)
@@ -195,12 +199,13 @@ def _second_pass(columns: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
     # columns that are one component by now are done
     alive = c.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
     c = c.join(alive, "h").join(sets.select(F.col("s").alias("s2"), "sig"), F.col("s") == F.col("s2")).drop("s2")
+    c = c.join(long.select("s", "firsts"), "s")
     c = c.withColumn("p", F.pmod(F.xxhash64("s"), F.col("k")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    tile = c.select("h", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), F.col("p").alias("mine"), "s", "n", "c", "sig")
+    tile = c.select("h", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), F.col("p").alias("mine"), "s", "n", "c", "sig", "firsts")
 
-    def product(h: np.ndarray, lo, hi, mine, s, n, c, sig) -> Iterator[np.ndarray]:
+    def product(h: int, lo, hi, mine, n, c, sig, firsts) -> Iterator[np.ndarray]:
         if lo == hi:
-            left = right = np.arange(len(s))
+            left = right = np.arange(len(n))
         else:
             left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
         for at in range(0, len(left), 256):
@@ -212,7 +217,10 @@ def _second_pass(columns: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
             x, y = i[x], right[y]
             far = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64)
             most = (n[x] + n[y] - far) // 2
-            good = HUNDRED * most >= LEAST * (n[x] + n[y] - most)
+            good = np.flatnonzero(HUNDRED * most >= LEAST * (n[x] + n[y] - most))
+            same = firsts[x[good]][:, :, None] == firsts[y[good]][:, None, :]
+            known = np.where(same.any(axis=2), firsts[x[good]], np.iinfo(np.int64).max).min(axis=1)
+            good = good[(known == h) | ~same.any(axis=(1, 2))]
             yield np.stack((x[good], y[good]), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +231,8 @@ def _second_pass(columns: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
             col = lambda name: t.column(name).to_numpy()
             sig = np.array(t.column("sig").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(-1, WORDS)  # bits of signed numbers would be counted by magnitude
             s, n = col("s"), col("n").astype(np.int64)
-            for ij in product(None, col("lo")[0], col("hi")[0], col("mine"), s, n, col("c"), sig):
+            firsts = np.array(t.column("firsts").combine_chunks().flatten().to_numpy()).reshape(-1, FIRSTS)
+            for ij in product(col("h")[0], col("lo")[0], col("hi")[0], col("mine"), n, col("c"), sig, firsts):
                 x, y = ij[:, 0], ij[:, 1]
                 swap = s[x] > s[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
@@ -395,11 +404,13 @@ def classes(docs: DataFrame, words: int = 5) -> DataFrame:
     first = stash(_first_pass(_prefixes(docs, words, common[order], top.c.to_numpy().astype(np.int64)[order])))
     pairs = first.where("h is null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
     columns = first.where("h is not null").select("h", F.col("a").alias("s"), F.col("na").alias("n")).distinct()
-    long = stash(columns.groupBy("s").agg(F.count("*").alias("k")))
+    some = F.slice(F.sort_array(F.collect_list("h")), 1, FIRSTS)
+    # as many for each set: its own key, which is no column, fills the rest
+    long = stash(columns.groupBy("s").agg(F.count("*").alias("k"), some.alias("f")).select("s", "k", F.concat("f", F.array_repeat("s", FIRSTS - F.size("f"))).alias("firsts")))
     pairs = stash(_enough(pairs, long).select("a", "na", "b", "nb", "c", "enough"))
     links = _count(pairs.where("enough"), docs, sets, words)
     label = components(links)
-    rest = _second_pass(columns, label, sets).join(pairs.select("a", "b", "c"), ["a", "b"], "left")
+    rest = _second_pass(columns, label, sets, long).join(pairs.select("a", "b", "c"), ["a", "b"], "left")
     # pairs known from short columns that passed the bound are counted already
     rest = stash(_enough(rest.withColumn("c", F.coalesce("c", F.lit(0))), long).where("enough").join(pairs.where("enough").select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
     if rest.limit(1).count():
