@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled
     the FEATURES with the largest association (of either sign) with the label,
     from counts summed over the executors. Rows without label or text, and
     documents of an id with contradicting labels, teach nothing. Without
-    labelled rows the chain gives probability 0.5 and rejects nothing.
+    labelled rows of both kinds the chain gives probability 0 and rejects
+    nothing.
     """
     spark = docs.sparkSession
     names = [*CATEGORY_WORDS, label]
@@ -208,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled
     counts = stash(sample.select("text", "y").mapInArrow(count, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     n = counts.where("f = -1").first()
     if not n or not n.a or not n.b:
-        return Chain(names, np.empty(0, dtype=np.int64), [np.zeros(1 + k) for k in range(len(names))])
+        return Chain(names, np.empty(0, dtype=np.int64), [np.append(np.zeros(k), -30.0) for k in range(len(names))])
     rate_a, rate_b = (F.col("a") + 0.5) / (n.a + 1.0), (F.col("b") + 0.5) / (n.b + 1.0)
     pooled = (F.col("a") + F.col("b") + 1.0) / (n.a + n.b + 2.0)
     z = F.abs(rate_b - rate_a) / F.sqrt(pooled * (1 - pooled) * (1 / n.a + 1 / n.b))
