@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
-from codeloom.operators import mining, search, traverse
+from codeloom.operators import mining, search, structure, traverse
 from codeloom.plans.dsl import Engine
 from codeloom.plans.graph import from_tables
 from codeloom.streaming import events as streams
@@ -342,3 +342,27 @@ def session_windows(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["dsl_depth"](spark, sf_dir)
+
+
+# --- structure ---
+
+
+@query("""with k as (select e.weight, a.kind as x, b.kind as y from edges e join nodes a on a.id = e.src join nodes b on b.id = e.dst),
+  s as (select c, sum(weight) as ends, sum(inside) as inside from (select x as c, weight, case when x = y then weight else 0.0 end as inside from k union all select y, weight, 0.0 from k) group by c)
+  select round(2 * sum(inside) / sum(ends) - sum(ends * ends) / (sum(ends) * sum(ends)), 9) as modularity from s""")
+def modularity_of_kinds(spark, sf_dir):
+    g = from_tables(spark, sf_dir)
+    return structure.modularity(g.edges, g.nodes.select("id", F.col("kind").alias("community"))).select(F.round("modularity", 9).alias("modularity"))
+
+
+@query("""with c as (select r.src as region, r.dst as nation, n.dst as child from edges r join edges n on n.src = r.dst and n.kind = 'Contains' where r.src = 'region:0'),
+  o as (select c.*, e.dst as ord from c join edges e on e.src = c.child and e.kind = 'Calls'),
+  p as (select o.*, e.dst as part from o join edges e on e.src = o.ord and e.kind = 'UsesType'),
+  m as (select part as id, min(region) as r0, max(region) as r1, min(nation) as n0, max(nation) as n1, min(child) as c0, max(child) as c1, min(ord) as o0, max(ord) as o1 from p group by part)
+  select id, r0 as dominator from m where r0 = r1 union all select id, n0 from m where n0 = n1 union all select id, c0 from m where c0 = c1 union all select id, o0 from m where o0 = o1 union all select id, id from m
+  union all select distinct ord, region from o union all select ord, nation from o union all select ord, child from o union all select ord, ord from o
+  union all select child, region from c union all select child, nation from c union all select child, child from c
+  union all select distinct nation, region from c union all select distinct nation, nation from c union all select distinct region, region from c""")
+def dominator_pairs(spark, sf_dir):
+    g = from_tables(spark, sf_dir)
+    return structure.dominators(g.edges_of_kind("Contains", "Calls", "UsesType"), g.nodes.where("id = 'region:0'").select("id"))
