@@ -2,11 +2,15 @@
 
     expr   := term { (union | intersect | diff | \\) term }       left to right, one level
     term   := atom { "|" op }
-    atom   := fn("x") | type("x") | all | ( expr )
+    atom   := fn("x") | type("x") | all | ( expr ) | name | entrypoints [kind=E]
+            | path atom -> atom {limit} | paths atom -> atom {limit} | multi_path { atom, ... } -> atom [depth N]
+            | dominators of atom | dominates atom | trait_impls of atom
+    limit  := where intermediate kind=K | via K | depth N
     op     := callers | callees | depth N | filter kind=K | since R | taint | preconditions
             | hot N | scc | dispatch | trait_impls | affected N since R
-            | reachable via "P" [incoming | outgoing]
-    query  := expr | count expr | sum F expr | avg F expr | top_k_by F K expr | group_by F expr
+            | reachable via "P" [incoming | outgoing] | cluster by type | communities | co_changes
+            | untested | possible_types | complexity | cfg | dataflow | show fields|signature|body
+    query  := explain query | expr | count expr | sum F expr | avg F expr | top_k_by F K expr | group_by F expr
             | exists expr | forall kind=K expr | edges_of expr | edges_kind K | let x = expr in query
 """
 
@@ -18,10 +22,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators import traverse
-from codeloom.plans.graph import CALL_KINDS, EDGE_KINDS, NODE_KINDS, TYPE_KINDS, PropertyGraph
+from codeloom.operators import communities, mining, paths, structure, traverse
+from codeloom.plans.graph import CALL_KINDS, EDGE_KINDS, ENTRY_KINDS, NODE_KINDS, TYPE_KINDS, PropertyGraph
 
-_TOKEN = re.compile(r'\s*(?:(?P<str>"[^"]*")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>[|()=\\]))')
+_TOKEN = re.compile(r'\s*(?:(?P<str>"[^"]*")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>->|→|[|()=\\{},]))')
+#: Columns that a query shows; body shows all.
+_SHOWN = {"fields": ("id", "kind", "name"), "signature": ("id", "kind", "name", "qualified_name", "file_path"), "body": None}
+#: Operators that keep the nodes with a metadata entry, by its key.
+_KEPT = ("possible_types", "complexity", "cfg", "dataflow")
 _SETS = {"union": "union", "intersect": "intersect", "diff": "diff", "\\": "diff"}
 
 
@@ -33,6 +41,7 @@ class QueryError(ValueError):
 class _Reader:
     tokens: list
     at: int = 0
+    shown: str = "body"
 
     @classmethod
     def of(cls, text: str) -> _Reader:
@@ -79,6 +88,64 @@ class Engine:
         near, far = ("dst", "src") if back else ("src", "dst")
         return e.join(w, e[near] == w.id, "left_semi").select(F.col(far).alias("id")).distinct()
 
+    def _arrow(self, r: _Reader, scope: dict) -> DataFrame:
+        if r.peek() not in ("->", "→"):
+            raise QueryError(f"expected ->, found {r.peek()!r}")
+        r.take()
+        return self._atom(r, scope)
+
+    def _paths(self, r: _Reader, scope: dict, every: bool) -> DataFrame:
+        """Nodes on the paths between two sets that keep to the limits."""
+        g = self.graph
+        sources, targets = self._atom(r, scope), self._arrow(r, scope)
+        kind = edge = None
+        most = paths.HOPS
+        while r.peek() in ("where", "via", "depth"):
+            match r.take():
+                case "where":
+                    for word in ("intermediate", "kind", "="):
+                        r.take(value=word)
+                    kind = _kind(r, NODE_KINDS)
+                case "via":
+                    edge = _kind(r, EDGE_KINDS)
+                case _:
+                    most = int(r.take("num"))
+        found = (paths.all_paths if every else paths.shortest_paths)(g.edges, sources, targets, most)
+        if kind:
+            found = paths.through_kind(found, g.nodes, kind)
+        if edge:
+            found = paths.via_edge(found, g.edges, edge)
+        return found.select(F.explode("path").alias("id")).distinct()
+
+    def _multi_path(self, r: _Reader, scope: dict) -> DataFrame:
+        r.take(value="{")
+        sources = self._atom(r, scope)
+        while r.peek() == ",":
+            r.take()
+            if r.peek() != "}":
+                sources = sources.union(self._atom(r, scope))
+        r.take(value="}")
+        targets, most = self._arrow(r, scope), paths.HOPS
+        if r.peek() == "depth":
+            r.take()
+            most = int(r.take("num"))
+        return paths.nearest_paths(self.graph.edges, sources, targets, most).select(F.explode("path").alias("id")).distinct()
+
+    def _dominator_pairs(self) -> DataFrame:
+        """From `main`, or else from the function that most edges lead to; ties to the smallest id."""
+        g = self.graph
+        fan = g.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+        root = g.of_kind("Function").join(fan, "id", "left").orderBy(F.desc(F.col("name") == "main"), F.desc_nulls_last("n"), "id").limit(1).select("id")
+        return structure.dominators(g.edges, root)
+
+    def _entrypoints(self, r: _Reader) -> DataFrame:
+        found = paths.entrypoints(self.graph.nodes, self.graph.edges, reach=False)
+        if r.peek() == "kind":
+            r.take()
+            r.take(value="=")
+            found = found.where(F.col("entry") == _kind(r, ENTRY_KINDS))
+        return self._ids(found)
+
     def _atom(self, r: _Reader, scope: dict) -> DataFrame:
         word = r.take()
         if word == "(":
@@ -92,6 +159,22 @@ class Engine:
             return self._ids(self.graph.named(text, *(("Function",) if word == "fn" else TYPE_KINDS)))
         if word == "all":
             return self._ids(self.graph.nodes)
+        match word:
+            case "entrypoints":
+                return self._entrypoints(r)
+            case "path" | "paths":
+                return self._paths(r, scope, word == "paths")
+            case "multi_path":
+                return self._multi_path(r, scope)
+            case "dominators":
+                r.take(value="of")
+                pairs = self._dominator_pairs()
+                return pairs.join(self._atom(r, scope), "id", "left_semi").select(F.col("dominator").alias("id")).distinct()
+            case "dominates":
+                return self._ids(self._dominator_pairs().join(self._atom(r, scope).select(F.col("id").alias("dominator")), "dominator", "left_semi"))
+            case "trait_impls":
+                r.take(value="of")
+                return self._step(self._atom(r, scope), ("Implements",), back=True)
         if word in scope:
             return scope[word]
         raise QueryError(f"unknown selector {word!r}")
@@ -141,8 +224,42 @@ class Engine:
                 if r.peek() in ("incoming", "outgoing"):
                     r.take()
                 return traverse.reachable(g.edges, w, pattern, incoming)
+            case "cluster":
+                r.take(value="by")
+                r.take(value="type")
+                return self._ids(communities.clusters_by_type(g.nodes, g.edges).join(w, "id", "left_semi"))
+            case "communities":
+                return self._ids(self.communities().join(w, "id", "left_semi"))
+            case "co_changes":
+                return w.union(self._coupled(w)).distinct()
+            case "untested":
+                return self._ids(nodes().where(F.coalesce(g.meta("coverage_tested"), F.lit("")) != "true"))
+            case "entrypoints":
+                return self._entrypoints(r).join(w, "id", "left_semi")
+            case "show":
+                r.shown = r.take("name")
+                if r.shown not in _SHOWN:
+                    raise QueryError(f"unknown projection {r.shown!r}; known: {', '.join(_SHOWN)}")
+                return w
+        if word in _KEPT:
+            return self._ids(nodes().where(g.meta(word).isNotNull()))
         raise QueryError(f"unknown operator {word!r}")
 
+    def communities(self) -> DataFrame:
+        """(id, community) of the nodes that calls touch."""
+        return communities.communities(self.graph.edges_of_kind(*CALL_KINDS))
+
+    def _coupled(self, w: DataFrame) -> DataFrame:
+        """Nodes of the files that changed at least twice together with a file of w."""
+        g = self.graph
+        if g.history is None:
+            raise QueryError("co_changes needs a graph with history")
+        pairs = mining.co_change(g.history.select("commit", "item"))
+        files = g.nodes.join(w, "id", "left_semi").select("file_path").distinct()
+        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = both.join(files, both.a == files.file_path, "left_semi").select(F.col("b").alias("file_path")).distinct()
+        return self._ids(g.nodes.join(others, "file_path", "left_semi"))
+
     def _term(self, r: _Reader, scope: dict) -> DataFrame:
         out = self._atom(r, scope)
         while r.peek() == "|":
@@ -202,7 +319,54 @@ class Engine:
     def query(self, text: str, max_nodes: int | None = None) -> DataFrame:
         """Nodes, edges, a scalar row or groups, by the kind of query."""
         r = _Reader.of(text)
+        if r.peek() == "explain":
+            lines = list(enumerate(self.explain(text.split("explain", 1)[1])))
+            return self.graph.nodes.sparkSession.createDataFrame(lines, "step int, text string")
         out = self._aggregate(r, {})
         if r.at < len(r.tokens):
             raise QueryError(f"left over: {r.peek()!r}")
+        if _SHOWN[r.shown] and "id" in out.columns:
+            out = out.select(*_SHOWN[r.shown])
         return out.orderBy("id").limit(max_nodes) if max_nodes and "id" in out.columns else out
+
+    def explain(self, text: str) -> list[str]:
+        """The steps of a query in the order they are taken; nothing is run."""
+        steps, depth = [[]], 0
+        for kind, word in _Reader.of(text).tokens:
+            depth += {"(": 1, ")": -1}.get(word, 0)
+            if depth == 0 and (word == "|" or word in _SETS and kind != "str"):
+                steps.append([] if word == "|" else [word])
+            else:
+                steps[-1].append(word)
+        return [" ".join(s) for s in steps]
+
+    def stages(self, text: str) -> list[tuple[str, DataFrame]]:
+        """(step, ids) after each pipe of a query of one term, from its selector on."""
+        r = _Reader.of(text)
+        begin, out = 0, []
+        w = self._atom(r, {})
+        while True:
+            out.append((" ".join(x for _, x in r.tokens[begin : r.at]), w))
+            if r.peek() != "|":
+                break
+            r.take()
+            begin, w = r.at, self._op(r, w)
+        if r.at < len(r.tokens):
+            raise QueryError(f"only pipes have stages, found {r.peek()!r}")
+        return out
+
+    def provenance(self, text: str) -> DataFrame:
+        """(stage, step, id, sources): the nodes after each pipe, and those of the stage before that are the node itself or next to it."""
+        near = traverse.both_ways(self.graph.edges.select("src", "dst")).distinct()
+        last = rows = None
+        for k, (step, w) in enumerate(self.stages(text)):
+            own = w.select(F.lit(k).alias("stage"), F.lit(step).alias("step"), "id")
+            if last is None:
+                own = own.withColumn("sources", F.array().cast("array<string>"))
+            else:
+                from_ = last.select(F.col("id").alias("was"))
+                come = near.join(from_, near.src == from_.was, "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("was")).unionByName(from_.select(F.col("was").alias("id"), "was"))
+                lists = come.join(w, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("was")).alias("sources"))
+                own = own.join(lists, "id", "left").select("stage", "step", "id", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+            rows, last = own if rows is None else rows.unionByName(own), w
+        return rows

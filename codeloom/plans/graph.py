@@ -1,7 +1,8 @@
 """The property graph: nodes and edges as DataFrames, and the view of the driver's tables as one.
 
-nodes: id, kind, name, qualified_name, file_path, revision, score
+nodes: id, kind, name, qualified_name, file_path, revision, score; optional: metadata (map of strings), visibility
 edges: src, dst, kind, weight
+history, where known: commit, item (a file path)
 """
 
 from __future__ import annotations
@@ -14,13 +15,20 @@ from pyspark.sql import functions as F
 NODE_KINDS = ("Function", "Struct", "Enum", "Module", "Trait", "EnumVariant", "Field", "TypeAlias", "Constant", "Interface")
 TYPE_KINDS = ("Struct", "Enum", "Trait")
 CALL_KINDS = ("Calls", "UnresolvedCall")
-EDGE_KINDS = ("Calls", "UnresolvedCall", "ExternalCall", "Contains", "Implements", "UsesType", "References", "Returns", "TypeOf", "Imports")
+EDGE_KINDS = ("Calls", "UnresolvedCall", "ExternalCall", "Contains", "Implements", "Extends", "UsesType", "References", "Returns", "TypeOf", "Imports")
+
+ENTRY_KINDS = ("Main", "PublicApi", "Test", "Bench", "FfiExport")
 
 
 @dataclass(frozen=True)
 class PropertyGraph:
     nodes: DataFrame
     edges: DataFrame
+    history: DataFrame | None = None
+
+    def meta(self, key: str) -> Column:
+        """A node's metadata entry, null where there is none."""
+        return F.col("metadata")[key] if "metadata" in self.nodes.columns else F.lit(None).cast("string")
 
     def of_kind(self, *kinds: str) -> DataFrame:
         return self.nodes.where(F.col("kind").isin(*kinds))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
-from codeloom.operators import mining, search, structure, traverse
+from codeloom.operators import communities, mining, paths, search, structure, traverse
 from codeloom.plans.dsl import Engine
 from codeloom.plans.graph import from_tables
 from codeloom.streaming import events as streams
@@ -366,3 +366,55 @@ def modularity_of_kinds(spark, sf_dir):
 def dominator_pairs(spark, sf_dir):
     g = from_tables(spark, sf_dir)
     return structure.dominators(g.edges_of_kind("Contains", "Calls", "UsesType"), g.nodes.where("id = 'region:0'").select("id"))
+
+
+# --- paths, dependents, communities ---
+
+dsl("dsl_path", 'path fn("Customer#00000001") -> fn("order_1") depth 1', """with p as (select a.id as a, b.id as b from edges e join nodes a on a.id = e.src join nodes b on b.id = e.dst
+  where a.kind = 'Function' and b.kind = 'Function' and contains(lower(a.name), 'customer#00000001') and contains(b.name, 'order_1')) select a as id from p union select b from p""", "id")
+
+CHAIN_SQL = """with p as (select c.src as a, c.dst as b, u.dst as c, i.dst as d, c.weight + u.weight + i.weight as cost from edges c join edges u on u.src = c.dst and u.kind = 'UsesType'
+  join edges i on i.src = u.dst and i.kind = 'Implements' join nodes n on n.id = c.src join nodes m on m.id = i.dst where c.kind = 'Calls' and contains(lower(n.name), 'customer#00000001') and contains(lower(m.name), 'supplier#00000001'))
+"""
+
+dsl("dsl_paths_via", 'paths fn("Customer#00000001") -> type("Supplier#00000001") via Implements depth 3', CHAIN_SQL + "select a as id from p union select b from p union select c from p union select d from p", "id")
+
+dsl("dsl_dominates", 'dominates fn("Customer#000000000")', """with o as (select dst as id from edges where src = 'customer:0'), p as (select distinct dst as id from edges where src in (select id from o))
+  select 'customer:0' as id union select id from o union select id from p union select dst from edges where src in (select id from p)""", "id")
+
+
+@query(CHAIN_SQL + "select array_to_string([a, b, c, d], '>') as path, cost from p order by cost, [a, b, c, d] limit 10")
+def cheapest_paths(spark, sf_dir):
+    g = from_tables(spark, sf_dir)
+    ends = g.named("Customer#00000001", "Function").select("id"), g.named("Supplier#00000001", "Trait").select("id")
+    return paths.k_shortest(g.edges, *ends, 10, 3).select(F.array_join("path", ">").alias("path"), "cost")
+
+
+@query("""select 'part:1' as id, 0 as depth union all select distinct src, 1 from edges where dst = 'part:1' and kind <> 'Contains'
+  union all select distinct c.src, 2 from edges u join edges c on c.dst = u.src and c.kind <> 'Contains' where u.dst = 'part:1' and u.kind <> 'Contains'""")
+def impact_radius(spark, sf_dir):
+    g = from_tables(spark, sf_dir)
+    return paths.impact(g.edges, g.nodes.where("id = 'part:1'").select("id"))
+
+
+@query("""with n as (select n.id, e.src as a, f.src as b from nodes n join edges e on e.dst = n.id and e.kind = 'Contains' join edges f on f.dst = e.src and f.kind = 'Contains' where n.kind = 'Trait')
+  select id, a as ancestor, 1 as depth from n union all select id, b, 2 from n""")
+def containment_chains(spark, sf_dir):
+    g = from_tables(spark, sf_dir)
+    return paths.ancestors(g.edges, g.of_kind("Trait").select("id"))
+
+
+@query(TRANSITIONS_SQL + "select e.src, e.dst from e where exists (select 1 from e f join walk w on w.src = f.dst and w.dst = e.dst where f.src = e.src)", graph=False)
+def redundant_edges(spark, sf_dir):
+    return paths.redundant_edges(_transitions(spark, sf_dir).where("src < dst").distinct())
+
+
+@query("select src as id, min(dst) as type from edges where kind = 'UsesType' group by src")
+def clusters_by_type(spark, sf_dir):
+    g = from_tables(spark, sf_dir)
+    return communities.clusters_by_type(g.nodes, g.edges)
+
+
+@query("select dst as id, src as community from edges where kind = 'Calls' union select src, src from edges where kind = 'Calls'")
+def call_communities(spark, sf_dir):
+    return Engine(from_tables(spark, sf_dir)).communities()
