@@ -184,6 +184,13 @@ def weak_components(spark, sf_dir):
     return traverse.components(li.select(F.concat(F.lit("p:"), "l_partkey").alias("src"), F.concat(F.lit("s:"), "l_suppkey").alias("dst")))
 
 
+@query()
+def weak_components_of_all(spark, sf_dir):
+    """No SQL: the recursive one holds every pair of a component."""
+    li = _t(spark, sf_dir, "lineitem")
+    return traverse.components(li.select(F.concat(F.lit("p:"), "l_partkey").alias("src"), F.concat(F.lit("s:"), "l_suppkey").alias("dst")))
+
+
 PAGERANK_SQL = """with deg as (select src, count(*) as d from edges group by src), l as (select distinct src, dst from edges), n as (select count(*) as n from nodes),
 r0 as (select id, 1.0 / n as r from nodes, n),
 """ + ",\n".join(
