@@ -92,19 +92,24 @@ def reachable(edges: DataFrame, seeds: DataFrame, pattern: str, incoming: bool =
         seen, frontier = cut(seen.unionByName(new)), new
 
 
-def shortest_distances(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
-    """(id, distance) by weight from the seeds: rounds of relaxation of what changed."""
+def shortest_distances(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, distance) by weight from the seeds: rounds of relaxation of what changed, until nothing does.
+
+    A cycle of negative weight has no least distance and is an error.
+    """
     best = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0.0)))
-    changed = best
-    for _ in range(most):
+    changed, hops = best, 0
+    while True:
         step = edges.join(changed, edges.src == changed.id).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
         both = cut(best.join(step, "id", "full_outer"))
         better = F.col("distance").isNull() | (F.col("new") < F.col("distance"))
         changed = cut(both.where(F.col("new").isNotNull() & better).select("id", F.col("new").alias("distance")))
         best = both.select("id", F.least("distance", "new").alias("distance"))
         if not changed.limit(1).count():
-            break
-    return best
+            return best
+        hops += 1
+        if hops >= both.count():  # a path without a cycle has fewer hops than there are nodes
+            raise ValueError("a cycle of negative weight")
 
 
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int) -> DataFrame:
@@ -135,18 +140,40 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def _on_cycles(links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and ids without the nodes that nothing leads to or that lead to nothing, until there are none."""
+    n = ids.count()
+    while n:
+        ids = cut(links.select(F.col("src").alias("id")).distinct().join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"))
+        left = ids.count()
+        if left == n:
+            break
+        links, n = cut(_within(links, ids)), left
+    return links, ids
+
+
+def _within(links: DataFrame, ids: DataFrame) -> DataFrame:
+    keep = ids.select(F.col("id").alias("k"))
+    return links.join(keep, links.src == keep.k, "left_semi").join(keep, links.dst == keep.k, "left_semi")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components by colouring; the component's name is its largest id.
 
-    Each round gives every node the largest id that reaches it and takes,
-    within a colour, what reaches back to the node that names it.
+    Each round peels off the nodes that no cycle can hold, gives every other
+    node the largest id that reaches it and takes, within a colour, what
+    reaches back to the node that names it.
     """
     rest = cut(edges.select("src", "dst").distinct())
     ids = cut(rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct())
-    done = None
-    for _ in range(rounds):
+    rest = rest.where("src <> dst")
+    done = ids.limit(0).select("id", F.col("id").alias("component"))
+    while True:
+        rest, core = _on_cycles(rest, ids)
+        alone = ids.join(core, "id", "left_anti").select("id", F.col("id").alias("component"))
+        done, ids = cut(done.unionByName(alone)), core
         if not ids.limit(1).count():
-            break
+            return done
         colour = ids.select("id", F.col("id").alias("c"))
         while True:
             come = rest.join(colour, rest.src == colour.id).groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("m"))
@@ -158,11 +185,9 @@ def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         inner = cut(rest.join(a, "src").join(b, "dst").where("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         back = bfs(inner, colour.where("id = c").select("id"))
         found = cut(back.join(colour, "id").select("id", F.col("c").alias("component")))
-        done = found if done is None else cut(done.unionByName(found))
+        done = cut(done.unionByName(found))
         ids = cut(ids.join(found, "id", "left_anti"))
-        keep = ids.select(F.col("id").alias("k"))
-        rest = cut(rest.join(keep, rest.src == keep.k, "left_semi").join(keep, rest.dst == keep.k, "left_semi"))
-    return done
+        rest = cut(_within(rest, ids))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 50, damping: float = 0.85) -> DataFrame:

@@ -85,6 +85,24 @@ def test_components_against_brute_force(spark):
     assert ids(traverse.bfs(df, spark.createDataFrame([(first,)], "id string"))) == reach[first]
 
 
+def test_strong_components_go_on_past_200_rounds(spark):
+    # ids fall along the edges, so the largest id of a colour names itself alone; a cycle lies in the middle
+    names = [f"n{999 - i}" for i in range(206)]
+    edges = [*itertools.pairwise(names), (names[104], names[102]), (names[5], names[5])]
+    want = {n: names[102] if n in names[102:105] else n for n in names}
+    assert {r.id: r.component for r in traverse.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect()} == want
+    assert traverse.strong_components(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_distances_go_on_past_64_hops(spark):
+    edges = [*((f"n{i}", f"n{i + 1}", 1.0) for i in range(68)), ("n0", "n68", 500.0)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    start = spark.createDataFrame([("n0",)], "id string")
+    assert {r.id: r.distance for r in traverse.shortest_distances(df, start).collect()} == {f"n{i}": float(i) for i in range(69)}
+    with pytest.raises(ValueError):
+        traverse.shortest_distances(spark.createDataFrame([("n0", "n1", -1.0), ("n1", "n0", 0.5)], df.schema), start)
+
+
 def test_noisy_or_and_glob(spark):
     rows = spark.createDataFrame([("a", "sink", 0.5), ("a", "sink", 0.5), ("b", "sink", 1.0)], "name string, role string, confidence double")
     assert {r.name: r.confidence for r in mining.noisy_or(rows).collect()} == pytest.approx({"a": 0.75, "b": 1.0})
