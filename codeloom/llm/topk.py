@@ -19,8 +19,8 @@ from codeloom.llm.common import stash
 
 #: Rows and queries of a block: a task holds one block of each.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
-#: Largest magnitude of a quantised component; larger ones are clipped so that sums fit 64 bits.
-MOST = (1 << 26) - 1
+#: Quantised components are below this in magnitude, so that the range of an attribute fits 64 bits.
+BOUND = 1 << 62
 
 
 class BitSlices:
@@ -34,8 +34,8 @@ class BitSlices:
         self.width = max(1, int(y.max()).bit_length()) if y.size else 1
         padded = np.zeros((words * 64, x.shape[1]), dtype=np.int64)
         padded[: self.n] = y
-        bits = (padded[:, :, None] >> np.arange(self.width)) & 1
-        self.bits = np.packbits(bits.astype(np.uint8), axis=0, bitorder="little").transpose(1, 2, 0).copy().view(np.uint64)
+        bits = [np.packbits(((padded >> j) & 1).astype(np.uint8), axis=0, bitorder="little").T for j in range(self.width)]
+        self.bits = np.stack(bits, axis=1).copy().view(np.uint64)
         self.valid = np.packbits(np.arange(words * 64) < self.n, bitorder="little").view(np.uint64)
 
     def weighted(self, q: np.ndarray) -> list[np.ndarray]:
@@ -90,6 +90,18 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows; where one may leave 64 bits it is made of Python's integers, and an error if it does."""
+    most = np.abs(x).astype(np.float64) @ np.abs(q).astype(np.float64)
+    out = x @ q  # modulo 2**64
+    for i in np.flatnonzero(most >= BOUND):
+        one = sum(int(a) * int(b) for a, b in zip(x[i], q, strict=True))
+        if not -(1 << 63) <= one < 1 << 63:
+            raise OverflowError(f"the score {one} does not fit 64 bits")
+        out[i] = one
+    return out
+
+
 def _block_top(k: int, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     if not len(queries) or not len(rows):
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
@@ -103,7 +115,7 @@ def _block_top(k: int, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFram
         for r in range(*np.searchsorted(ids, [own, own + 1])):
             allowed[r // 64] &= ~(np.uint64(1) << np.uint64(r % 64))
         got = index.top(index.weighted(one), k, allowed)
-        found.append((np.full(len(got), own), ids[got], x[got] @ one))
+        found.append((np.full(len(got), own), ids[got], _products(x[got], one)))
     a, b, c = (np.concatenate(f) for f in zip(*found, strict=True))
     return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
@@ -112,8 +124,8 @@ def quantise(embeddings: DataFrame, scale: int) -> DataFrame:
     """(vec_id, v) with v = floor(scale * x); vectors null, or with null or non-finite components, or without id, are left out."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    clip = lambda c: F.least(F.greatest(F.floor(c * scale), F.lit(-MOST)), F.lit(MOST))
-    return embeddings.where(F.coalesce(sound, F.lit(False))).select("vec_id", F.transform(x, lambda c: clip(c).cast("int")).alias("v"))
+    whole = lambda c: F.when(F.abs(c * scale) < float(BOUND), F.floor(c * scale).cast("long")).otherwise(F.raise_error(F.concat(F.lit("too large a component: "), c.cast("string"))).cast("long"))
+    return embeddings.where(F.coalesce(sound, F.lit(False))).select("vec_id", F.transform(x, whole).alias("v"))
 
 
 def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -122,7 +134,8 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
     query_id, rank (from 1), vec_id, score; ties to the smaller vec_id, fewer
     rows if there are fewer. Null vectors and vectors with null, NaN or
     infinite components take no part; a shorter vector counts as padded with
-    zeros; components beyond MOST / scale are clipped. Rows that repeat a
+    zeros. A component of BOUND / scale or more, or a score of a block's top
+    that does not fit 64 bits, is an error. Rows that repeat a
     vec_id are separate candidates. An empty table gives no rows. Queries and
     rows meet block by block: each block of queries is sent to each block of
     rows, and only k rows a query and block come out.

@@ -166,6 +166,19 @@ def test_top_k(spark):
     assert dict(got) == want
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 2.0**-6]), (1, [2e6, 0.5]), (2, [3e6, -0.5]), (3, [-2e6, 0.0]), (4, [3e6, 2.0**-6]), (5, [2e6, 1.0]), (20, [2.5e6, -1.0])]
+    q = {i: [int(np.floor(64 * c)) for c in v] for i, v in rows}
+    want = {i: sorted(((j, sum(a * b for a, b in zip(q[i], q[j], strict=True))) for j in q if j != i), key=lambda t: (-t[1], t[0]))[:4] for i in (0, 20)}
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, every=20, block_rows=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert dict(got) == want
+    for big in (1e10, 1e300):  # a score, and a component, beyond 64 bits
+        with pytest.raises(Exception, match="64 bits|too large"):
+            topk.top_k(spark.createDataFrame([(0, [big]), (1, [big])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_fingerprints(spark, texts):
     ids = list(range(len(texts)))
     ids[-1] = None
