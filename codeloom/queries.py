@@ -126,6 +126,7 @@ dsl("dsl_sum", 'sum score type("")', "select round(sum(score), 2) as sum from no
 dsl("dsl_avg", 'avg score fn("no such name")', "select 0.0 as avg")
 dsl("dsl_top_k_by", 'top_k_by score 10 fn("")', "select id, score from nodes where kind = 'Function' order by score desc, id limit 10", "id", "score")
 dsl("dsl_exists", 'exists type("no such name")', "select false as exists")
+dsl("dsl_exists_in_rows", 'exists type("Supplier#00000000")', "select count(*) > 0 as exists from nodes where kind in ('Struct', 'Enum', 'Trait') and contains(lower(name), 'supplier#00000000')")
 dsl("dsl_forall", 'forall kind=Function fn("1") | callees', "select true as forall")
 dsl("dsl_edges_of", 'edges_of type("Supplier#000000001")', "select src, dst, kind, weight from edges where src in (select id from nodes where kind = 'Trait' and contains(name, 'Supplier#000000001')) or dst in (select id from nodes where kind = 'Trait' and contains(name, 'Supplier#000000001'))")
 dsl("dsl_edges_kind", "edges_kind Implements", "select src, dst, kind, weight from edges where kind = 'Implements'")
@@ -141,6 +142,11 @@ def dsl_group_by(spark, sf_dir):
     return g.groupBy(F.when(F.col("key") == "Function", "f").otherwise("o").alias("key")).agg(F.sum(F.size("ids")).alias("n"))
 
 
+@query("select round(avg(score), 2) as avg from nodes where kind = 'Function' and contains(name, 'order_1')")
+def dsl_avg_of_rows(spark, sf_dir):
+    return Engine(from_tables(spark, sf_dir)).query('avg score fn("order_1")').select(F.round("avg", 2).alias("avg"))
+
+
 # --- traversals ---
 
 
