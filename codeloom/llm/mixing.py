@@ -172,17 +172,19 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     in no block and go. n_chars, where there is such a column, is counted anew.
     """
     m = mix(docs, **how)
-    marked = docs.withColumn("like", F.monotonically_increasing_id())
+    # the input's columns stay in a struct, so none of their names can clash with ours
+    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs["doc_id"], F.monotonically_increasing_id().alias("like"))
     twice = marked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     seed = F.lit(how.get("seed", SEED))
     again = marked.select("doc_id", "like").join(twice, marked.doc_id.eqNullSafe(twice.doc_id), "left_semi").select(F.col("like"), F.lit(1).alias("twice"))
-    whole = marked.join(again, "like", "left").withColumn("key", F.xxhash64(seed, "doc_id", F.when(F.col("twice") == 1, F.col("like")))).drop("like", "twice")
+    whole = marked.join(again, "like", "left").withColumn("key", F.xxhash64(seed, "doc_id", F.when(F.col("twice") == 1, F.col("like")))).select("doc", "key")
     runs = m.covered.groupBy("key", "pass").agg(F.sum(F.col("hi") - F.col("lo")).alias("words"), F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
     per_doc = runs.join(m.placed.select("key", "size"), "key").groupBy("key").agg(F.collect_list(F.when(F.col("words") < F.col("size"), F.col("runs")).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>"))).alias("passes"))
-    out = whole.join(per_doc, "key").withColumn("runs", F.explode("passes")).drop("key", "passes")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    out = whole.join(per_doc, "key").select("doc", F.explode("passes").alias("runs"))
+    words = F.regexp_extract_all("doc.text", F.lit(f"({WORD})"))
     part = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), " ")
-    out = out.withColumn("text", F.when(F.size("runs") == 0, F.col("text")).otherwise(part))
+    out = out.select("doc", F.when(F.size("runs") == 0, F.col("doc.text")).otherwise(part).alias("text"))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[own.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -259,8 +259,9 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
 def keep_clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that the chain, trained on the labels, does not reject, with their columns."""
     chain = train(docs, labels, **how)
-    marked = score(docs, chain)
-    return marked.where("not rejected").select(*docs.columns)
+    plain = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # the input may have columns of the names that score adds
+    marked = score(docs.toDF(*plain), chain).where("not rejected")
+    return marked.select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])
 
 
 __all__ = ["Chain", "features", "keep_clean", "score", "train"]

@@ -267,3 +267,60 @@ def test_pipeline_stages_keep_the_columns(spark, texts, tmp_path):
         out.write.parquet(str(tmp_path / f"s{k}"))
         now = spark.read.parquet(str(tmp_path / f"s{k}"))
     assert now.count() > 0
+
+
+def test_pipeline_against_brute_force(spark, texts, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    base = [" ".join(rng.choices(words, k=40)) for _ in range(240)]
+    toxic = {i for i in range(240) if i % 4 == 0}
+    base = [f"idiot {t} scum" if i in toxic else t for i, t in enumerate(base)]
+    rows = [*base, *(t + " extra" for t in base[:40]), *texts[-8:]]
+    clash = ("rejected", "p_toxic", "c0", "key", "passes", "like", "twice", "runs", "row", "doc", "words")
+    made = [(i, t, f"s{i % 2}", len(t or ""), *[f"{c}{i}" for c in clash]) for i, t in enumerate(rows)]
+    spark.createDataFrame(made, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    # the chain's own verdicts, which must reject most of the planted rows; the rest by brute force
+    chain = toxicity.train(d, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    p = chain.apply([t or "" for t in rows])[:, -1]
+    clean = [i for i in range(len(rows)) if p[i] <= toxicity.THRESHOLD]
+    assert len(toxic & set(clean)) <= 6 and 150 < len(clean) < 260
+    component = brute_classes([rows[i] for i in clean])
+    kept = sorted({clean[c] for _, c in component.values()})
+    assert len(kept) < len(clean)
+
+    first = corpus_pipeline.drop_toxic(spark, d, str(tmp_path))
+    assert first.columns == d.columns and sorted(map(tuple, first.collect()), key=lambda r: r[0]) == [made[i] for i in clean]
+    size = {i: len(WORD.findall(rows[i] or "")) for i in kept}
+    left = spark.createDataFrame([made[i] for i in kept], d.schema)
+    left.write.parquet(str(tmp_path / "left"))
+    mixed = mixing.mixed_documents(spark.read.parquet(str(tmp_path / "left")))
+    assert mixed.columns == d.columns
+    out = mixed.collect()
+    for r in out:
+        whole = WORD.findall(rows[r.doc_id])
+        assert tuple(r)[4:] == made[r.doc_id][4:] and r.source == made[r.doc_id][2] and r.n_chars == len(r.text)
+        it = iter(whole)
+        assert r.text == rows[r.doc_id] or all(w in it for w in WORD.findall(r.text))
+    # run(): every piece of a clean, single document with words; targets are met to within a block
+    t = tokens.default_path()
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {i for i in kept if size[i]}
+    want = defaultdict(int)
+    for r in packing.pack(mixed, t, most=2048).collect():
+        want[r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.bucket] += 1
+    for r in got:
+        want[r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.bucket] -= 1
+    assert got and not any(want.values())
+    total, by = sum(size.values()), defaultdict(int)
+    source = defaultdict(int)
+    for i in kept:
+        source[made[i][2]] += size[i]
+    for r in out:
+        by[r.source] += len(WORD.findall(r.text))
+    goal = {"s0": min(3 * source["s0"], total * 5 / 7), "s1": min(3 * source["s1"], total * 2 / 7)}
+    assert all(abs(by[s] - goal[s]) <= 64 for s in goal)
