@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Longest Arrow batch handed to Python, in rows; texts may be long, so it is small.
-BATCH_ROWS = 500
+#: Bytes of text handled at once in a Python worker.
+BATCH_BYTES = 1 << 20
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,36 +26,95 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the checkpoint folder of the session.
 
-    A folder of our own is set only where the session has none (tests, notebooks).
+    A folder of our own is made only where the session names none and runs on
+    this machine alone (tests, notebooks); on a cluster that is an error,
+    since executors would write to disks that the others do not see.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        found = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeloom-ckpt-")
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found:
+            if not (sc.master or "").startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            found = tempfile.mkdtemp(prefix="codeloom-ckpt-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
     return found
 
 
+def _path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def stash(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read again.
 
     Survives lost executors, since nothing depends on executor-local blocks.
-    The folder goes when the JVM ends.
+    The folder goes when the JVM ends, or by `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, hadoop = _path(spark, path)
+    fs.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete stashes that no later plan reads: rounds of a loop that newer ones replace."""
+    for df in stashed:
+        path = getattr(df, "_stashed_at", None)
+        if path:
+            fs, hadoop = _path(df.sparkSession, path)
+            fs.delete(hadoop, True)
+
+
+def fixed(docs: DataFrame) -> DataFrame:
+    """docs where it is a plain scan of files, else a stash of it: its rows keep their partitions and order each time it is read, as row numbers need."""
+    plan = docs._jdf.queryExecution().analyzed()
+    kinds = {"Project", "SubqueryAlias", "LogicalRelation"}
+    names = plan.toString().splitlines()
+    tops = [x.lstrip(" :+-").split(" ", 1)[0].split("[", 1)[0] for x in names if x.strip()]
+    tops = ["LogicalRelation" if t == "Relation" else t for t in tops]
+    return docs if "LogicalRelation" in tops and set(tops) <= kinds and "monotonically" not in plan.toString() else stash(docs)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch where they carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def by_bytes(batches: Batches, column: int = 0, most: int = BATCH_BYTES) -> Batches:
+    """The batches cut so that the texts of a column have about `most` bytes together, one row at least."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield b.slice(lo, hi - lo)
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def freeing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, after which the worker, which Spark keeps for later tasks, gives what it took back to the system."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_batches
+from codeloom.llm.common import by_bytes, freeing
 from codeloom.llm.tokens import encode_texts, encoder
 
 END_ID = 1
@@ -39,14 +39,13 @@ def pack(docs: DataFrame, path: str, most: int = 2048, key: str = "doc_id", text
     """
     if most < 1 or most & (most - 1):
         raise ValueError("most must be a power of two")
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = SCHEMA.format(kind=kind) + (", ids array<int>" if keep_ids else "")
     end = np.array([END_ID], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in by_bytes(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             parts: list[list[np.ndarray]] = [[] for _ in texts]
             for i, ids in encode_texts(enc, texts):
@@ -69,6 +68,6 @@ def pack(docs: DataFrame, path: str, most: int = 2048, key: str = "doc_id", text
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(freeing(run), schema)
     own = ["start", "length", "ids_crc32", "doc_tokens"]
     return out.select(F.col("k").alias(key), *own, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "bucket", *(["ids"] if keep_ids else []))

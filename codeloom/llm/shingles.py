@@ -6,35 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from codeloom.llm.hashing import numbers, run_hashes, scramble
+
 #: Bytes of text handled at a time.
 CHUNK = 1 << 20
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def scramble(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that mixes all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_STEPS = np.arange(1, 300, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-_VALUES = scramble(_STEPS[:256]) | np.uint64(1)
-_PLACES = scramble(_STEPS[256:]) | np.uint64(1)
+_VALUES = numbers(256)
+_PLACES = numbers(299)[256:]
 _BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_TABLES: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_TABLES[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            t = np.full(n, base, dtype=np.uint64)
-            t[0] = 1
-            _TABLES[k] = np.cumprod(t)
-    return _TABLES
 
 
 def _parts(raws: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -67,12 +47,9 @@ def word_hashes(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         inside[1:] = ~_BLANK[data]
         edge = np.diff(inside)
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
         begin = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
         doc = np.asarray(at, dtype=np.int64)[np.searchsorted(begin, start, side="right") - 1]
-        yield doc, scramble((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        yield doc, run_hashes(_VALUES[data], start, end)
 
 
 def shingle_sets(raws: list[bytes], words: int = 5) -> list[np.ndarray]:

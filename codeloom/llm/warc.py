@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_batches, stash
+from codeloom.llm.common import by_bytes, freeing, stash
 
 #: Fixed values of the format: the magic number of a dictionary's skippable frame and of a Zstandard frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -130,8 +130,6 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     group, so a payload that a third of the pages share is no hot task: the
     join's large side is split by Spark.
     """
-    spark = pages.sparkSession
-    small_batches(spark, 200)
     own = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     slim = stash(own.select("page_id", F.sha1("payload").alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"), F.xxhash64("page_id", "url").alias("order")))
     firsts = stash(revisits(slim, least))
@@ -143,7 +141,7 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, held = None, 0
-        for b in batches:
+        for b in by_bytes(batches, 2):
             for page_id, url, payload, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = w or Writer(dictionary)
                 uri = url.replace("\r", "%0D").replace("\n", "%0A")
@@ -160,7 +158,7 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     keyed = own.withColumn("payload_digest", F.sha1("payload"))
     a, b = keyed.alias("a"), again.alias("b")
     marked = a.join(b, (F.col("a.payload_digest") == F.col("b.payload_digest")) & F.col("a.page_id").eqNullSafe(F.col("b.page_id")), "left").select("a.page_id", "a.url", "a.payload", "b.first")
-    return stash(marked.mapInArrow(archive, "content binary").select(F.format_string("crawl-%012d.warc.zst", F.monotonically_increasing_id()).alias("archive"), "content"), "none")
+    return stash(marked.mapInArrow(freeing(archive), "content binary").select(F.format_string("crawl-%012d.warc.zst", F.monotonically_increasing_id()).alias("archive"), "content"), "none")
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -169,11 +167,10 @@ def read(archives: DataFrame) -> DataFrame:
     A response's size and digest are computed from the payload as read; a
     revisit has them in its headers.
     """
-    small_batches(archives.sparkSession, 1)
     ident = lambda x: None if x in (None, "<urn:page:null>") else int(x[len("<urn:page:") : -1])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches):
             for content in b.column(0).to_pylist():
                 rows = []
                 for h, payload in read_archive(content):
@@ -186,7 +183,7 @@ def read(archives: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"])
 
-    return archives.select("content").mapInArrow(records, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    return archives.select("content").mapInArrow(freeing(records), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long")
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
