@@ -11,6 +11,7 @@ lower-casing) or with a special token's string go to the library whole.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -21,12 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_batches
+from codeloom.llm.common import by_bytes, freeing
+from codeloom.llm.hashing import numbers, run_hashes
 
 #: Bytes of text that one batch holds, and that a long text is cut to.
 BATCH_BYTES, PIECE_CHARS = 1 << 20, 1 << 16
 #: Pre-tokens kept by a worker; beyond it the table starts anew.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 300_000
+#: The one rule that CachedEncoder cuts by; fixed values of the tokenizer file's format. Any other file is the library's alone.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+KNOWN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -57,31 +63,7 @@ def _kinds() -> np.ndarray:
 
 
 KINDS = _kinds()
-_M = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_VALUES = _scramble(np.arange(1, SAFE_END + 2, dtype=np.uint64) * _M) | np.uint64(1)
-_BASE, _BASE_INVERSE = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of the hash's base and of its inverse, as far as needed so far."""
-
-    up = down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            up, down = np.full(n + 1, _BASE, dtype=np.uint64), np.full(n + 1, _BASE_INVERSE, dtype=np.uint64)
-            up[0] = down[0] = 1
-            cls.up, cls.down = np.cumprod(up), np.cumprod(down)
-        return cls.up, cls.down
+_VALUES = numbers(SAFE_END + 1)
 
 
 def cut_words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,14 +85,46 @@ def cut_words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             start[i + size] = own[i + size] == LETTER
     end = np.flatnonzero((own[:n] != BLANK) & ((own[1 : n + 1] == BLANK) | start[1 : n + 1])) + 1
     start = np.flatnonzero(start[:n])
-    up, down = _Powers.upto(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[cp] * up[:n], out=sums[1:])
-    return start, end, _scramble((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return start, end, run_hashes(_VALUES[cp], start, end)
+
+
+def has_known_rule(path: str) -> bool:
+    """Whether a tokenizer file normalises and cuts as CachedEncoder does and changes nothing else on the way."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    pre = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    bytes_rule = {k: v for k, v in pre[-1].items() if k != "trim_offsets"}
+    plain = not any(d.get(k) for k in ("truncation", "padding")) and not any(a[k] for a in d["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return plain and d.get("normalizer") == KNOWN_NORMALIZER and pre[:-1] == [KNOWN_SPLIT] and bytes_rule == KNOWN_BYTES and d["model"].get("end_of_word_suffix") == "</w>"
+
+
+class LibraryEncoder:
+    """Ids of whole texts by the file's own library: tokenizers for .json, sentencepiece for .model."""
+
+    piece_chars: int | None = None  # nothing is known of where a text may be cut
+
+    def __init__(self, path: str):
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self._ids = lambda texts: model.encode(texts, num_threads=1)
+        else:
+            import tokenizers
+
+            t = tokenizers.Tokenizer.from_file(path)
+            t.no_truncation()
+            t.no_padding()
+            self._ids = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(x, dtype="<u4") for x in self._ids(pieces)]
 
 
 class CachedEncoder:
-    """Ids of texts as the library gives them."""
+    """Ids of texts as the library gives them, for files that have the known rule."""
+
+    piece_chars: int | None = PIECE_CHARS
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import tokenizers
@@ -201,22 +215,23 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> CachedEncoder:
+def encoder(path: str) -> CachedEncoder | LibraryEncoder:
     """One per worker process."""
-    return CachedEncoder(path)
+    return CachedEncoder(path) if path.endswith(".json") and has_known_rule(path) else LibraryEncoder(path)
 
 
 _BLANK = re.compile(r"[\t\n\v\f\r ]")
 
 
-def split_safely(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
+def split_safely(text: str, most: int | None = PIECE_CHARS) -> Iterator[str]:
     """Pieces of about `most` characters, cut before ASCII white space only.
 
     No pre-token holds white space and nothing composes with it, so the pieces'
-    ids in a row are the text's. Without white space a text stays whole.
+    ids in a row are the text's. Without white space, or if `most` is None, a
+    text stays whole.
     """
     at = 0
-    while len(text) - at > most:
+    while most and len(text) - at > most:
         found = _BLANK.search(text, at + most)
         if not found:
             break
@@ -225,13 +240,13 @@ def split_safely(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def byte_batches(texts: Iterable[str], most: int = BATCH_BYTES) -> Iterator[list[tuple[int, str]]]:
+def byte_batches(texts: Iterable[str], most: int = BATCH_BYTES, piece: int | None = PIECE_CHARS) -> Iterator[list[tuple[int, str]]]:
     """(text number, piece) in batches of about `most` characters, so that each call gets like work."""
     batch, held = [], 0
     for i, t in enumerate(texts):
-        for piece in split_safely(t):
-            batch.append((i, piece))
-            held += len(piece)
+        for part in split_safely(t, piece):
+            batch.append((i, part))
+            held += len(part)
             if held >= most:
                 yield batch
                 batch, held = [], 0
@@ -239,9 +254,9 @@ def byte_batches(texts: Iterable[str], most: int = BATCH_BYTES) -> Iterator[list
         yield batch
 
 
-def encode_texts(enc: CachedEncoder, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+def encode_texts(enc: CachedEncoder | LibraryEncoder, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     """(text number, ids) piece by piece, in order."""
-    for batch in byte_batches(texts):
+    for batch in byte_batches(texts, piece=enc.piece_chars):
         for (i, _), ids in zip(batch, enc.encode([p for _, p in batch]), strict=True):
             yield i, ids
 
@@ -253,11 +268,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
     row out per row in; other columns of `docs` are not read. An empty table
     gives no rows. Map-only: no shuffle, one Arrow pass, lengths come back.
     """
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in by_bytes(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = np.zeros(len(texts), dtype=np.int64)
             for i, ids in encode_texts(enc, texts):
@@ -266,5 +280,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(n), pa.array(n > limit)], names=["k", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(count, f"k {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(freeing(count), f"k {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("k", key)
