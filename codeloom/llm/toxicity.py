@@ -1,10 +1,11 @@
 """Operator 2, toxicity by a classifier chain.
 
-The chain predicts categories one after another: each is a logistic model over
-hashed word features and the probabilities of the categories before it. The
-later models are fitted on out-of-fold probabilities, so that they see earlier
-ones as unreliable as they will be on new documents. The last category is the
-label itself; the ones before it are narrower kinds of it.
+The chain predicts the labels' categories one after another: each is a
+logistic model over hashed word features and the probabilities of the
+categories before it. The later models are fitted on out-of-fold
+probabilities, so that they see earlier ones as unreliable as they will be on
+new documents. Each model's penalty, and the probability from which the last
+category rejects, are chosen on out-of-fold predictions too.
 """
 
 from __future__ import annotations
@@ -17,43 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_batches, stash
+from codeloom.llm.common import by_bytes, freeing, stash
+from codeloom.llm.hashing import numbers, run_hasher
 
-#: Words that mark the narrower categories, where a document is labelled toxic. Common English terms of abuse.
-CATEGORY_WORDS = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown", "fool", "dumb", "liar"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "garbage", "vile", "filth"),
-}
-#: Labelled rows that are used at most, chosen by a hash of the id; features kept; feature space; folds; least probability that rejects.
-MAX_LABELLED, FEATURES, SPACE, FOLDS, THRESHOLD = 6_000, 256, 1 << 20, 4, 0.2
+#: Categories in the chain's order: those of them that the labels have; the last rejects.
+CATEGORIES = ("quality", "toxic")
+#: Labelled rows that are used at most, chosen by a hash of the id; features kept for each category; feature space; folds.
+MAX_LABELLED, FEATURES, SPACE, FOLDS = 6_000, 256, 1 << 20, 4
+#: Penalties to choose from, as a share of the loss.
+PENALTIES = (3e-5, 3e-4, 3e-3)
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6)
 #: Bytes of text handled at a time.
 CHUNK = 1 << 20
 
-_BASE = 0x9FB21C651E98DF25
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_VALUES = _scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_VALUES = numbers(256)
 #: Bytes of words: ASCII letters and digits, and all of other characters.
 _IN_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
-_TABLES: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_TABLES[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            t = np.full(n, base, dtype=np.uint64)
-            t[0] = 1
-            _TABLES[k] = np.cumprod(t)
-    return _TABLES
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -90,16 +71,14 @@ def features(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarr
         inside[1:] = _IN_WORD[data]
         edge = np.diff(inside)
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
+        hashed = run_hasher(_VALUES[data])
         begin = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
         doc = np.asarray(at, dtype=np.int64)[np.searchsorted(begin, start, side="right") - 1]
         for kind, size in enumerate((0, *PREFIXES)):
             long = slice(None) if not size else end - start > size
             s, d = start[long], doc[long]
             e = end[long] if not size else s + size
-            f = (_scramble((sums[e] - sums[s]) * down[s] + np.uint64(kind)) % np.uint64(SPACE)).astype(np.int64)
+            f = (hashed(s, e, 1 + kind) % np.uint64(SPACE)).astype(np.int64)
             if keep is not None:
                 wanted = keep[f]
                 f, d = f[wanted], d[wanted]
@@ -111,49 +90,81 @@ def features(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarr
 # --- models --------------------------------------------------------------
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-5, rounds: int = 300) -> np.ndarray:
-    """Weights, the intercept last: L2-regularised logistic loss by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w = np.zeros(x.shape[1], dtype=x.dtype)
-    if not len(x):
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 3e-4, rounds: int = 12) -> np.ndarray:
+    """Weights, the intercept last: L2-regularised logistic loss by Newton's method. Rows of one kind only give that kind for certain."""
+    w = np.zeros(x.shape[1] + 1)
+    if not len(y) or y.min() == y.max():
+        w[-1] = 30.0 if len(y) and y[0] > 0 else -30.0
         return w
-    step = 4 / (np.square(x).sum(axis=1).mean() * 2 + 4 * l2)
-    v, t = w, 1.0
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
+    penalty = np.full(x.shape[1], l2 * len(x))
+    penalty[-1] = 1e-9
+    loss = lambda v: np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v)).sum() + (penalty * v * v).sum() / 2
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        g = x.T @ (p - y) / len(x)
-        g[:-1] += l2 * v[:-1]
-        new = v - step * g
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / t2 * (new - w), new, t2
+        p = _sigmoid(x @ w)
+        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None].astype(x.dtype)).T @ x
+        step = np.linalg.solve(curve + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        size = 1.0
+        while size > 1e-3 and (new := loss(w - size * step)) > now:
+            size /= 2
+        if size <= 1e-3:
+            break
+        w, gain, now = w - size * step, now - new, new
+        if gain < 1e-6 * now:
+            break
     return w
 
 
 def predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    return _sigmoid(x @ w[:-1] + w[-1])
+
+
+def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability above which to reject so that the harmonic mean of precision and recall is highest; in the middle of the gap where it lies."""
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    hits = np.cumsum(y)
+    f = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+    f[:-1][p[:-1] == p[1:]] = -1  # equal probabilities go together
+    k = int(np.argmax(f))
+    return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
 
 
 @dataclass
 class Chain:
-    """names: categories in order; kept: the features; weights[i]: over the features, then i earlier probabilities, then the intercept."""
+    """names: categories in order; kept: the features; weights[i]: over the features, then i earlier probabilities, then the intercept; threshold: of the last."""
 
     names: list[str]
     kept: np.ndarray
     weights: list[np.ndarray]
+    threshold: float = 0.5
 
     @classmethod
     def fit(cls, names: list[str], kept: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
-        """y: a column for each category. Earlier probabilities come from the folds that a row is not in."""
-        weights, earlier = [], x[:, :0]
+        """y: a column for each category, -1 where not known. Earlier probabilities come from the folds that a row is not in."""
+        weights, earlier, threshold = [], x[:, :0], 0.5
         for k in range(len(names)):
-            inputs = np.hstack([x, earlier])
-            weights.append(fit_logistic(inputs, y[:, k]))
-            if k + 1 < len(names):
-                out = np.zeros(len(x), dtype=x.dtype)
+            inputs, own = np.hstack([x, earlier]), y[:, k]
+            known = own >= 0
+            best = None
+            for l2 in PENALTIES:
+                out = np.zeros(len(x))
                 for f in np.unique(fold):
-                    out[fold == f] = predict(fit_logistic(inputs[fold != f], y[fold != f, k]), inputs[fold == f])
-                earlier = np.hstack([earlier, out[:, None]])
-        return cls(names, kept, weights)
+                    fit = known & (fold != f)
+                    out[fold == f] = predict(fit_logistic(inputs[fit], own[fit], l2), inputs[fold == f])
+                loss = -np.log(np.clip(np.where(own > 0, out, 1 - out), 1e-9, 1))[known].mean() if known.any() else 0.0
+                if best is None or loss < best[0]:
+                    best = loss, l2, out
+            weights.append(fit_logistic(inputs[known], own[known], best[1]))
+            earlier = np.hstack([earlier, best[2][:, None].astype(x.dtype)])
+            if (own > 0).any():
+                threshold = _best_threshold(best[2][known], own[known])
+        return cls(names, kept, weights, threshold)
 
     def apply(self, texts: list[str]) -> np.ndarray:
         """Probability of each category for each text."""
@@ -164,70 +175,69 @@ class Chain:
         out = np.zeros((len(texts), 0))
         for w in self.weights:
             z = np.bincount(doc, weights=w[: len(self.kept)][place], minlength=len(texts)) + out @ w[len(self.kept) : -1] + w[-1]
-            out = np.hstack([out, (1 / (1 + np.exp(-np.clip(z, -30, 30))))[:, None]])
+            out = np.hstack([out, _sigmoid(z)[:, None]])
         return out
 
 
-def _categories(texts: list[str], label: np.ndarray) -> np.ndarray:
-    """A column for each of CATEGORY_WORDS, where labelled and one of its words occurs, and the label."""
-    sets = [set(" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()).split()) for t in texts]
-    cols = [np.array([bool(y) and not s.isdisjoint(words) for s, y in zip(sets, label, strict=True)]) for words in CATEGORY_WORDS.values()]
-    return np.stack([*cols, label.astype(bool)], axis=1)
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_labelled: int = MAX_LABELLED) -> Chain:
     """Fit the chain on labelled documents.
 
-    At most `max_labelled` labelled rows, those with the smallest hash of
-    their id, are used; all corpus text stays on the executors. Features are
-    the FEATURES with the largest association (of either sign) with the label,
-    from counts summed over the executors. Rows without label or text, and
-    documents of an id with contradicting labels, teach nothing. Without
-    labelled rows of both kinds the chain gives probability 0 and rejects
-    nothing.
+    At most `max_labelled` labelled ids, those with the smallest hash, and as
+    many rows are used; all corpus text stays on the executors. For each
+    category the FEATURES with the largest association (of either sign) are
+    kept, from counts summed over the executors. Rows without text teach
+    nothing, nor does a category that is null or contradicting for an id.
+    Where the last category has not both kinds of rows the chain gives
+    probability 0 and rejects nothing. Ties go by id and feature number.
     """
-    spark = docs.sparkSession
-    names = [*CATEGORY_WORDS, label]
-    one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", F.col("y").cast("int").alias("y"))
+    names = [c for c in categories if c in labels.columns]
+    value = [F.when(F.min(c) == F.max(c), F.min(c)).cast("int").alias(f"y{k}") for k, c in enumerate(names)]
+    one = labels.where("doc_id is not null").groupBy("doc_id").agg(*value)
+    ys = F.array(*[F.coalesce(f"y{k}", F.lit(-1)) for k in range(len(names))])
+    chosen = one.where(F.col(f"y{len(names) - 1}").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", ys.alias("y"))
     chosen = F.broadcast(stash(chosen))  # bounded by max_labelled
     sample = stash(docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id"))
-    small_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SPACE), dtype=np.int64)
-        rows = np.zeros(2, dtype=np.int64)
-        for b in batches:
-            y = b.column(1).to_numpy().astype(np.int64)
+        total = np.zeros((len(names), 2, SPACE), dtype=np.int64)
+        rows = np.zeros((len(names), 2), dtype=np.int64)
+        for b in by_bytes(batches):
+            y = np.array(b.column(1).to_pylist(), dtype=np.int64)
             doc, f = features(b.column(0).to_pylist())
-            rows += np.bincount(y, minlength=2)
-            for k in (0, 1):
-                total[k] += np.bincount(f[y[doc] == k], minlength=SPACE)
-        at = np.flatnonzero(total.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[0][at], rows[0])), pa.array(np.append(total[1][at], rows[1]))], names=["f", "a", "b"])
-
-    counts = stash(sample.select("text", "y").mapInArrow(count, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    n = counts.where("f = -1").first()
-    if not n or not n.a or not n.b:
+            for k in range(len(names)):
+                for v in (0, 1):
+                    rows[k, v] += (y[:, k] == v).sum()
+                    total[k, v] += np.bincount(f[y[doc, k] == v], minlength=SPACE)
+        for k in range(len(names)):
+            at = np.flatnonzero(total[k].sum(axis=0))
+            a, b = (np.append(total[k, v][at], rows[k, v]) for v in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, k)), pa.array(np.append(at, -1)), pa.array(a), pa.array(b)], names=["k", "f", "a", "b"])
+
+    counts = stash(sample.select("text", "y").mapInArrow(freeing(count), "k long, f long, a long, b long").groupBy("k", "f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    sizes = {r.k: (r.a, r.b) for r in counts.where("f = -1").collect()}
+    if not all(sizes.get(len(names) - 1, (0, 0))):
         return Chain(names, np.empty(0, dtype=np.int64), [np.append(np.zeros(k), -30.0) for k in range(len(names))])
-    rate_a, rate_b = (F.col("a") + 0.5) / (n.a + 1.0), (F.col("b") + 0.5) / (n.b + 1.0)
-    pooled = (F.col("a") + F.col("b") + 1.0) / (n.a + n.b + 2.0)
-    z = F.abs(rate_b - rate_a) / F.sqrt(pooled * (1 - pooled) * (1 / n.a + 1 / n.b))
-    kept = np.sort(np.array([r.f for r in counts.where("f >= 0 and a + b >= 5").orderBy(z.desc(), "f").limit(FEATURES).collect()], dtype=np.int64))
+    found: set[int] = set()
+    for k, (n_a, n_b) in sizes.items():
+        rate_a, rate_b = (F.col("a") + 0.5) / (n_a + 1.0), (F.col("b") + 0.5) / (n_b + 1.0)
+        pooled = (F.col("a") + F.col("b") + 1.0) / (n_a + n_b + 2.0)
+        z = F.abs(rate_b - rate_a) / F.sqrt(pooled * (1 - pooled) * (1 / (n_a + 1) + 1 / (n_b + 1)))
+        found |= {r.f for r in counts.where(F.col("k") == k).where("f >= 0 and a + b >= 5").orderBy(z.desc(), "f").limit(FEATURES).collect()}
+    kept = np.array(sorted(found), dtype=np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(SPACE, dtype=bool)
         keep[kept] = True
-        for b in batches:
-            texts, y = b.column(1).to_pylist(), b.column(2).to_numpy()
+        for b in by_bytes(batches, 1):
+            texts = b.column(1).to_pylist()
             doc, f = features(texts, keep)
             cols = np.searchsorted(kept, f)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
             each = [cols[cuts[i] : cuts[i + 1]].astype(np.int32) for i in range(len(texts))]
-            kinds = _categories(texts, y).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(each, pa.list_(pa.int32())), pa.array(list(kinds), pa.list_(pa.int8()))], names=["doc_id", "cols", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(each, pa.list_(pa.int32())), b.column(2)], names=["doc_id", "cols", "y"])
 
-    got = sample.select("doc_id", "text", "y").mapInArrow(rows, "doc_id long, cols array<int>, y array<tinyint>").orderBy("doc_id").collect()
+    # an id's rows may repeat: the limit bounds what comes to the driver
+    got = sample.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(freeing(rows), "doc_id long, cols array<int>, y array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "cols").limit(max_labelled).collect()
     x = np.zeros((len(got), len(kept)), dtype=np.float32)
     for i, r in enumerate(got):
         x[i, r.cols] = 1
@@ -236,32 +246,41 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled
     return Chain.fit(names, kept, x, y, fold.astype(np.int64))
 
 
-def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs and p_<category> for each category and rejected (the last category's probability is above the threshold).
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
 
-    Null and empty texts have no features. One row out per row in. Map-only.
+def score(docs: DataFrame, chain: Chain, threshold: float | None = None) -> DataFrame:
+    """All columns of docs, then p_<category> for each category and last rejected: the last category's probability is above the threshold, the chain's own by default.
+
+    Null and empty texts have no features; a long text is read whole, in
+    parts. A new column whose name docs has already gets underscores after it.
+    One row out per row in, repeated ones too; an empty table gives no rows.
+    Map-only.
     """
-    small_batches(docs.sparkSession)
-    names = [f"p_{n}" for n in chain.names]
+    limit = chain.threshold if threshold is None else threshold
+    names: list[str] = []
+    for n in [*(f"p_{c}" for c in chain.names), "rejected"]:
+        names.append(_free(n, [*docs.columns, *names]))
+
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = chain.apply([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] > threshold)], names=[*b.schema.names, *names, "rejected"])
+        for b in by_bytes(batches, at):
+            p = chain.apply([t or "" for t in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] > limit)], names=[*b.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    clash = {*names, "rejected"} & {*docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are already there")
-    return docs.mapInArrow(run, f"{fields}, {', '.join(n + ' double' for n in names)}, rejected boolean")
+    return docs.mapInArrow(freeing(run), f"{fields}, {', '.join(f'`{n}` double' for n in names[:-1])}, `{names[-1]}` boolean")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that the chain, trained on the labels, does not reject, with their columns."""
+    """The documents that the chain, trained on the labels, does not reject, with their columns, whatever their names."""
     chain = train(docs, labels, **how)
-    plain = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # the input may have columns of the names that score adds
-    marked = score(docs.toDF(*plain), chain).where("not rejected")
-    return marked.select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])
+    marked = score(docs, chain)
+    return marked.where(~F.col(f"`{marked.columns[-1]}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 __all__ = ["Chain", "features", "keep_clean", "score", "train"]
