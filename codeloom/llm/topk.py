@@ -1,11 +1,13 @@
 """Operator 4, exact top-k by a bit-sliced index.
 
 Rows are dealt into blocks. In a block every attribute is a stack of bitmaps,
-one for each bit of the quantised value. For a query the attribute slices,
-shifted by the bits of its weights, are added with carry-save adders made of
-AND, OR and XOR; the sum is again a stack of slices. The top rows are selected
-from the most significant slice downward; rows that tie at the boundary are
-taken by smallest id. The blocks' tops are merged by a window per query.
+one for each bit of the quantised value; the blocks are built once and kept as
+a table. For a query the attribute slices, shifted by the signed digits of its
+weights, are added with carry-save adders made of AND, OR and XOR; the sum is
+again a stack of slices. The top rows are selected from the most significant
+slice downward; rows that tie at the boundary are taken by smallest id. Scores
+are read from the sum's slices. The blocks' tops are merged by a window per
+query row.
 """
 
 from __future__ import annotations
@@ -18,39 +20,48 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import stash
 
 #: Rows and queries of a block: a task holds one block of each.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
+BLOCK_ROWS, BLOCK_QUERIES = 16384, 512
 #: Quantised components are below this in magnitude, so that the range of an attribute fits 64 bits.
 BOUND = 1 << 62
 
 
 class BitSlices:
-    """Slices of a block: bits[d, j] is the bitmap of bit j of attribute d, shifted to be at least 0."""
-
-    def __init__(self, x: np.ndarray):
-        self.n = len(x)
-        words = max(1, -(-self.n // 64))
-        self.low = x.min(axis=0) if self.n else np.zeros(x.shape[1], dtype=np.int64)
-        y = x - self.low
-        self.width = max(1, int(y.max()).bit_length()) if y.size else 1
-        padded = np.zeros((words * 64, x.shape[1]), dtype=np.int64)
-        padded[: self.n] = y
-        bits = [np.packbits(((padded >> j) & 1).astype(np.uint8), axis=0, bitorder="little").T for j in range(self.width)]
-        self.bits = np.stack(bits, axis=1).copy().view(np.uint64)
-        self.valid = np.packbits(np.arange(words * 64) < self.n, bitorder="little").view(np.uint64)
-
-    def weighted(self, q: np.ndarray) -> list[np.ndarray]:
-        """Slices of sum(|q_d| * y_d), with y_d complemented where q_d is negative: the score but for a constant.
-
-        Slice p holds the bitmaps of weight 2**p; three of a kind become one
-        of the same and one of the next weight until one of each is left.
+    """Slices of a block: bits[d, j] is the bitmap of bit j of attribute d, shifted by low[d] to be at least 0."""
+
+    def __init__(self, n: int, low: np.ndarray, bits: np.ndarray):
+        self.n, self.low, self.bits, self.width = n, low, bits, bits.shape[1]
+        self.valid = np.packbits(np.arange(max(1, -(-n // 64)) * 64) < n, bitorder="little").view(np.uint64)
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> BitSlices:
+        n = len(x)
+        low = x.min(axis=0) if n else np.zeros(x.shape[1], dtype=np.int64)
+        y = x - low
+        width = max(1, int(y.max()).bit_length()) if y.size else 1
+        padded = np.zeros((max(1, -(-n // 64)) * 64, x.shape[1]), dtype=np.int64)
+        padded[:n] = y
+        bits = [np.packbits(((padded >> j) & 1).astype(np.uint8), axis=0, bitorder="little").T for j in range(width)]
+        return cls(n, low, np.stack(bits, axis=1).copy().view(np.uint64))
+
+    def weighted(self, q: np.ndarray) -> tuple[list[np.ndarray], int]:
+        """Slices of the sum of q_d * y_d, with y_d complemented where a digit of q_d is negative, and what to add to it for the score.
+
+        q_d is written in signed digits of which no two neighbours are set
+        (3q and q differ in them), a third of all on average. Slice p holds
+        the bitmaps of weight 2**p; three of a kind become one of the same and
+        one of the next weight until one of each is left.
         """
         held: dict[int, list[np.ndarray]] = {}
-        size = np.abs(q)
-        for b in range(int(size.max()).bit_length() if len(q) else 0):
-            chosen = (size >> b) & 1 == 1
-            plus, minus = self.bits[chosen & (q > 0)], self.bits[chosen & (q < 0)]
+        size = np.abs(q).astype(np.uint64)
+        three = size * np.uint64(3)
+        plus, minus = (three & ~size) >> np.uint64(1), (~three & size) >> np.uint64(1)
+        plus, minus = np.where(q < 0, minus, plus), np.where(q < 0, plus, minus)
+        rest = sum(int(a) * int(b) for a, b in zip(q, self.low, strict=True)) - ((1 << self.width) - 1) * sum(map(int, minus))
+        for b in range(int((plus | minus).max()).bit_length() if len(q) else 0):
+            one = np.uint64(1) << np.uint64(b)
+            p, m = self.bits[plus & one != 0], self.bits[minus & one != 0]
             for j in range(self.width):
-                held.setdefault(b + j, []).extend((plus[:, j], ~minus[:, j]))
+                held.setdefault(b + j, []).extend((p[:, j], ~m[:, j]))
         out, p = [], 0
         while p <= max(held, default=-1):
             m = np.concatenate(held.get(p, [self.valid[None][:0]]))
@@ -66,6 +77,17 @@ class BitSlices:
                 m = (m[0] ^ m[1])[None]
             out.append(m[0] if len(m) else np.zeros_like(self.valid))
             p += 1
+        return out, rest
+
+    @staticmethod
+    def values(slices: list[np.ndarray], rest: int, rows: np.ndarray) -> list[int]:
+        """The scores of some rows; an error if one does not fit 64 bits."""
+        word, bit = rows // 64, (rows % 64).astype(np.uint64)
+        at = [((s[word] >> bit) & np.uint64(1)).tolist() for s in slices]
+        out = [rest + sum(b << p for p, b in enumerate(one)) for one in zip(*at, strict=True)] if at else [rest] * len(rows)
+        for v in out:
+            if not -(1 << 63) <= v < 1 << 63:
+                raise OverflowError(f"the score {v} does not fit 64 bits")
         return out
 
     def top(self, slices: list[np.ndarray], k: int, allowed: np.ndarray) -> np.ndarray:
@@ -90,34 +112,33 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of the rows; where one may leave 64 bits it is made of Python's integers, and an error if it does."""
-    most = np.abs(x).astype(np.float64) @ np.abs(q).astype(np.float64)
-    out = x @ q  # modulo 2**64
-    for i in np.flatnonzero(most >= BOUND):
-        one = sum(int(a) * int(b) for a, b in zip(x[i], q, strict=True))
-        if not -(1 << 63) <= one < 1 << 63:
-            raise OverflowError(f"the score {one} does not fit 64 bits")
-        out[i] = one
-    return out
-
-
-def _block_top(k: int, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    if not len(queries) or not len(rows):
-        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-    rows = rows.sort_values("vec_id", ignore_index=True)
-    width = max(max(map(len, rows.v)), max(map(len, queries.v)), 1)
-    x, q, ids = _matrix(rows.v, width), _matrix(queries.v, width), rows.vec_id.to_numpy()
-    index = BitSlices(x)
-    found = []
-    for one, own in zip(q, queries.vec_id.to_numpy(), strict=True):
-        allowed = index.valid.copy()
-        for r in range(*np.searchsorted(ids, [own, own + 1])):
-            allowed[r // 64] &= ~(np.uint64(1) << np.uint64(r % 64))
-        got = index.top(index.weighted(one), k, allowed)
-        found.append((np.full(len(got), own), ids[got], _products(x[got], one)))
-    a, b, c = (np.concatenate(f) for f in zip(*found, strict=True))
-    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+def _build(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block of the index; its rows are in order of id and row number, so that ties go to the smaller id."""
+    rows = rows.sort_values(["vec_id", "row"], ignore_index=True)
+    index = BitSlices.of(_matrix(rows.v, max(map(len, rows.v))))
+    one = {"rb": rows.rb[0], "ids": rows.vec_id.to_numpy(), "rows": rows.row.to_numpy(), "low": index.low, "width": index.width, "bits": index.bits.tobytes()}
+    return pd.DataFrame([one])
+
+
+def _block_top(k: int, queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    found = [[], [], [], []]
+    for block in blocks.itertuples() if len(queries) else ():
+        ids, rows, low = (np.asarray(x, dtype=np.int64) for x in (block.ids, block.rows, block.low))
+        dims = max(len(low), *map(len, queries.v))
+        bits = np.frombuffer(block.bits, dtype=np.uint64).reshape(len(low), block.width, -1)
+        if dims > len(low):  # a row that is shorter counts as padded with zeros
+            low, bits = np.append(low, np.zeros(dims - len(low), dtype=np.int64)), np.concatenate((bits, np.zeros((dims - len(low), *bits.shape[1:]), dtype=np.uint64)))
+        index = BitSlices(len(ids), low, bits)
+        place = {r: i for i, r in enumerate(rows.tolist())}
+        for q, row, own in zip(_matrix(queries.v, dims), queries.row, queries.vec_id, strict=True):
+            allowed = index.valid.copy()
+            if (at := place.get(row)) is not None:
+                allowed[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
+            slices, rest = index.weighted(q)
+            got = index.top(slices, k, allowed)
+            for col, values in zip(found, ([row] * len(got), [own] * len(got), ids[got].tolist(), index.values(slices, rest, got)), strict=True):
+                col.extend(values)
+    return pd.DataFrame({n: np.array(c, dtype=np.int64) for n, c in zip(("row", "query_id", "vec_id", "score"), found, strict=True)})
 
 
 def quantise(embeddings: DataFrame, scale: int) -> DataFrame:
@@ -129,26 +150,29 @@ def quantise(embeddings: DataFrame, scale: int) -> DataFrame:
 
 
 def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """The k highest inner products of each query row (vec_id divisible by `every`) with all rows of another vec_id.
+    """The k highest inner products of each query row (vec_id divisible by `every`) with every row but itself.
 
     query_id, rank (from 1), vec_id, score; ties to the smaller vec_id, fewer
     rows if there are fewer. Null vectors and vectors with null, NaN or
     infinite components take no part; a shorter vector counts as padded with
     zeros. A component of BOUND / scale or more, or a score of a block's top
-    that does not fit 64 bits, is an error. Rows that repeat a
-    vec_id are separate candidates. An empty table gives no rows. Queries and
-    rows meet block by block: each block of queries is sent to each block of
-    rows, and only k rows a query and block come out.
+    that does not fit 64 bits, is an error. Rows that repeat a vec_id are
+    candidates, and queries, of their own: each such query row has its own
+    ranks. Other columns are not read. An empty table gives no rows. Queries
+    and the index meet block by block: each block of queries is sent to each
+    block of the index, and only k rows a query and block come out.
     """
-    rows = stash(quantise(embeddings, scale))
+    rows = stash(quantise(embeddings, scale).withColumn("row", F.monotonically_increasing_id()))
     n, m = rows.count(), rows.where(F.col("vec_id") % every == 0).count()
     row_blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
-    h = F.xxhash64("vec_id")
-    all_rows = rows.withColumn("rb", F.pmod(h, F.lit(row_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
+    number = lambda count, *salt: F.pmod(F.xxhash64("row", *map(F.lit, salt)), F.lit(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    kinds = "rb int, ids array<long>, rows array<long>, low array<long>, width int, bits binary"
+    index = stash(rows.withColumn("rb", number(row_blocks)).groupBy("rb").applyInPandas(_build, kinds))
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("qb", number(query_blocks, 1)).withColumn("rb", each(row_blocks))
     key = ["qb", "rb"]
-    near = queries.select(*key, "vec_id", "v").groupBy(*key).cogroup(all_rows.select(*key, "vec_id", "v").groupBy(*key)).applyInPandas(lambda a, b: _block_top(k, a, b), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = queries.groupBy(*key).cogroup(index.withColumn("qb", each(query_blocks)).groupBy(*key)).applyInPandas(lambda a, b: _block_top(k, a, b), "row long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
