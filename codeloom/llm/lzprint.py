@@ -10,32 +10,26 @@ the `SIZE` smallest hashes of both together, the share that both have.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import partitions, small_batches, stash
+from codeloom.llm.common import partitions, stash
+from codeloom.llm.hashing import numbers, run_hashes
 
 #: Hashes of a fingerprint, and hex digits of each.
 SIZE, DIGITS = 128, 8
 #: Bytes hashed at a time.
 CHUNK = 1 << 20
-#: Bytes parsed with one dictionary.
-SEGMENT = 1 << 22
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_VALUES = _scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: From this many bytes on a text's dictionary is one flat table, which takes less memory for a phrase; the phrases are the same.
+FLAT = 1 << 22
+#: Bytes of text of a range of documents, about, and rows that are hashed together.
+RANGE_BYTES, ROWS = 32 << 20, 200
+_VALUES = numbers(256)
 
 
 class Parse:
@@ -50,7 +44,7 @@ class Parse:
         self.root: dict = {}
         self.head = head
         self.ends: list[int] = []
-        self.whole = len(head) + len(tail) <= SEGMENT
+        self.whole = len(head) + len(tail) < FLAT
         if self.whole:
             self.nodes, self.bytes = [], []
             self.node = self._head()
@@ -74,8 +68,8 @@ class Parse:
 
     def follow(self, tail: bytes) -> list[int]:
         """Where each phrase ends, with this second half."""
-        if not self.whole or len(self.head) + len(tail) > SEGMENT:
-            return phrase_ends(self.head + tail)
+        if not self.whole or len(self.head) + len(tail) >= FLAT:
+            return _flat_ends(self.head + tail)
         for node, b in zip(reversed(self.nodes), reversed(self.bytes), strict=True):
             del node[b]
         self.nodes, self.bytes = [], []
@@ -97,23 +91,26 @@ class Parse:
         return ends
 
 
-def phrase_ends(raw: bytes) -> list[int]:
-    """Where each phrase of a text ends. A text over SEGMENT bytes is parsed segment by segment, each with a new dictionary, to bound memory."""
-    if len(raw) <= SEGMENT:
-        return Parse(raw, b"").ends
-    return [at + e for at in range(0, len(raw), SEGMENT) for e in Parse(raw[at : at + SEGMENT], b"").ends]
-
+def _flat_ends(raw: bytes) -> list[int]:
+    """Where each phrase ends, by one table from (phrase number, byte) to phrase number."""
+    table: dict[int, int] = {}
+    ends = array("q")
+    add, known, node, i = ends.append, table.get, 0, 0
+    for b in raw:
+        i += 1
+        key = node << 8 | b
+        node = known(key, 0)
+        if not node:
+            add(i)
+            table[key] = len(ends)
+    if node:
+        add(i)
+    return ends
 
-_TABLES: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
 
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_TABLES[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            t = np.full(n, base, dtype=np.uint64)
-            t[0] = 1
-            _TABLES[k] = np.cumprod(t)
-    return _TABLES
+def phrase_ends(raw: bytes) -> list[int]:
+    """Where each phrase of a text ends."""
+    return _flat_ends(raw) if len(raw) >= FLAT else Parse(raw, b"").ends
 
 
 def hashes(jobs: list[tuple[bytes, list[int]]]) -> Iterator[np.ndarray]:
@@ -125,10 +122,7 @@ def hashes(jobs: list[tuple[bytes, list[int]]]) -> Iterator[np.ndarray]:
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         e = np.concatenate([*ends, np.empty(0, np.int64)]).astype(np.int64)
         st = np.concatenate(([0], e[:-1])) if len(e) else e
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
-        h = _scramble((sums[e] - sums[st]) * down[st] + (e - st).astype(np.uint64))
+        h = run_hashes(_VALUES[data], st, e)
         yield from np.split(h, np.cumsum(sizes)[:-1])
 
     for data, cuts in jobs:
@@ -141,7 +135,7 @@ def hashes(jobs: list[tuple[bytes, list[int]]]) -> Iterator[np.ndarray]:
             while i < len(cuts):
                 lo = int(cuts[i - 1]) if i else 0
                 j = max(i + 1, int(np.searchsorted(cuts, lo + CHUNK, side="right")))
-                parts += hashes([(data[lo : int(cuts[j - 1])], (cuts[i:j] - lo).tolist())]) if cuts[j - 1] - lo <= CHUNK else [np.array([_long(data[lo : int(cuts[j - 1])])], dtype=np.uint64)]
+                parts += hashes([(data[lo : int(cuts[j - 1])], cuts[i:j] - lo)]) if cuts[j - 1] - lo <= CHUNK else [np.array([_long(data[lo : int(cuts[j - 1])])], dtype=np.uint64)]
                 i = j
             yield np.concatenate(parts)
             continue
@@ -157,7 +151,7 @@ def hashes(jobs: list[tuple[bytes, list[int]]]) -> Iterator[np.ndarray]:
 
 
 def _long(phrase: bytes) -> int:
-    """A phrase over CHUNK bytes: no phrase of a segment is so long, but the function is total."""
+    """A phrase over CHUNK bytes: only a text of one repeated pattern has such."""
     return int.from_bytes(hashlib.blake2b(phrase, digest_size=8).digest())
 
 
@@ -197,41 +191,87 @@ def _placed(spark, n: int) -> list[int]:
     return [place.get(i, i) for i in range(n)]
 
 
+class Ranges:
+    """Ranges of documents by descending doc_id, null ids last, the rows of an id by a hash of their text.
+
+    bounds are ids: region j holds the ids above bounds[j - 1] and up to
+    bounds[j], the region after them the larger ones. An id with many rows is
+    a region of its own, cut by the hash into parts[j] ranges, as are the null
+    ids, the last region.
+    """
+
+    def __init__(self, bounds: list[int], parts: list[int], of_null: int):
+        self.bounds, self.parts, self.of_null = np.array(bounds, dtype=np.int64), np.array(parts, dtype=np.int64), of_null
+        self.n = int(self.parts.sum()) + of_null
+        self.base = self.n - of_null - np.cumsum(self.parts)  # regions descend
+
+    @classmethod
+    def of(cls, ids: DataFrame, n: int) -> Ranges:
+        """About n ranges of as many bytes each; ids: doc_id, u, size. At most 8 n bounds and their sizes come to the driver."""
+        fine = 8 * n
+        r = ids.agg(F.sum("size").alias("size"), F.sum(F.when(F.col("doc_id").isNull(), F.col("size"))).alias("null")).first()
+        found = ids.where("doc_id is not null").approxQuantile("doc_id", [i / fine for i in range(1, fine)], 1 / (4 * fine))
+        each = max(1, (r.size or 0) // n)
+        marks = sorted(int(x) for x in found)
+        heavy = {x for x, y in zip(marks, marks[8:], strict=False) if x == y}
+        bounds = sorted({*marks, *(x - 1 for x in heavy)})
+        coarse = cls(bounds, [1] * (len(bounds) + 1), 1)
+        sizes = {x.r: x.size for x in ids.groupBy(coarse.number("doc_id", "u").alias("r")).agg(F.sum("size").alias("size")).collect()}
+        kept, parts, held = [], [], 0
+        for j, b in enumerate(bounds):  # neighbours are joined until they hold enough
+            size = sizes.get(int(coarse.base[j]), 0)
+            after = sizes.get(int(coarse.base[j + 1]), 0)
+            held += size
+            if b in heavy or held + after / 2 >= each or (j + 1 < len(bounds) and bounds[j + 1] in heavy):
+                kept.append(b)
+                parts.append(max(1, -(-size // each)) if b in heavy else 1)
+                held = 0
+        return cls(kept, [*parts, 1], max(1, -(-(r.null or 0) // each)))
+
+    def number(self, doc_id: str, u: str) -> Column:
+        """The range of a row."""
+        bounds, parts, base, n, of_null = self.bounds, self.parts, self.base, self.n, self.of_null
+
+        @F.pandas_udf("int")
+        def find(x: pd.Series, h: pd.Series) -> pd.Series:
+            lost = x.isna().to_numpy()
+            j = np.searchsorted(bounds, x.fillna(0).astype("int64").to_numpy(), side="left")
+            share = (h.to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # as signed numbers ascend
+            inside = lambda m: (share * np.asarray(m, dtype=np.uint64) >> np.uint64(32)).astype(np.int64)
+            return pd.Series(np.where(lost, n - of_null + inside(of_null), base[j] + inside(parts[j])).astype("int32"))
+
+        return find(F.col(doc_id), F.col(u))
+
+
 def neighbours(docs: DataFrame, n: int) -> DataFrame:
-    """Documents dealt by ranges of descending doc_id into n partitions, each sorted, with the following range's first document after its own (ghost).
+    """Documents dealt into about n ranges, each sorted, with the following range's first document after its own (ghost).
 
-    Ranges are bounded by quantiles of doc_id; only those bounds (n at most)
-    and each range's largest id come to the driver. Whole texts move once.
+    Each range's first id and hash come to the driver; whole texts move once.
     """
     spark = docs.sparkSession
-    ids = stash(docs.select("doc_id"))
-    found = ids.where(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(1.0)), 10_000)).first()[0]
-    bounds = np.array(sorted(set(found or [])), dtype=np.int64)
-    last = len(bounds)  # range 0 has the largest ids, range `last` the smallest and nulls
-
-    @F.pandas_udf("int")
-    def range_of(x: pd.Series) -> pd.Series:
-        lost = x.isna().to_numpy()
-        at = last - np.searchsorted(bounds, x.fillna(0).astype("int64").to_numpy(), side="left")
-        return pd.Series(np.where(lost, last, at).astype("int32"))
-
-    tops = [(r.r, r.top, bool(r.nulls)) for r in ids.select("doc_id", range_of("doc_id").alias("r")).groupBy("r").agg(F.max("doc_id").alias("top"), F.max(F.col("doc_id").isNull()).alias("nulls")).orderBy("r").collect()]
-    schema = "doc_id long, text string"
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = whole.withColumn("r", range_of("doc_id")).withColumn("ghost", F.lit(0))
+    u = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), u.alias("u"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size")))
+    n = max(n, -(-(ids.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
+    ranges = Ranges.of(ids, n)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), F.bitwise_not("doc_id").alias("down"), "u")).alias("first")
+    tops = ids.select("doc_id", "u", ranges.number("doc_id", "u").alias("r")).groupBy("r").agg(first).orderBy("r").collect()
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), u.alias("u"))
+    own = whole.withColumn("r", ranges.number("doc_id", "u")).withColumn("ghost", F.lit(0))
     if not tops:
-        return spark.createDataFrame([], schema + ", r int, ghost int, to long")
-    follow = {tops[i][0]: tops[(i + 1) % len(tops)] for i in range(len(tops))}
-    # a range's first document: its largest id, and of rows that share it the first text; null ids lead a range only where it has no other
-    firsts = {top for _, top, _ in tops if top is not None}
-    lead = whole.where(F.col("doc_id").isin(sorted(firsts)) if firsts else F.lit(False)).groupBy("doc_id").agg(F.min("text").alias("text"))
-    if any(top is None for _, top, _ in tops):
-        lead = lead.unionByName(whole.where(F.col("doc_id").isNull()).groupBy("doc_id").agg(F.min("text").alias("text")))
-    targets = spark.createDataFrame([(f[1], r) for r, f in follow.items()], "id long, r int")
-    ghosts = lead.join(targets, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "r", F.lit(1).alias("ghost"))
-    place = F.array(*[F.lit(x) for x in _placed(spark, n)])
-    every = own.unionByName(ghosts).withColumn("to", F.element_at(place, F.pmod("r", F.lit(n)) + 1))
-    return every.repartition(n, "to").sortWithinPartitions("r", "ghost", F.desc_nulls_last("doc_id"), "text")
+        return spark.createDataFrame([], "doc_id long, text string, u long, r int, ghost int, to long")
+    # the first row of each range follows the last one of the range before; one row a range
+    heads = [(None if t.first.lost else ~t.first.down, t.first.u, tops[i - 1].r) for i, t in enumerate(tops)]
+    lead = spark.createDataFrame(heads, "id long, hash long, r int")
+    ghosts = whole.join(F.broadcast(lead), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("u") == F.col("hash"))).groupBy("doc_id", "u", "r").agg(F.min("text").alias("text"))
+    every = own.unionByName(ghosts.withColumn("ghost", F.lit(1)))
+    place = np.array(_placed(spark, ranges.n), dtype=np.int64)
+
+    @F.pandas_udf("long")
+    def task(r: pd.Series) -> pd.Series:
+        return pd.Series(place[r.to_numpy()])
+
+    every = every.withColumn("to", task("r"))
+    return every.repartition(ranges.n, "to").sortWithinPartitions("r", "ghost", F.desc_nulls_last("doc_id"), "u", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -239,35 +279,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. The edited text takes its second half from the
-    next document by descending doc_id (null ids last, rows of one id by
-    text); after the last comes the first. Null texts are empty; other
-    columns are not read; one row out per row in; a lone document follows
-    itself; an empty table gives no rows. A task streams its range and holds
-    two texts.
+    next document by descending doc_id (null ids last, rows of one id by a
+    hash of their text); after the last comes the first. Null texts are empty;
+    other columns are not read; one row out per row in; a lone document
+    follows itself; an empty table gives no rows. A task streams its range
+    and holds ROWS texts; of equal texts in a row one is parsed.
     """
     spark = docs.sparkSession
-    small_batches(spark, 200)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row before: range, id, text, parse, fingerprint
-        for f in frames:
-            if not len(f):
-                continue
+        for f in (f.iloc[k : k + ROWS] for f in frames for k in range(0, len(f), ROWS)):
             jobs, rows, last = [], [], None
-            before = held
+            before, again = held, None
             for r, ghost, i, t in zip(f.r, f.ghost, f.doc_id, f.text, strict=True):
-                k = len(t) // 2
-                head, tail = to_bytes(t[: len(t) - k]), to_bytes(t[len(t) - k :])
-                parse = Parse(head, tail)
-                jobs.append((head + tail, parse.ends))
-                now = (r, None if pd.isna(i) else int(i), t, parse, len(jobs) - 1)
+                number = None if pd.isna(i) else int(i)
+                if before and before[2] == t:  # its parse and fingerprint hold
+                    now = (r, number, t, *before[3:])
+                else:
+                    k = len(t) // 2
+                    head, tail = to_bytes(t[: len(t) - k]), to_bytes(t[len(t) - k :])
+                    parse = Parse(head, tail)
+                    jobs.append((head + tail, parse.ends))
+                    now = (r, number, t, parse, len(jobs) - 1)
                 if before and before[0] == r:
                     new = edit(before[2], t)
-                    edited = None
-                    if new != before[2]:
+                    if new == before[2]:
+                        edited = None
+                    elif again and again[0] is before[3] and again[1] == new:
+                        edited = again[2]
+                    else:
                         raw = to_bytes(new)
                         jobs.append((raw, before[3].follow(raw[len(before[3].head) :])))
                         edited = len(jobs) - 1
+                        again = before[3], new, edited
                     rows.append((before, edited, now[4], hashlib.sha256(to_bytes(new)).hexdigest()))
                 before = last = None if ghost else now
             marks = [smallest(h) for h in hashes(jobs)]
@@ -275,8 +320,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for (_, i, t, _, own), edited, following, sha in rows:
                 own = own if isinstance(own, str) else marks[own]
                 mark = own if edited is None else marks[edited]
-                out.append((i, len(t), sha, own, mark, likeness(own, mark), likeness(own, marks[following])))
-            held = last and (*last[:4], marks[last[4]])
+                out.append((i, len(t), sha, own, mark, likeness(own, mark), likeness(own, following if isinstance(following, str) else marks[following])))
+            held = last and (*last[:4], last[4] if isinstance(last[4], str) else marks[last[4]])
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
 
