@@ -7,8 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.common import partitions
 from codeloom.llm.template import Template
@@ -91,9 +90,12 @@ def conversations(turns: DataFrame, source: str = CHAT_TEMPLATE) -> DataFrame:
     return dealt.select("conv_id", "role", "text").mapInPandas(run, schema)
 
 
-def with_probe(turns: DataFrame) -> DataFrame:
-    """The turns and conversation -1, whose texts are control strings of a common template."""
+def probe(spark: SparkSession) -> DataFrame:
+    """Conversation -1, whose texts are control strings of a common template."""
     text = "</s>[INST] ok [/INST]"
-    rows = [(-1, 0, "user", text), (-1, 1, "assistant", text)]
-    probe = turns.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    return turns.select("conv_id", "turn", "role", "text").unionByName(probe.select("conv_id", F.col("turn").cast("long"), "role", "text"))
+    return spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+
+
+def with_probe(turns: DataFrame, source: str = CHAT_TEMPLATE) -> DataFrame:
+    """`conversations` of the turns and, apart from them, of the probe: a conversation -1 that the table has already stays another one."""
+    return conversations(turns, source).unionByName(conversations(probe(turns.sparkSession), source))

@@ -31,8 +31,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = chat.with_probe(table(spark, sf_dir, "conversations"))
-    return chat.conversations(turns).drop("formatted", "spans")
+    return chat.with_probe(table(spark, sf_dir, "conversations")).drop("formatted", "spans")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
