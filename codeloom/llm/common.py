@@ -13,8 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text handled at once in a Python worker.
-BATCH_BYTES = 1 << 20
+#: Bytes of text handled at once in a Python worker, and rows with whole texts that Spark sends to it at once.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 500
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -49,15 +50,25 @@ def _path(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
-def stash(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read again.
+def stash(df: DataFrame, compression: str = "zstd", batch_rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder as Parquet and read again; what is a stash already stays.
 
     Survives lost executors, since nothing depends on executor-local blocks.
-    The folder goes when the JVM ends, or by `discard`.
+    The folder goes when the JVM ends, or by `discard`. batch_rows bounds the
+    rows sent to Python workers at once while it is written; the session's
+    own value is put back.
     """
+    if getattr(df, "_stashed_at", None):
+        return df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(_ARROW_ROWS, str(batch_rows))
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     fs, hadoop = _path(spark, path)
     fs.deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)

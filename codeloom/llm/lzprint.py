@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import partitions, stash
+from codeloom.llm.common import freeing, partitions, stash
 from codeloom.llm.hashing import numbers, run_hashes
 
 #: Hashes of a fingerprint, and hex digits of each.
@@ -326,4 +326,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return neighbours(docs, partitions(spark)).select("r", "ghost", "doc_id", "text").mapInPandas(run, schema)
+    return stash(neighbours(docs, partitions(spark)).select("r", "ghost", "doc_id", "text").mapInPandas(freeing(run), schema), batch_rows=ROWS)

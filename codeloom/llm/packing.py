@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import by_bytes, freeing
+from codeloom.llm.common import BATCH_ROWS, by_bytes, freeing, stash
 from codeloom.llm.tokens import encode_texts, encoder
 
 END_ID = 1
@@ -35,7 +35,8 @@ def pack(docs: DataFrame, path: str, most: int = 2048, key: str = "doc_id", text
     be null or repeat; each row is packed alone and other columns are not
     read. An empty table gives no rows. bucket is the exponent of the length;
     sequence_id is unique within a run and follows the input's partitions. A
-    piece fills its sequence, so offset is 0 throughout. Map-only.
+    piece fills its sequence, so offset is 0 throughout. Map-only; the pieces
+    are written to the shared folder.
     """
     if most < 1 or most & (most - 1):
         raise ValueError("most must be a power of two")
@@ -68,6 +69,6 @@ def pack(docs: DataFrame, path: str, most: int = 2048, key: str = "doc_id", text
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(freeing(run), schema)
+    out = stash(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(freeing(run), schema), batch_rows=BATCH_ROWS)
     own = ["start", "length", "ids_crc32", "doc_tokens"]
     return out.select(F.col("k").alias(key), *own, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "bucket", *(["ids"] if keep_ids else []))

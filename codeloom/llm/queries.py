@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import chat, jaccard, lzprint, mixing, packing, tokens, topk, toxicity, urlfilter, warc
-from codeloom.llm.common import table
+from codeloom.llm.common import BATCH_ROWS, stash, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    return toxicity.score(docs, toxicity.train(docs, labels)).drop("text").withColumnRenamed("rejected", "toxic")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).drop("text").withColumnRenamed("rejected", "toxic")
+    return stash(scored, batch_rows=BATCH_ROWS)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import by_bytes, freeing
+from codeloom.llm.common import BATCH_ROWS, by_bytes, freeing, stash
 from codeloom.llm.hashing import numbers, run_hashes
 
 #: Bytes of text that one batch holds, and that a long text is cut to.
@@ -281,4 +281,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(freeing(count), f"k {kind}, n_bytes long, n_tokens long, over_limit boolean")
-    return out.withColumnRenamed("k", key)
+    return stash(out.withColumnRenamed("k", key), batch_rows=BATCH_ROWS)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import by_bytes, freeing, stash
+from codeloom.llm.common import BATCH_ROWS, by_bytes, freeing, stash
 from codeloom.llm.hashing import numbers, run_hasher
 
 #: Categories in the chain's order: those of them that the labels have; the last rejects.
@@ -213,17 +213,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
             a, b = (np.append(total[k, v][at], rows[k, v]) for v in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, k)), pa.array(np.append(at, -1)), pa.array(a), pa.array(b)], names=["k", "f", "a", "b"])
 
-    counts = stash(sample.select("text", "y").mapInArrow(freeing(count), "k long, f long, a long, b long").groupBy("k", "f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    counts = stash(sample.select("text", "y").mapInArrow(freeing(count), "k long, f long, a long, b long").groupBy("k", "f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), batch_rows=BATCH_ROWS)
     sizes = {r.k: (r.a, r.b) for r in counts.where("f = -1").collect()}
     if not all(sizes.get(len(names) - 1, (0, 0))):
         return Chain(names, np.empty(0, dtype=np.int64), [np.append(np.zeros(k), -30.0) for k in range(len(names))])
-    found: set[int] = set()
+    best: set[int] = set()
     for k, (n_a, n_b) in sizes.items():
         rate_a, rate_b = (F.col("a") + 0.5) / (n_a + 1.0), (F.col("b") + 0.5) / (n_b + 1.0)
         pooled = (F.col("a") + F.col("b") + 1.0) / (n_a + n_b + 2.0)
         z = F.abs(rate_b - rate_a) / F.sqrt(pooled * (1 - pooled) * (1 / (n_a + 1) + 1 / (n_b + 1)))
-        found |= {r.f for r in counts.where(F.col("k") == k).where("f >= 0 and a + b >= 5").orderBy(z.desc(), "f").limit(FEATURES).collect()}
-    kept = np.array(sorted(found), dtype=np.int64)
+        best |= {r.f for r in counts.where(F.col("k") == k).where("f >= 0 and a + b >= 5").orderBy(z.desc(), "f").limit(FEATURES).collect()}
+    kept = np.array(sorted(best), dtype=np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(SPACE, dtype=bool)
@@ -237,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(each, pa.list_(pa.int32())), b.column(2)], names=["doc_id", "cols", "y"])
 
     # an id's rows may repeat: the limit bounds what comes to the driver
-    got = sample.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(freeing(rows), "doc_id long, cols array<int>, y array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "cols").limit(max_labelled).collect()
+    found = stash(sample.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(freeing(rows), "doc_id long, cols array<int>, y array<int>"), batch_rows=BATCH_ROWS)
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "cols").limit(max_labelled).collect()
     x = np.zeros((len(got), len(kept)), dtype=np.float32)
     for i, r in enumerate(got):
         x[i, r.cols] = 1
@@ -280,7 +281,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that the chain, trained on the labels, does not reject, with their columns, whatever their names."""
     chain = train(docs, labels, **how)
     marked = score(docs, chain)
-    return marked.where(~F.col(f"`{marked.columns[-1]}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return stash(marked.where(~F.col(f"`{marked.columns[-1]}`")).select(*[F.col(f"`{c}`") for c in docs.columns]), batch_rows=BATCH_ROWS)
 
 
 __all__ = ["Chain", "features", "keep_clean", "score", "train"]

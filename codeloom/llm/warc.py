@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import by_bytes, freeing, stash
+from codeloom.llm.common import BATCH_ROWS, by_bytes, freeing, stash
 
 #: Fixed values of the format: the magic number of a dictionary's skippable frame and of a Zstandard frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -158,7 +158,7 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     keyed = own.withColumn("payload_digest", F.sha1("payload"))
     a, b = keyed.alias("a"), again.alias("b")
     marked = a.join(b, (F.col("a.payload_digest") == F.col("b.payload_digest")) & F.col("a.page_id").eqNullSafe(F.col("b.page_id")), "left").select("a.page_id", "a.url", "a.payload", "b.first")
-    return stash(marked.mapInArrow(freeing(archive), "content binary").select(F.format_string("crawl-%012d.warc.zst", F.monotonically_increasing_id()).alias("archive"), "content"), "none")
+    return stash(marked.mapInArrow(freeing(archive), "content binary").select(F.format_string("crawl-%012d.warc.zst", F.monotonically_increasing_id()).alias("archive"), "content"), "none", BATCH_ROWS)
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def read(archives: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"])
 
-    return archives.select("content").mapInArrow(freeing(records), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    return stash(archives.select("content").mapInArrow(freeing(records), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"), batch_rows=1)
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
