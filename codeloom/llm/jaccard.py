@@ -10,10 +10,13 @@ multiplies its columns and keeps pairs whose sizes allow the threshold.
 
 A long column is not squared. It first links all its rows to one pivot; after
 those pairs are counted exactly and joined into components, only pairs of
-different components are left in it, and of these, those whose 512-bit
-parity signatures show too small an overlap are discarded. What is left is
-counted exactly too, so no link between different sets is lost, and a group
-of n near copies costs about n pairs for each column, not n * n.
+different components are left in it. Its rows are then dealt into parts, and
+every two parts meet in a tile. A tile first discards pairs whose parity
+signatures, of two bits or more a shingle, show too small an overlap; the rows that have a pair left
+get their whole sets, and the tile multiplies those, row by row, and gives
+back a spanning forest of the links it found. So a group of n near copies
+costs about n rows for each column, never n * n, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -25,26 +28,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import partitions, small_batches, stash
-from codeloom.llm.shingles import scramble, shingle_sets
+from codeloom.llm.common import BATCH_ROWS, by_bytes, discard, fixed, freeing, partitions, stash
+from codeloom.llm.hashing import scramble
+from codeloom.llm.shingles import shingle_sets
 
 #: Threshold as a fraction: a link needs HUNDRED * overlap >= LEAST * union.
 LEAST, HUNDRED = 75, 100
 #: Columns up to this length are squared at once.
 SHORT = 8
-#: A pair must share one more column for each DEPTH shingles of the smaller set; the columns taken grow by as much.
-DEPTH = 20
 #: The most common shingles that the order knows; from LOCAL in a task's batch on, a shingle is counted. Neither changes results, only cost.
 COMMON, LOCAL, COUNT_BATCH = 1 << 16, 4, 4 << 20
-#: Rows of a column that one task of the first pass holds, and of a tile of the second.
-PART, TILE = 8192, 4096
-#: Members of a pivot counted by one task, and 64-bit words of a signature.
+#: Rows of a column that one task of the first pass holds; rows and shingles of a part of a column in the second; prefix rows of a task.
+PART, TILE, TILE_SHINGLES, BLOCK = 8192, 4096, 1 << 19, 1 << 20
+#: Rows of a tile multiplied at a time by signature.
+STRIP = 32
+#: Members of a pivot counted by one task, and 64-bit words of the smallest signature.
 MEMBERS, WORDS = 512, 8
+#: Words of signatures compared at a time.
+COMPARED = 1 << 21
+#: Bits of the filter that picks the texts whose sets are needed.
+FILTER_BITS = 1 << 24
 #: Columns of a set by which the first one that a pair shares is found.
 FIRSTS = 8
-#: Bits of the filter that picks the texts whose sets are needed, at most.
-FILTER_BITS = 1 << 24
-NARROW = 4000
+#: Salts of a column's key where its rows look up whether it is still open.
+SALTS = 16
 
 
 def _key(s: np.ndarray) -> int:
@@ -53,10 +60,20 @@ def _key(s: np.ndarray) -> int:
 
 
 def _signature(s: np.ndarray) -> np.ndarray:
-    bits = (np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)
+    """Parities of the set's shingles by their low bits: a power of two of bits, two a shingle at least, so that two signatures differ in no more bits than their sets in shingles."""
+    words = WORDS
+    while 32 * words < len(s):
+        words *= 2
+    bits = (np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def _folded(sig: np.ndarray) -> np.ndarray:
+    """Signatures (rows) of half the width: the halves' parities together."""
+    half = sig.shape[-1] // 2
+    return sig[..., :half] ^ sig[..., half:]
+
+
 def _raws(column: pa.Array) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in column.to_pylist()]
 
@@ -67,7 +84,6 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
     """A row for each document (row, doc_id, n, s, sig) and rows of counts (h, c) of shingles that repeat within a batch; one pass over the texts."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -82,7 +98,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int64())), _i64(k), _i64(c)], names=names)
 
         names = ["row", "doc_id", "n", "s", "sig", "h", "c"]
-        for b in batches:
+        for b in by_bytes(batches, 2):
             sets = shingle_sets(_raws(b.column(2)), words)
             m = len(sets)
             sigs = pa.array([_signature(x) for x in sets], pa.list_(pa.int64()))
@@ -96,17 +112,22 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
             yield counts()
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(run, "row long, doc_id long, n long, s long, sig array<long>, h long, c long")
+    return own.mapInArrow(freeing(run), "row long, doc_id long, n long, s long, sig array<long>, h long, c long")
 
 
-def _prefixes(docs: DataFrame, words: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(h, part, s, n): for each set the shingles that its links must share one of; columns known to be long are dealt to several parts."""
-    small_batches(docs.sparkSession, 2000)
+def _prefixes(docs: DataFrame, words: int, common: np.ndarray, counts: np.ndarray, total: int) -> DataFrame:
+    """(h, part, s, n): for each set the shingles that its links must share one of; columns known to be long are dealt to several parts.
+
+    Shuffled columns are known by as many bits of h as tell nearly all of
+    `total` apart: two that fall together only give more pairs to check.
+    """
+    bits = -(-(max(total, 1).bit_length() + 10) // 8) * 8
+    mask = np.uint64((1 << min(bits, 63)) - 1)
     parts = np.where(counts > PART, -(-counts // PART), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for b in batches:
+        for b in by_bytes(batches):
             sets = []
             for x in shingle_sets(_raws(b.column(0)), words):
                 if len(x) and (k := _key(x)) not in done:
@@ -121,13 +142,13 @@ def _prefixes(docs: DataFrame, words: int, common: np.ndarray, counts: np.ndarra
             often = np.where(known, counts[place], 0) if len(common) else np.zeros(len(h), dtype=np.int64)
             order = np.lexsort((h, often, owner))
             at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            taken = order[at < np.repeat(n - -(-n * LEAST // HUNDRED) + 1 + n // DEPTH, n)]
+            taken = order[at < np.repeat(n - -(-n * LEAST // HUNDRED) + 1, n)]
             s = np.array([k for k, _ in sets], dtype=np.int64)[owner[taken]]
             many = np.where(known, parts[place], 0)[taken] if len(common) else np.zeros(len(taken), dtype=np.int64)
             part = np.where(many > 0, 1 + s.view(np.uint64) % np.maximum(many, 1).astype(np.uint64), 0).astype(np.int32)  # 0: not dealt
-            yield pa.RecordBatch.from_arrays([_i64(h[taken]), pa.array(part), pa.array(s), pa.array(n[owner[taken]].astype(np.int32))], names=["h", "part", "s", "n"])
+            yield pa.RecordBatch.from_arrays([_i64(h[taken] & mask), pa.array(part), pa.array(s), pa.array(n[owner[taken]].astype(np.int32))], names=["h", "part", "s", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, part int, s long, n int")
+    return docs.select("text").mapInArrow(freeing(run), "h long, part int, s long, n int")
 
 
 def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,8 +156,8 @@ def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return HUNDRED * np.minimum(a, b) >= LEAST * np.maximum(a, b)
 
 
-def _first_pass(postings: DataFrame) -> DataFrame:
-    """(a, na, b, nb, c, h) from the columns of a block: pairs and the short columns they share, with h null; and rows of long columns (a, na), with b null and h set."""
+def _first_pass(postings: DataFrame, blocks: int) -> DataFrame:
+    """(a, na, b, nb, h) from the columns of a block: pairs that share a short column or link a long one to its pivot, with h null; and rows of long columns (a, na), with b null and h set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -160,99 +181,152 @@ def _first_pass(postings: DataFrame) -> DataFrame:
             i = i[~long[i]]
             left.append(i)
             right.append(i + k)
-        short = sum(map(len, left))
         i = np.flatnonzero(long & ~start)  # long ones: the first row is the pivot
         left.append(begin[group[i]])
         right.append(i)
         a, b = np.concatenate(left), np.concatenate(right)
-        counts = np.arange(len(a)) < short
         fit = _within(n[a], n[b])
-        a, b, counts = a[fit], b[fit], counts[fit]
+        a, b = a[fit], b[fit]
         order = np.lexsort((s[b], s[a]))
-        a, b, counts = a[order], b[order], counts[order]
+        a, b = a[order], b[order]
         new = np.ones(len(a), dtype=bool)
         new[1:] = (s[a[1:]] != s[a[:-1]]) | (s[b[1:]] != s[b[:-1]])
-        one = np.flatnonzero(new)
-        c = np.add.reduceat(counts.astype(np.int64), one) if len(one) else np.empty(0, dtype=np.int64)
-        a, b = a[one], b[one]
-        names = ["a", "na", "b", "nb", "c", "h"]
-        yield pa.RecordBatch.from_arrays([_i64(s[a]), _i64(n[a]), _i64(s[b]), _i64(n[b]), _i64(c), pa.nulls(len(a), pa.int64())], names=names)
+        a, b = a[new], b[new]
+        names = ["a", "na", "b", "nb", "h"]
+        yield pa.RecordBatch.from_arrays([_i64(s[a]), _i64(n[a]), _i64(s[b]), _i64(n[b]), pa.nulls(len(a), pa.int64())], names=names)
         j = np.flatnonzero(long)
         none = pa.nulls(len(j), pa.int64())
-        yield pa.RecordBatch.from_arrays([_i64(s[j]), _i64(n[j]), none, none, none, _i64(h[j])], names=names)
+        yield pa.RecordBatch.from_arrays([_i64(s[j]), _i64(n[j]), none, none, _i64(h[j])], names=names)
+
+    dealt = postings.repartition(blocks, "h", "part")
+    return dealt.mapInArrow(freeing(run), "a long, na long, b long, nb long, h long")
+
 
-    dealt = postings.repartition(partitions(postings.sparkSession), "h", "part")
-    return dealt.mapInArrow(run, "a long, na long, b long, nb long, c long, h long")
+def _open_columns(columns: DataFrame, info: DataFrame) -> DataFrame:
+    """The rows of columns that hold several components, with dealt, the parts that the column is cut into."""
+    c = columns.join(info.select("s", "c"), "s")
+    # columns that are one component by now are done
+    size = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    alive = stash(c.groupBy("h").agg(size.alias("k"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h", "k"))
+    salted = alive.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("k", "dealt")
+    return columns.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("salt")
 
 
-def _second_pass(columns: DataFrame, labels: DataFrame, sets: DataFrame, long: DataFrame) -> DataFrame:
-    """(a, na, b, nb): pairs of different components that share a long column and whose sizes and signatures allow the threshold.
+def _tile_rows(columns: DataFrame, info: DataFrame) -> DataFrame:
+    """(h, lo, hi, mine, s, c): rows of the tiles of open columns that have a pair of different components whose sizes and signatures allow the threshold.
 
     A column is cut into parts of about TILE rows and every two parts meet in
-    a task of their own, so no task holds a column. A pair comes from the first
+    a task of their own, so no task holds a column. A pair counts in the first
     column that it shares: it is known where both rows have one of their FIRSTS
-    smallest columns in common, else the pair comes from each.
+    smallest columns in common, else the pair counts in each.
     """
-    spark = columns.sparkSession
-    small_batches(spark, NARROW)
-    c = columns.join(labels, columns.s == labels.v, "left").select("h", "s", "n", F.coalesce("c", "s").alias("c"))
-    # columns that are one component by now are done
-    alive = c.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
-    c = c.join(alive, "h").join(sets.select(F.col("s").alias("s2"), "sig"), F.col("s") == F.col("s2")).drop("s2")
-    c = c.join(long.select("s", "firsts"), "s")
-    c = c.withColumn("p", F.pmod(F.xxhash64("s"), F.col("k")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    c = _open_columns(columns, info).join(info, "s")
+    c = c.withColumn("p", F.pmod(F.xxhash64("s", "h"), F.col("dealt")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1)))
     tile = c.select("h", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), F.col("p").alias("mine"), "s", "n", "c", "sig", "firsts")
 
-    def product(h: int, lo, hi, mine, n, c, sig, firsts) -> Iterator[np.ndarray]:
-        if lo == hi:
-            left = right = np.arange(len(n))
-        else:
-            left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        for at in range(0, len(left), 256):
-            i = left[at : at + 256]
-            ok = (c[i][:, None] != c[right][None]) & _within(n[i][:, None], n[right][None])
-            if lo == hi:
-                ok &= i[:, None] < right[None]
-            x, y = np.nonzero(ok)
-            x, y = i[x], right[y]
-            far = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64)
-            most = (n[x] + n[y] - far) // 2
-            good = np.flatnonzero(HUNDRED * most >= LEAST * (n[x] + n[y] - most))
-            same = firsts[x[good]][:, :, None] == firsts[y[good]][:, None, :]
-            known = np.where(same.any(axis=2), firsts[x[good]], np.iinfo(np.int64).max).min(axis=1)
-            good = good[(known == h) | ~same.any(axis=(1, 2))]
-            yield np.stack((x[good], y[good]), axis=1)
+    def needed(h: int, lo, hi, mine, n, c, sig, firsts) -> np.ndarray:
+        out = np.zeros(len(n), dtype=bool)
+        width = np.array([len(x) for x in sig])
+        for w in np.unique(width).tolist():
+            # sizes that allow the threshold have the same width or one twice or half as large
+            wide = width == 2 * w
+            here = np.flatnonzero(wide | (width == w))
+            table = np.stack([_folded(sig[r]) if wide[r] else sig[r] for r in here])
+            place = np.zeros(len(n), dtype=np.int64)
+            place[here] = np.arange(len(here))
+            left, right = here[mine[here] == lo], here[mine[here] == hi]
+            for at in range(0, len(left), STRIP):
+                i = left[at : at + STRIP]
+                a, b = i[:, None], right[None]
+                ok = (c[a] != c[b]) & _within(n[a], n[b]) & ~(wide[a] & wide[b])
+                if lo == hi:
+                    ok &= a < b
+                xs, ys = np.nonzero(ok)
+                step = max(1, COMPARED // w)
+                for z in range(0, len(xs), step):
+                    x, y = i[xs[z : z + step]], right[ys[z : z + step]]
+                    good = ~(out[x] & out[y])  # rows that are known to be needed stay so
+                    x, y = x[good], y[good]
+                    good = _alike(table[place[x]], table[place[y]], n[x], n[y])
+                    x, y = x[good], y[good]
+                    same = firsts[x][:, :, None] == firsts[y][:, None, :]
+                    known = np.where(same.any(axis=2), firsts[x], np.iinfo(np.int64).max).min(axis=1)
+                    counts = (known == h) | ~same.any(axis=(1, 2))
+                    out[x[counts]] = True
+                    out[y[counts]] = True
+        return np.flatnonzero(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-
-        def tile_done(held: list[pa.RecordBatch]) -> None:
+        for held in _groups(batches, 3):
             t = pa.Table.from_batches(held)
-            col = lambda name: t.column(name).to_numpy()
-            sig = np.array(t.column("sig").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(-1, WORDS)  # bits of signed numbers would be counted by magnitude
-            s, n = col("s"), col("n").astype(np.int64)
+            col = lambda name: t.column(name).to_numpy()  # noqa: E731, B023
+            sig = [np.asarray(x).view(np.uint64) for x in t.column("sig").to_pandas()]  # bits of signed numbers would be counted by magnitude
             firsts = np.array(t.column("firsts").combine_chunks().flatten().to_numpy()).reshape(-1, FIRSTS)
-            for ij in product(col("h")[0], col("lo")[0], col("hi")[0], col("mine"), n, col("c"), sig, firsts):
-                x, y = ij[:, 0], ij[:, 1]
-                swap = s[x] > s[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                found.append(np.unique(np.stack((s[x], n[x], s[y], n[y]), axis=1), axis=0))
+            take = needed(col("h")[0], col("lo")[0], col("hi")[0], col("mine"), col("n").astype(np.int64), col("c"), sig, firsts)
+            if len(take):
+                yield from t.select(["h", "lo", "hi", "mine", "s", "c"]).take(pa.array(take)).combine_chunks().to_batches()
 
-        for held in _groups(batches, 3):
-            tile_done(held)
-            if sum(map(len, found)) > 200_000:
-                yield _pairs(found)
-                found.clear()
-        if found:
-            yield _pairs(found)
+    dealt = tile.repartition(partitions(columns.sparkSession), "h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    return dealt.mapInArrow(freeing(run), "h long, lo int, hi int, mine int, s long, c long")
 
-    dealt = tile.repartition(partitions(spark), "h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, na long, b long, nb long").dropDuplicates(["a", "b"])
 
+def _alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether signatures and sizes allow the threshold: sets differ in as many shingles as their signatures in bits, at least."""
+    far = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    most = (n + m - far) // 2
+    return HUNDRED * most >= LEAST * (n + m - most)
 
-def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    x = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([_i64(x[:, k]) for k in range(4)], names=["a", "na", "b", "nb"])
+
+def spanning_links(keys: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the left and the right rows that span all that hold between rows of different components; at most one fewer than rows.
+
+    left and right are the same rows, or disjoint. The sets are a sparse
+    incidence matrix; a row's overlaps with all rows are one product with it.
+    Rows that a link has joined are one component from then on.
+    """
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    comp = np.unique(comp, return_inverse=True)[1]
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[col] > 1  # a shingle of one row adds to no overlap
+    owner, col = np.repeat(np.arange(len(sets)), n)[shared], col[shared]
+    row_at = np.searchsorted(owner, np.arange(len(sets) + 1))
+    order = np.argsort(col, kind="stable")
+    by_col, col_at = owner[order], np.searchsorted(col[order], np.arange(len(count) + 1))
+    within_tile = len(left) == len(right) and bool((left == right).all())
+    links = []
+    for i in left:
+        j = right[right > i] if within_tile else right
+        j = j[(comp[j] != comp[i]) & _within(n[i], n[j])]
+        if not len(j):
+            continue
+        own = col[row_at[i] : row_at[i + 1]]
+        size = col_at[own + 1] - col_at[own]
+        at = np.repeat(col_at[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = np.bincount(by_col[at], minlength=len(sets))[j]
+        j = j[HUNDRED * both >= LEAST * (n[i] + n[j] - both)]
+        other, first = np.unique(comp[j], return_index=True)
+        links += [(keys[i], keys[k]) for k in j[first]]
+        comp[np.isin(comp, other)] = comp[i]
+    return links
+
+
+def _tile_links(rows: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """The links (a, b) that span those of the tiles' rows; each row's whole set is sent to its tile once."""
+    need = rows.select("s").distinct().join(sets, "s").select("s", F.col("first.row").alias("row"))
+    full = rows.join(_sets_of(need, docs, words), "s").select("h", "lo", "hi", "mine", "s", "c", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches, 3):
+            t = pa.Table.from_batches(held)
+            own = [np.frombuffer(x, dtype=np.uint64) for x in t.column("set").to_pylist()]
+            mine, lo, hi = (t.column(k).to_numpy() for k in ("mine", "lo", "hi"))
+            got = spanning_links(t.column("s").to_numpy(), own, t.column("c").to_numpy(), np.flatnonzero(mine == lo[0]), np.flatnonzero(mine == hi[0]))
+            if got:
+                a, b = np.array(got).T
+                yield pa.RecordBatch.from_arrays([_i64(a), _i64(b)], names=["a", "b"])
+
+    dealt = full.repartition(partitions(docs.sparkSession), "h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    return dealt.mapInArrow(freeing(run), "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
@@ -275,68 +349,58 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Re
         yield held
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids with FILTER_BITS bits at most: a bounded superset, whatever their number."""
-    bits = 1 << 16
-    n = ids.count()
-    while bits < min(16 * n, FILTER_BITS):
-        bits *= 2
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select((at / 64).cast("long").alias("w"), (at % 64).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("m")).toPandas()
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    out[words.w.to_numpy()] = words.m.to_numpy().astype(np.int64).view(np.uint64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+def _sets_of(need: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(s, set) of each row of need (s, row), which hold one document of each set.
+
+    Up to a quarter of FILTER_BITS of them, a bitmap of their rows, of bounded
+    size, picks the texts that are read into sets, and a join the right ones
+    of those; more are joined to the texts first.
+    """
+    need = stash(need)
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+    few = need.count() <= FILTER_BITS // 4
+    at = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    if few:
+        found = need.select((at / 64).cast("int").alias("w"), (at % 64).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("m")).toPandas()
+        wanted = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+        wanted[found.w.to_numpy()] = found.m.to_numpy().astype(np.int64).view(np.uint64)
+    else:
+        own = own.join(need.select("row"), "row", "left_semi")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, 2):
+            if few:
+                p = b.column(0).to_numpy()
+                b = b.filter(pa.array((wanted[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1))  # noqa: PLW2901
+            sets = shingle_sets(_raws(b.column(2)), words)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["at", "s", "set"])
+
+    built = own.select(at.alias("place"), "row", "text").mapInArrow(freeing(build), "at long, s long, set binary")
+    return built.join(need, "s").where("at = row").select("s", "set")
 
 
 def _close(sig: str, other: str, n: str, m: str) -> Column:
-    """Whether signatures and sizes allow the threshold."""
-    far = F.aggregate(F.zip_with(sig, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    """Whether signatures, the wider one folded to the other's width, and sizes allow the threshold."""
+    least = F.least(F.size(sig), F.size(other))
+    fold = lambda x: F.when(F.size(x) == least, F.col(x)).otherwise(F.transform(F.sequence(F.lit(1), least), lambda i: F.element_at(x, i).bitwiseXOR(F.element_at(x, i + least))))
+    far = F.aggregate(F.zip_with(fold(sig), fold(other), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = F.floor((F.col(n) + F.col(m) - far) / 2)
     return HUNDRED * most >= LEAST * (F.col(n) + F.col(m) - most)
 
 
-def _enough(pairs: DataFrame, long: DataFrame) -> DataFrame:
-    """Marks pairs that may share as many columns as their sizes ask for: c short ones, and long ones as far as both are in any."""
-    one, two = long.select(F.col("s").alias("a"), F.col("k").alias("ka")), long.select(F.col("s").alias("b"), F.col("k").alias("kb"))
-    most = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
-    asked = 1 + F.floor(F.least("na", "nb") / DEPTH)
-    return pairs.join(one, "a", "left").join(two, "b", "left").withColumn("enough", most >= asked)
-
-
 def _count(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) that link: overlaps counted exactly from the whole sets.
 
-    The texts whose sets are needed are picked by a bounded filter on doc_id
-    and then exactly by the join. A set is sent once for each pair to its
-    pivot's tasks, a pivot's set once to each task that counts its members.
+    A set is sent once for each pair to its pivot's tasks, a pivot's set once
+    to each task that counts its members.
     """
     spark = docs.sparkSession
     one = sets.select(F.col("s").alias("a"), F.col("sig").alias("sa"))
     two = sets.select(F.col("s").alias("b"), F.col("sig").alias("sb"))
     near = pairs.join(one, "a").join(two, "b").where(_close("sa", "sb", "na", "nb")).select("a", "b")
     near = stash(near)
-    need = stash(near.select(F.col("a").alias("s")).unionByName(near.select(F.col("b").alias("s"))).distinct())
-    wanted = _filter(sets.join(need, "s", "left_semi").select("id"))
-    bits = len(wanted)
-    small_batches(spark)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for b in batches:
-            take = wanted[b.column(0).to_numpy()]
-            if not take.any():
-                continue
-            s, blobs = [], []
-            for x in shingle_sets(_raws(b.column(1).filter(pa.array(take))), words):
-                k = _key(x)
-                if len(x) and k not in done:
-                    done.add(k)
-                    s.append(k)
-                    blobs.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(blobs, pa.binary())], names=["s", "set"])
-
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
-    built = docs.select(place.alias("at"), "text").mapInArrow(build, "s long, set binary").join(need, "s", "left_semi").dropDuplicates(["s"])
+    need = near.select(F.col("a").alias("s")).unionByName(near.select(F.col("b").alias("s"))).distinct()
+    built = _sets_of(need.join(sets, "s").select("s", F.col("first.row").alias("row")), docs, words)
     k = near.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("k"))
     members = near.join(k, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("s"))
     pivots = k.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("s"))
@@ -361,7 +425,7 @@ def _count(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     dealt = joined.select("a", "part", "role", "s", "set").repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", "role")
-    return stash(dealt.mapInArrow(overlap, "a long, b long"))
+    return stash(dealt.mapInArrow(freeing(overlap), "a long, b long"), batch_rows=BATCH_ROWS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -379,8 +443,12 @@ def components(links: DataFrame) -> DataFrame:
         low = stash(low)
         top = low.select(F.col("v").alias("x"), F.col("c").alias("up"))
         new = stash(low.join(top, low.c == top.x, "left").select("v", F.least("c", F.coalesce("up", "c")).alias("c"), "old"))
+        done = not new.where("c <> old").limit(1).count()
+        discard(label, low)
         label = new.select("v", "c")
-        if not new.where("c <> old").limit(1).count():
+        label._stashed_at = new._stashed_at
+        if done:
+            discard(both)
             return label
 
 
@@ -395,26 +463,29 @@ def classes(docs: DataFrame, words: int = 5) -> DataFrame:
     own), keeper marks one row of each class, that of the smallest doc_id and
     row. Repeated ids are rows of their own. An empty table gives no rows.
     """
-    base = stash(describe(docs, words))
+    docs = fixed(docs)
+    base = stash(describe(docs, words), batch_rows=BATCH_ROWS)
     meta = base.where("row is not null").select("row", "doc_id", "n", "s")
-    sets = stash(base.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.first("sig").alias("sig")))
+    sets = stash(base.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.first("sig").alias("sig")))
     top = base.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
     common = top.h.to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(common)
-    first = stash(_first_pass(_prefixes(docs, words, common[order], top.c.to_numpy().astype(np.int64)[order])))
-    pairs = first.where("h is null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    columns = first.where("h is not null").select("h", F.col("a").alias("s"), F.col("na").alias("n")).distinct()
+    total = meta.agg(F.sum("n")).first()[0] or 0
+    blocks = max(partitions(docs.sparkSession), -(-total * (HUNDRED - LEAST) // (HUNDRED * BLOCK)))
+    first = stash(_first_pass(_prefixes(docs, words, common[order], top.c.to_numpy().astype(np.int64)[order], total), blocks), batch_rows=2000)
+    pairs = first.where("h is null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+    columns = stash(first.where("h is not null").select("h", F.col("a").alias("s"), F.col("na").alias("n")).distinct())
     some = F.slice(F.sort_array(F.collect_list("h")), 1, FIRSTS)
     # as many for each set: its own key, which is no column, fills the rest
-    long = stash(columns.groupBy("s").agg(F.count("*").alias("k"), some.alias("f")).select("s", "k", F.concat("f", F.array_repeat("s", FIRSTS - F.size("f"))).alias("firsts")))
-    pairs = stash(_enough(pairs, long).select("a", "na", "b", "nb", "c", "enough"))
-    links = _count(pairs.where("enough"), docs, sets, words)
+    long = stash(columns.groupBy("s").agg(some.alias("f")).select("s", F.concat("f", F.array_repeat("s", FIRSTS - F.size("f"))).alias("firsts")))
+    links = _count(pairs, docs, sets, words)
     label = components(links)
-    rest = _second_pass(columns, label, sets, long).join(pairs.select("a", "b", "c"), ["a", "b"], "left")
-    # pairs known from short columns that passed the bound are counted already
-    rest = stash(_enough(rest.withColumn("c", F.coalesce("c", F.lit(0))), long).where("enough").join(pairs.where("enough").select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
+    info = long.join(sets.select("s", "sig"), "s").join(label, F.col("s") == label.v, "left")
+    info = stash(info.select("s", "sig", "firsts", F.coalesce("c", "s").alias("c")))
+    discard(first)
+    rest = stash(_tile_rows(columns, info), batch_rows=4000)
     if rest.limit(1).count():
-        more = _count(rest, docs, sets, words)
+        more = stash(_tile_links(rest, docs, sets, words), batch_rows=BATCH_ROWS)
         up = lambda name: F.coalesce(name, F.col(name[0]))
         la, lb = label.select(F.col("v").alias("a"), F.col("c").alias("a_c")), label.select(F.col("v").alias("b"), F.col("c").alias("b_c"))
         over = components(more.join(la, "a", "left").join(lb, "b", "left").select(up("a_c").alias("a"), up("b_c").alias("b")).where("a <> b"))
@@ -422,6 +493,7 @@ def classes(docs: DataFrame, words: int = 5) -> DataFrame:
         joined = label.join(of, "c", "left").select("v", F.coalesce("c2", "c").alias("c"))
         alone = over.join(label.select("v"), "v", "left_anti").select("v", "c")
         label = stash(joined.unionByName(alone))
+    discard(columns, long, rest)
     of_set = sets.join(label, sets.s == label.v, "left").select("s", "first", F.coalesce("c", "s").alias("c"))
     named = of_set.groupBy("c").agg(F.min("first").alias("first"))
     set_class = stash(of_set.select("s", "c").join(named, "c").select("s", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept")))
@@ -431,7 +503,9 @@ def classes(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One document of each class stays, with its columns; docs must be read from files, so that rows keep their numbers."""
+    """One document of each class stays, with all its columns, whatever their names; docs that are no plain scan of files are written first, so that rows keep their numbers."""
+    docs = fixed(docs)
+    plain = [f"c{i}" for i in range(len(docs.columns))]
     gone = stash(classes(docs, words).where("not keeper").select("row"))
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    return marked.join(gone, marked["__row"] == gone["row"], "left_anti").select(*docs.columns)
+    kept = docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()).join(gone, "row", "left_anti")
+    return kept.select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])
