@@ -207,7 +207,7 @@ def test_phrases_are_lempel_ziv():
 
 def test_chat(spark):
     rows = [(1, 1, "assistant", "a\\[END]\n[TURN]é"), (1, 0, "user", "</s>[INST]"), (1, 2, None, None), (2, 0, "assistant", None), (None, 0, "user", "x")]
-    got = {r.conv_id: r for r in chat.conversations(chat.with_probe(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    got = {r.conv_id: r for r in chat.with_probe(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert set(got) == {1, 2, None, -1}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1].turns_sha256 == sha("user\n</s>[INST]\nassistant\na\\[END]\n[TURN]é\n\n\n") and got[1].loss_sha256 == sha("a\\[END]\n[TURN]é")
@@ -287,7 +287,7 @@ def test_pipeline_against_brute_force(spark, texts, tmp_path):
     # the chain's own verdicts, which must reject most of the planted rows; the rest by brute force
     chain = toxicity.train(d, spark.read.parquet(str(tmp_path / "labels.parquet")))
     p = chain.apply([t or "" for t in rows])[:, -1]
-    clean = [i for i in range(len(rows)) if p[i] <= toxicity.THRESHOLD]
+    clean = [i for i in range(len(rows)) if p[i] <= chain.threshold]
     assert len(toxic & set(clean)) <= 6 and 150 < len(clean) < 260
     component = brute_classes([rows[i] for i in clean])
     kept = sorted({clean[c] for _, c in component.values()})
@@ -324,3 +324,163 @@ def test_pipeline_against_brute_force(spark, texts, tmp_path):
         by[r.source] += len(WORD.findall(r.text))
     goal = {"s0": min(3 * source["s0"], total * 5 / 7), "s1": min(3 * source["s1"], total * 2 / 7)}
     assert all(abs(by[s] - goal[s]) <= 64 for s in goal)
+
+
+def test_other_tokenizers_are_the_librarys(spark, texts):
+    import public_tokenizers
+    import sentencepiece
+    import tokenizers
+
+    assert tokens.has_known_rule(tokens.default_path()) and not tokens.has_known_rule(public_tokenizers.path("byte_bpe_50k.json"))
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    s = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    all_ = [*texts, "It's  we'll \n\n x", "a  b" * 40_000]
+    for path, ids in ((public_tokenizers.path("byte_bpe_50k.json"), lambda x: t.encode(x, add_special_tokens=False).ids), (public_tokenizers.path("piece_bpe_32k.model"), s.encode)):
+        got = {r.doc_id: r.n_tokens for r in tokens.token_counts(docs(spark, all_), path).collect()}
+        assert got == {i: len(ids(x or "")) for i, x in enumerate(all_)}
+
+
+def test_tokens_of_empty_and_repeated_rows(spark):
+    d = docs(spark, ["a b c", "a b c", None], [7, None, 7])
+    assert sorted((str(r.doc_id), r.n_tokens) for r in tokens.token_counts(d, tokens.default_path()).collect()) == [("7", 0), ("7", 3), ("None", 3)]
+    assert tokens.token_counts(d.limit(0), tokens.default_path()).count() == packing.pack(d.limit(0), tokens.default_path()).count() == 0
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in packing.pack(d, tokens.default_path()).collect() if r.start == 0) == [("7", 1), ("7", 4), ("None", 4)]
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.5]), (0, [0.5, 1.0]), (3, [1.0, 1.0]), (3, [0.25, 0.0]), (1, [-1.0, 2.0]), (20, [0.0, 0.0])]
+    q = [[int(np.floor(64 * c)) for c in v] for _, v in rows]
+    want = []
+    for i, (own, _) in enumerate(rows):
+        if own % 20 == 0:
+            best = sorted(((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), rows[j][0]) for j in range(len(rows)) if j != i))[:4]
+            want += [(own, k + 1, v, -s) for k, (s, v) in enumerate(best)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, every=20, block_rows=2, block_queries=1).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_jaccard_tiles_and_spanning_links(spark, texts, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(500)]
+    base = rng.choices(words, k=90)
+    group = [" ".join(w if rng.random() > rng.choice([0.01, 0.03, 0.05]) else rng.choice(words) for w in base) for _ in range(120)]  # around the threshold
+    passage = rng.choices(words, k=30)
+    shared = [" ".join([*rng.choices(words, k=rng.randint(4, 40)), *passage]) for _ in range(60)]
+    all_ = [*group, *shared, *texts]
+    want = brute_classes(all_)
+    for tile in (4096, 16):  # 16: most tiles hold two parts of a column
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs(spark, all_)).collect()} == want
+    sets = [np.unique(np.array([rng.randrange(40) for _ in range(rng.randint(1, 30))], dtype=np.uint64)) for _ in range(60)]
+    every = np.arange(60)
+    for left, right in ((every, every), (every[:20], every[20:])):
+        got = jaccard.spanning_links(every, sets, every.copy(), left, right)
+        assert len(got) < 60
+        graphs = []
+        for links in (got, [(i, j) for i in left for j in right if i != j and 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))]):
+            at = list(range(60))
+            for _ in range(60):
+                for i, j in links:
+                    at[i] = at[j] = min(at[i], at[j])
+            graphs.append(at)
+        assert graphs[0] == graphs[1]
+
+
+def test_keep_one_with_clashing_columns_and_no_files(spark, texts):
+    d = docs(spark, texts).selectExpr("*", "doc_id * 7 as row", "'u' as __row", "1 as s", "2 as c0").repartition(3)
+    kept = jaccard.keep_one(d)
+    assert kept.columns == d.columns
+    rows = {tuple(r) for r in d.collect()}
+    got = kept.collect()
+    assert all(tuple(r) in rows for r in got) and sorted(r.doc_id for r in got) == sorted({c for _, c in brute_classes(texts).values()})
+
+
+def test_mix_draws_sources_for_shards(spark, texts):
+    d = docs(spark, texts)
+    slots, of = defaultdict(dict), defaultdict(int)
+    for r in mixing.shard_counts(d, block=4, shard_slots=100).collect():
+        slots[r.shard][r.source] = r.slots
+        of[r.source] += r.slots
+    total = sum(of.values())
+    assert sorted(slots) == list(range(-(-total // 100))) and all(sum(s.values()) == 100 for k, s in slots.items() if k < total // 100)
+    spread = [s.get(src, 0) for s in list(slots.values())[:-1] for src in of]
+    assert len(set(spread)) > 2  # drawn, not dealt in turn
+    for k in range(total // 100):
+        for src, n in of.items():
+            p = n / total
+            assert abs(slots[k].get(src, 0) - 100 * p) <= 5 * (100 * p * (1 - p)) ** 0.5 + 1
+    rows = {r.doc_id: r for r in mixing.taken(d, block=4, shard_slots=100).collect()}
+    cut = mixing.mixed_documents(d.withColumn("shards", d.doc_id), shards=True, block=4, shard_slots=100)
+    assert cut.columns == [*d.columns, "shards", "shard"]
+    by, words = defaultdict(set), defaultdict(int)
+    for r in cut.collect():
+        by[r.doc_id].add(r.shard)
+        words[r.doc_id] += len(WORD.findall(r.text))
+    for i, r in rows.items():
+        assert sorted(by[i]) == r.shards and words[i] == r.taken
+
+
+def test_numbered_rows(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(None,), *((f"s{i}",) for i in range(50))], "s string").repartition(7)
+    got = sorted((r.n, r.s) for r in mixing.numbered(d, F.asc_nulls_last("s"), "n").collect())
+    assert got == list(enumerate([*sorted(f"s{i}" for i in range(50)), None]))
+
+
+def test_toxicity_keeps_clashing_columns(spark):
+    chain = toxicity.Chain(["toxic"], np.array([], dtype=np.int64), [np.array([0.0])], 0.4)
+    d = spark.createDataFrame([(1, "a " * 400_000, 5, "x"), (1, None, 5, "x"), (None, "", 6, None)], "doc_id long, text string, Rejected long, p_toxic string")
+    out = toxicity.score(d, chain)
+    assert out.columns == [*d.columns, "p_toxic_", "rejected_"] and sorted(map(str, (r[:4] for r in out.collect()))) == sorted(map(str, map(tuple, d.collect())))
+    assert all(r.rejected_ and r.p_toxic_ == 0.5 for r in out.collect())
+    assert toxicity.score(d.limit(0), chain).count() == 0
+
+
+def test_fingerprints_of_repeated_ids_and_long_texts(spark, texts, monkeypatch):
+    import xxhash
+
+    monkeypatch.setattr(lzprint, "RANGE_BYTES", 2000)
+    ids = [5 if i % 3 == 0 else None if i % 3 == 1 else i for i in range(len(texts))]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_next) for r in lzprint.fingerprints(docs(spark, texts, ids)).collect())
+    u = lambda t: (xxhash.xxh64_intdigest(t.encode(), seed=42) ^ (1 << 63), t)
+    order = sorted(((i, t or "") for i, t in zip(ids, texts, strict=True)), key=lambda x: (x[0] is None, -(x[0] or 0), u(x[1])))
+    want = []
+    for (i, t), (_, following) in zip(order, [*order[1:], order[0]], strict=True):
+        new = lzprint.edit(t, following)
+        want.append((-1 if i is None else i, len(t), hashlib.sha256(new.encode()).hexdigest(), lzprint.fingerprint(t), lzprint.likeness(lzprint.fingerprint(t), lzprint.fingerprint(following))))
+    assert got == sorted(want)
+    rng = random.Random(2)
+    long = "".join(rng.choices("ab cdé", k=50_000)).encode()
+    one = lzprint.phrase_ends(long)
+    monkeypatch.setattr(lzprint, "FLAT", 1000)
+    assert list(lzprint.phrase_ends(long)) == one and list(lzprint.Parse(long[:20_000], long[20_000:]).ends) == one
+
+
+def test_chat_probe_stays_apart(spark):
+    rows = [(-1, 0, "assistant", "own"), (7, 0, "assistant", "x" * 300_000), (7, 0, "assistant", "x" * 300_000), (7, 0, "assistant", "a")]
+    d = spark.createDataFrame([(*r, "clash", "p") for r in rows], "conv_id long, turn long, role string, text string, formatted string, probe string")
+    got = sorted((r.conv_id, r.n_turns, r.loss_chars) for r in chat.with_probe(d).collect())
+    assert got == [(-1, 1, 3), (-1, 2, 21), (7, 3, 600_001)]
+    assert chat.conversations(d.limit(0)).count() == 0
+
+
+def test_warc_repeated_and_null_ids(spark):
+    rows = [(4, "u", "same"), (4, "v", "same"), (9, "u", "same"), (None, "u", "same"), (None, None, "alone"), (None, None, "alone")]
+    got = sorted((str(r.page_id), r.record_type, r.refers_to or 0) for r in warc.roundtrip(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload long")).collect())
+    assert got == [("4", "response", 0), ("4", "response", 0), ("9", "revisit", 4), ("None", "response", 0), ("None", "response", 0), ("None", "revisit", 4)]
+
+
+def test_url_filter_of_long_hosts_and_clashing_columns(spark):
+    host = ".".join(["x" * 50] * 40) + ".com"
+    caps = spark.createDataFrame([(1, f"http://{host}/", 5, "a", "b")], "page_id long, url string, fetch_day long, rule string, blocked string")
+    log = spark.createDataFrame([("x" * 50 + ".com", 1, "block", "q")], "rule string, day long, action string, host string")
+    assert [(r.blocked, r.n_rules, r.rule) for r in urlfilter.evaluate(caps, log).collect()] == [(True, 1, "x" * 50 + ".com")]
+
+
+def test_nothing_is_left_in_the_session(spark, texts):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    jaccard.keep_one(docs(spark, texts[:20])).count()
+    lzprint.fingerprints(docs(spark, texts[:20])).count()
+    assert before == {k: spark.conf.get(k) for k in before}
