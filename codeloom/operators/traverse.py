@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.plans.cut import cut
+from codeloom.plans.cut import cut, drop
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -24,32 +24,58 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(reversed_edges(edges))
 
 
+#: Rounds of a traversal after which what is known is written as one table.
+ROUNDS_A_TABLE = 8
+
+
+class _Known:
+    """What a traversal has found: a table for each round, joined into one now and then."""
+
+    def __init__(self, first: DataFrame):
+        self.tables = [first]
+
+    def all(self) -> DataFrame:
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def add(self, new: DataFrame) -> None:
+        self.tables.append(new)
+        if len(self.tables) > ROUNDS_A_TABLE:
+            old = self.tables
+            self.tables = [cut(self.all())]
+            drop(*old[:-1])  # the last one is the frontier that the next round reads
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """(id, depth): least number of hops from any seed, seeds at 0; `most` bounds the hops."""
-    links = edges.select("src", "dst").distinct()
-    seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
+    """(id, depth): least number of hops from any seed, seeds at 0; `most` bounds the hops. The edges are read once."""
+    links = cut(edges.select("src", "dst").distinct())
+    frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    known, depth = _Known(frontier), 0
     while most is None or depth < most:
         depth += 1
         new = links.join(frontier.select("id"), links.src == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
-        new = cut(new.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if not new.limit(1).count():
+        frontier = cut(new.join(known.all(), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if not frontier.limit(1).count():
             break
-        seen, frontier = cut(seen.unionByName(new)), new
-    return seen
+        known.add(frontier)
+    return known.all()
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Ids that at least one edge leads to from the seeds; a seed is in only if an edge reaches it."""
-    links = edges.select("src", "dst").distinct()
-    seen, frontier = None, seeds.select("id").distinct()
+    """Ids that at least one edge leads to from the seeds; a seed is in only if an edge reaches it. The edges are read once."""
+    links = cut(edges.select("src", "dst").distinct())
+    known, frontier = None, seeds.select("id").distinct()
     while True:
         new = links.join(frontier, links.src == frontier.id, "left_semi").select(F.col("dst").alias("id")).distinct()
-        new = cut(new if seen is None else new.join(seen, "id", "left_anti"))
-        if seen is not None and not new.limit(1).count():
-            return seen
-        seen = new if seen is None else cut(seen.unionByName(new))
-        frontier = new
+        frontier = cut(new if known is None else new.join(known.all(), "id", "left_anti"))
+        if known is None:
+            known = _Known(frontier)
+        elif not frontier.limit(1).count():
+            return known.all()
+        else:
+            known.add(frontier)
 
 
 def compile_pattern(pattern: str) -> tuple[list[tuple[int, str, int]], list[set[int]], int]:
@@ -80,16 +106,16 @@ def reachable(edges: DataFrame, seeds: DataFrame, pattern: str, incoming: bool =
     steps = [(a, k, c) for a, k, b in moves for c in sorted(reach[b])]
     nfa = F.broadcast(spark.createDataFrame(steps, "state int, label string, next int"))  # as long as the pattern
     e = (reversed_edges(edges) if incoming else edges).select("src", "dst", "kind").distinct()
-    product = e.join(nfa, (F.col("kind") == F.col("label")) | (F.col("label") == "any")).select("src", "state", "dst", "next").distinct()
-    seen = cut(seeds.select("id").distinct().withColumn("state", F.explode(F.array(*[F.lit(s) for s in sorted(reach[0])]))))
-    frontier = seen
+    product = cut(e.join(nfa, (F.col("kind") == F.col("label")) | (F.col("label") == "any")).select("src", "state", "dst", "next").distinct())
+    frontier = cut(seeds.select("id").distinct().withColumn("state", F.explode(F.array(*[F.lit(s) for s in sorted(reach[0])]))))
+    known = _Known(frontier)
     while True:
         at = frontier.select(F.col("id").alias("src"), "state")
         new = product.join(at, ["src", "state"]).select(F.col("dst").alias("id"), F.col("next").alias("state")).distinct()
-        new = cut(new.join(seen, ["id", "state"], "left_anti"))
-        if not new.limit(1).count():
-            return seen.where(F.col("state") == last).select("id").distinct()
-        seen, frontier = cut(seen.unionByName(new)), new
+        frontier = cut(new.join(known.all(), ["id", "state"], "left_anti"))
+        if not frontier.limit(1).count():
+            return known.all().where(F.col("state") == last).select("id").distinct()
+        known.add(frontier)
 
 
 def shortest_distances(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -97,6 +123,7 @@ def shortest_distances(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     A cycle of negative weight has no least distance and is an error.
     """
+    edges = cut(edges.select("src", "dst", "weight"))
     best = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0.0)))
     changed, hops = best, 0
     while True:
@@ -192,17 +219,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 50, damping: float = 0.85) -> DataFrame:
     """(id, rank): predecessors count once, out-degrees count parallel edges; what dangling nodes hold is dealt to all."""
-    n = nodes.count()
+    ids = cut(nodes.select("id"))
+    n = ids.count()
+    if not n:
+        return ids.withColumn("rank", F.lit(0.0))
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
     links = cut(edges.select("src", "dst").distinct().join(degree, "src"))
-    rank = cut(nodes.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("deg").isNull().alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank")))
-    for k in range(rounds):
-        lost = rank.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
+    rank = cut(ids.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("deg").isNull().alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank")))
+    for _ in range(rounds):
+        # what dangling nodes hold is one row, joined inside the round's plan
+        lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         come = links.join(rank, links.src == rank.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("s"))
-        base = (1 - damping) / n + damping * lost / n
-        rank = rank.join(come, "id", "left").select("id", "dangling", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        if k % 3 == 2:
-            rank = cut(rank)
+        base = (1 - damping) / n + damping * F.col("lost") / n
+        new = cut(rank.join(come, "id", "left").crossJoin(F.broadcast(lost)).select("id", "dangling", (base + damping * F.coalesce("s", F.lit(0.0))).alias("rank")))
+        drop(rank)
+        rank = new
     return rank.select("id", "rank")
 
 
@@ -214,7 +245,7 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     while True:
         free = cut(ids.join(rest.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
         if not free.limit(1).count():
-            return done
+            return free.withColumn("level", F.lit(0)) if done is None else done
         own = free.withColumn("level", F.lit(level))
         done = own if done is None else done.unionByName(own)
         ids = cut(ids.join(free, "id", "left_anti"))

@@ -8,12 +8,33 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+def _path(df: DataFrame, path: str):
+    sc = df.sparkSession.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(sc._jsc.hadoopConfiguration()), hadoop
+
+
 def cut(df: DataFrame) -> DataFrame:
+    """df, written and read again. Without a checkpoint folder only a session on this machine alone gets one of its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeloom-"))
     path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, hadoop = _path(df, path)
+    fs.deleteOnExit(hadoop)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete cuts that no later plan reads."""
+    for df in cuts:
+        path = getattr(df, "_cut_at", None)
+        if path:
+            fs, hadoop = _path(df, path)
+            fs.delete(hadoop, True)

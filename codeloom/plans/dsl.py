@@ -2,7 +2,8 @@
 
     expr   := term { (union | intersect | diff | \\) term }       left to right, one level
     term   := atom { "|" op }
-    atom   := fn("x") | type("x") | all | ( expr ) | name | entrypoints [kind=E]
+    atom   := fn("x") | type("x") | taint("x") | all | ( expr ) | name | entrypoints [kind=E]
+            | an operator below by itself, which works on all nodes
             | path atom -> atom {limit} | paths atom -> atom {limit} | multi_path { atom, ... } -> atom [depth N]
             | dominators of atom | dominates atom | trait_impls of atom
     limit  := where intermediate kind=K | via K | depth N
@@ -29,7 +30,9 @@ _TOKEN = re.compile(r'\s*(?:(?P<str>"[^"]*")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)
 #: Columns that a query shows; body shows all.
 _SHOWN = {"fields": ("id", "kind", "name"), "signature": ("id", "kind", "name", "qualified_name", "file_path"), "body": None}
 #: Operators that keep the nodes with a metadata entry, by its key.
-_KEPT = ("possible_types", "complexity", "cfg", "dataflow")
+_KEPT = {"possible_types": ("possible_input_types", "possible_return_types"), "complexity": ("complexity", "cyclomatic"), "cfg": ("cfg",), "dataflow": ("dataflow",)}
+#: Operators that are queries by themselves.
+_BARE = ("hot", "scc", "dispatch", "communities", "affected", "co_changes", "untested", "cluster", "since", "filter")
 _SETS = {"union": "union", "intersect": "intersect", "diff": "diff", "\\": "diff"}
 
 
@@ -159,6 +162,11 @@ class Engine:
             return self._ids(self.graph.named(text, *(("Function",) if word == "fn" else TYPE_KINDS)))
         if word == "all":
             return self._ids(self.graph.nodes)
+        if word == "taint" and r.peek() == "(":
+            r.take()
+            text = r.take("str")
+            r.take(value=")")
+            return self._ids(traverse.bfs(self.graph.edges_of_kind(*CALL_KINDS), self._ids(self.graph.named(text, "Function"))))
         match word:
             case "entrypoints":
                 return self._entrypoints(r)
@@ -177,6 +185,9 @@ class Engine:
                 return self._step(self._atom(r, scope), ("Implements",), back=True)
         if word in scope:
             return scope[word]
+        if word in _BARE or word in _KEPT:
+            r.at -= 1
+            return self._op(r, self._ids(self.graph.nodes))
         raise QueryError(f"unknown selector {word!r}")
 
     def _op(self, r: _Reader, w: DataFrame) -> DataFrame:
@@ -204,9 +215,11 @@ class Engine:
                 ranks = traverse.pagerank(g.nodes, g.edges).join(w, "id", "left_semi")
                 return self._ids(traverse.top_by(ranks, "rank", int(r.take("num")), "id"))
             case "scc":
-                parts = traverse.strong_components(g.induced(w))
+                # components of the whole graph that touch the set
+                parts = traverse.strong_components(g.edges_of_kind(*CALL_KINDS))
                 many = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-                return self._ids(parts.join(many, "component", "left_semi"))
+                touched = parts.join(w, "id", "left_semi").select("component").distinct()
+                return self._ids(parts.join(many, "component", "left_semi").join(touched, "component", "left_semi"))
             case "dispatch":
                 inner = g.edges_of_kind("Contains").join(g.of_kind("Trait").select(F.col("id").alias("src")), "src", "left_semi").select("dst")
                 return self._ids(g.edges_of_kind("Calls").join(inner, "dst", "left_semi").select(F.col("src").alias("id")).join(w, "id", "left_semi"))
@@ -216,7 +229,7 @@ class Engine:
                 hops = int(r.take("num"))
                 r.take(value="since")
                 changed = g.nodes.where(F.col("revision") >= int(r.take("num"))).select("id")
-                return self._ids(traverse.bfs(traverse.both_ways(g.edges), changed, hops).join(w, "id", "left_semi"))
+                return self._ids(traverse.bfs(traverse.both_ways(g.edges), changed, hops))  # in place of the set
             case "reachable":
                 r.take(value="via")
                 pattern = r.take("str")
@@ -242,7 +255,7 @@ class Engine:
                     raise QueryError(f"unknown projection {r.shown!r}; known: {', '.join(_SHOWN)}")
                 return w
         if word in _KEPT:
-            return self._ids(nodes().where(g.meta(word).isNotNull()))
+            return self._ids(nodes().where(F.coalesce(*[g.meta(k) for k in _KEPT[word]]).isNotNull()))
         raise QueryError(f"unknown operator {word!r}")
 
     def communities(self) -> DataFrame:
@@ -288,8 +301,6 @@ class Engine:
             r.take(value="in")
             return self._aggregate(r, scope | {name: value})
         field = r.take("name") if word in ("sum", "avg", "top_k_by", "group_by") else None
-        if field and field not in g.nodes.columns:
-            raise QueryError(f"no field {field!r}")
         k = int(r.take("num")) if word == "top_k_by" else 0
         if word == "forall":
             r.take(value="kind")
@@ -300,7 +311,9 @@ class Engine:
             out = g.edges.join(w, g.edges.src == w.id, "left_semi")
             return out.unionByName(g.edges.join(w, g.edges.dst == w.id, "left_semi").join(w, g.edges.src == w.id, "left_anti"))
         rows = g.nodes.join(w, "id", "left_semi")
-        number = F.expr(f"try_cast({field} as double)") if field else None
+        # a field is a column, or else an entry of the metadata
+        value = None if not field or word == "forall" else F.col(field) if field in g.nodes.columns else g.meta(field)
+        number = None if value is None else value.cast("string").try_cast("double")
         match word:
             case "count":
                 return rows.agg(F.count("*").alias("count"))
@@ -311,7 +324,7 @@ class Engine:
             case "top_k_by":
                 return rows.withColumn("__by", number).orderBy(F.desc_nulls_last("__by"), "id").limit(k).drop("__by")
             case "group_by":
-                return rows.groupBy(F.coalesce(F.col(field).cast("string"), F.lit("")).alias("key")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+                return rows.groupBy(F.coalesce(value.cast("string"), F.lit("")).alias("key")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
             case "exists":
                 return rows.limit(1).agg((F.count("*") > 0).alias("exists"))
         return rows.agg(F.coalesce(F.bool_and(F.col("kind") == field), F.lit(True)).alias("forall"))
@@ -329,6 +342,12 @@ class Engine:
             out = out.select(*_SHOWN[r.shown])
         return out.orderBy("id").limit(max_nodes) if max_nodes and "id" in out.columns else out
 
+    def stream_count(self, text: str, every: int = 1000) -> DataFrame:
+        """(batch, so_far): how many nodes a query has after each `every` of them in order of id, and at the end."""
+        n = self.query(text).count()
+        spark = self.graph.nodes.sparkSession
+        return spark.range(1, -(-n // every) + 1).select(F.col("id").alias("batch"), F.least(F.col("id") * every, F.lit(n)).alias("so_far"))
+
     def explain(self, text: str) -> list[str]:
         """The steps of a query in the order they are taken; nothing is run."""
         steps, depth = [[]], 0
