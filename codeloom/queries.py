@@ -103,7 +103,7 @@ def induced_edges(spark, sf_dir):
     return g.induced(g.nodes.where("score > 5000").select("id"))
 
 
-@query("select a.name as region, b.name as nation, c.name as handler from edges x join edges y on x.dst = y.src join nodes a on a.id = x.src join nodes b on b.id = x.dst join nodes c on c.id = y.dst where a.kind = 'Module' and c.kind = 'Trait'")
+@query("select r_name as region, n_name as nation, s_name as handler from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey", graph=False)
 def routing_manifest(spark, sf_dir):
     g = from_tables(spark, sf_dir)
     e = g.edges_of_kind("Contains")
@@ -123,9 +123,7 @@ dsl("dsl_set_ops", '(fn("order_1") diff fn("order_11")) intersect fn("9")', "sel
 dsl("dsl_since", 'fn("order_") | since 23970', "select id from nodes where kind = 'Function' and contains(name, 'order_') and revision >= 23970", "id")
 dsl("dsl_count", 'count fn("order_") | callers', "select count(distinct src) as count from edges e join nodes n on n.id = e.dst where e.kind = 'Calls' and contains(n.name, 'order_')")
 dsl("dsl_sum", 'sum score type("")', "select round(sum(score), 2) as sum from nodes where kind in ('Struct', 'Trait')")
-dsl("dsl_avg", 'avg score fn("no such name")', "select 0.0 as avg")
 dsl("dsl_top_k_by", 'top_k_by score 10 fn("")', "select id, score from nodes where kind = 'Function' order by score desc, id limit 10", "id", "score")
-dsl("dsl_exists", 'exists type("no such name")', "select false as exists")
 dsl("dsl_exists_in_rows", 'exists type("Supplier#00000000")', "select count(*) > 0 as exists from nodes where kind in ('Struct', 'Enum', 'Trait') and contains(lower(name), 'supplier#00000000')")
 dsl("dsl_forall", 'forall kind=Function fn("1") | callees', "select true as forall")
 dsl("dsl_edges_of", 'edges_of type("Supplier#000000001")', "select src, dst, kind, weight from edges where src in (select id from nodes where kind = 'Trait' and contains(name, 'Supplier#000000001')) or dst in (select id from nodes where kind = 'Trait' and contains(name, 'Supplier#000000001'))")
@@ -182,14 +180,6 @@ def strong_components(spark, sf_dir):
     return traverse.strong_components(_transitions(spark, sf_dir))
 
 
-@query("""with recursive p as (select distinct 'p:' || l_partkey as a, 's:' || l_suppkey as b from lineitem where l_quantity = 50 and l_discount = 0.1 and l_tax = 0),
-  e as (select a, b from p union select b, a from p), walk(a, b) as (select a, a from e union select w.a, e.b from walk w join e on e.a = w.b)
-  select a as id, min(b) as component from walk group by a""", graph=False)
-def weak_components(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").where("l_quantity = 50 and abs(l_discount - 0.1) < 1e-9 and l_tax = 0")
-    return traverse.components(li.select(F.concat(F.lit("p:"), "l_partkey").alias("src"), F.concat(F.lit("s:"), "l_suppkey").alias("dst")))
-
-
 @query()
 def weak_components_of_all(spark, sf_dir):
     """No SQL: the recursive one holds every pair of a component."""
@@ -226,7 +216,7 @@ def topological_levels(spark, sf_dir):
     return traverse.topological_levels(from_tables(spark, sf_dir).edges_of_kind("Contains"))
 
 
-@query("select r.id || '>' || n.id || '>' || c.id as path from nodes r join edges a on a.src = r.id join nodes n on n.id = a.dst join edges b on b.src = n.id join nodes c on c.id = b.dst where r.id = 'region:1' and c.kind = 'Trait'")
+@query("select 'region:1>nation:' || n_nationkey || '>supplier:' || s_suppkey as path from nation join supplier on s_nationkey = n_nationkey where n_regionkey = 1", graph=False)
 def simple_paths(spark, sf_dir):
     g = from_tables(spark, sf_dir)
     found = traverse.simple_paths(g.edges_of_kind("Contains"), g.nodes.where("id = 'region:1'").select("id"), g.of_kind("Trait").select("id"), 3)
@@ -278,13 +268,6 @@ def range_merge(spark, sf_dir):
     return mining.merge_ranges(_t(spark, sf_dir, "events").select(F.col("user_id").alias("file"), at.alias("start"), (at + 60).alias("end")), 600)
 
 
-@query("select l_returnflag as name, l_linestatus as role, round(1 - exp(sum(ln(1 - l_discount))), 6) as confidence from lineitem where l_orderkey < 100 group by 1, 2", graph=False)
-def learned_roles(spark, sf_dir):
-    e = _t(spark, sf_dir, "lineitem").where("l_orderkey < 100").select(F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("role"), F.col("l_discount").alias("confidence"))
-    return mining.noisy_or(e).withColumn("confidence", F.round("confidence", 6))
-
-
-#: Products of the discounts' few digits can end in 5 just behind the sixth; the shift keeps every such tie off the boundary of rounding.
 _SHIFT = 1e-7 / 3
 
 
