@@ -10,7 +10,6 @@ the `SIZE` smallest hashes of both together, the share that both have.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +24,6 @@ from codeloom.llm.hashing import numbers, run_hashes
 SIZE, DIGITS = 128, 8
 #: Bytes hashed at a time.
 CHUNK = 1 << 20
-#: From this many bytes on a text's dictionary is one flat table, which takes less memory for a phrase; the phrases are the same.
-FLAT = 1 << 22
 #: Bytes of text of a range of documents, about, and rows that are hashed together.
 RANGE_BYTES, ROWS = 32 << 20, 200
 _VALUES = numbers(256)
@@ -35,85 +32,45 @@ _VALUES = numbers(256)
 class Parse:
     """The phrases of a text, and of the text with another second half.
 
-    The dictionary is a tree of dicts. What the second half adds to it is
-    logged and taken back before another second half is parsed, so the shared
-    first half is parsed once.
+    The dictionary is one table from (phrase, next byte) to phrase, in the
+    order of the phrases; a phrase is known by where it ended, so the values
+    are the ends. What a second half added is taken back, last first, before
+    another is parsed, so the shared first half is parsed once.
     """
 
     def __init__(self, head: bytes, tail: bytes):
-        self.root: dict = {}
+        self.table: dict[int, int] = {}
         self.head = head
-        self.ends: list[int] = []
-        self.whole = len(head) + len(tail) < FLAT
-        if self.whole:
-            self.nodes, self.bytes = [], []
-            self.node = self._head()
-            self.kept = len(self.ends)
+        self.node = self._read(head, 0, 0)
+        self.kept = len(self.table)
         self.ends = self.follow(tail)
 
-    def _head(self) -> dict:
-        """Parse the first half; the node it stops at."""
-        node = root = self.root
-        add, i = self.ends.append, 0
-        for b in self.head:
-            i += 1
-            known = node.get(b)
-            if known is None:
-                node[b] = {}
-                add(i)
-                node = root
-            else:
-                node = known
+    def _read(self, raw: bytes, node: int, at: int) -> int:
+        """Parse bytes from a phrase and a place on; the phrase that is left open at the end. Places are in the upper bits, a byte's room below."""
+        table, at = self.table, at << 8
+        known = table.get
+        for b in raw:
+            at += 256
+            if not (node := known(key := node | b, 0)):
+                table[key] = at
         return node
 
-    def follow(self, tail: bytes) -> list[int]:
+    def follow(self, tail: bytes) -> np.ndarray:
         """Where each phrase ends, with this second half."""
-        if not self.whole or len(self.head) + len(tail) >= FLAT:
-            return _flat_ends(self.head + tail)
-        for node, b in zip(reversed(self.nodes), reversed(self.bytes), strict=True):
-            del node[b]
-        self.nodes, self.bytes = [], []
-        node, root, ends = self.node, self.root, self.ends[: self.kept]
-        add, note, note_byte, i = ends.append, self.nodes.append, self.bytes.append, len(self.head)
-        for b in tail:
-            i += 1
-            known = node.get(b)
-            if known is None:
-                node[b] = {}
-                note(node)
-                note_byte(b)
-                add(i)
-                node = root
-            else:
-                node = known
-        if node is not root:
-            ends.append(i)
-        return ends
-
-
-def _flat_ends(raw: bytes) -> list[int]:
-    """Where each phrase ends, by one table from (phrase number, byte) to phrase number."""
-    table: dict[int, int] = {}
-    ends = array("q")
-    add, known, node, i = ends.append, table.get, 0, 0
-    for b in raw:
-        i += 1
-        key = node << 8 | b
-        node = known(key, 0)
-        if not node:
-            add(i)
-            table[key] = len(ends)
-    if node:
-        add(i)
-    return ends
-
-
-def phrase_ends(raw: bytes) -> list[int]:
+        table = self.table
+        for _ in range(len(table) - self.kept):
+            table.popitem()
+        left = self._read(tail, self.node, len(self.head))
+        ends = np.fromiter(table.values(), dtype=np.int64, count=len(table)) >> 8
+        return np.append(ends, len(self.head) + len(tail)) if left else ends
+
+
+def phrase_ends(raw: bytes) -> np.ndarray:
     """Where each phrase of a text ends."""
-    return _flat_ends(raw) if len(raw) >= FLAT else Parse(raw, b"").ends
+    return Parse(raw, b"").ends
 
 
-def hashes(jobs: list[tuple[bytes, list[int]]]) -> Iterator[np.ndarray]:
+def hashes(jobs: list[tuple[bytes, np.ndarray]]) -> Iterator[np.ndarray]:
     """For each (bytes, phrase ends) the 64-bit hashes of the phrases; CHUNK bytes are hashed at a time."""
     raw, ends, sizes = [], [], []
     held = 0
@@ -126,7 +83,6 @@ def hashes(jobs: list[tuple[bytes, list[int]]]) -> Iterator[np.ndarray]:
         yield from np.split(h, np.cumsum(sizes)[:-1])
 
     for data, cuts in jobs:
-        cuts = np.array(cuts, dtype=np.int64)
         if len(data) > CHUNK:  # by itself, in parts that end where phrases end
             if raw:
                 yield from flush()
@@ -173,9 +129,10 @@ def likeness(a: str, b: str) -> float:
     """0 to 1; equal fingerprints, empty ones too, are alike by 1."""
     if a == b:
         return 1.0
-    x, y = ({f[i : i + DIGITS] for i in range(0, len(f), DIGITS)} for f in (a, b))
-    both = sorted(x | y)[:SIZE]
-    return sum(h in x and h in y for h in both) / len(both)
+    both = np.sort(np.frombuffer(bytes.fromhex(a + b), dtype=">u4").astype(np.uint32))
+    twice = both[1:] == both[:-1]
+    place = np.cumsum(np.concatenate(([True], ~twice)))  # among the distinct ones, from 1
+    return int((twice & (place[1:] <= SIZE)).sum()) / min(int(place[-1]), SIZE)
 
 
 def edit(text: str, following: str) -> str:

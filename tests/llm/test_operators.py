@@ -194,15 +194,28 @@ def test_fingerprints(spark, texts):
     assert lzprint.fingerprints(docs(spark, texts).limit(0)).count() == 0
 
 
+def lempel_ziv(raw):
+    known, at, ends = set(), 0, []
+    for e in range(1, len(raw) + 1):
+        if raw[at:e] not in known:
+            known.add(raw[at:e])
+            ends.append(e)
+            at = e
+    return ends + ([len(raw)] if at < len(raw) else [])
+
+
 def test_phrases_are_lempel_ziv():
     for raw in (b"", b"a", b"aaaaaaa", b"abababab", "héé hé".encode() * 9):
-        known, at, ends = set(), 0, []
-        for e in range(1, len(raw) + 1):
-            if raw[at:e] not in known:
-                known.add(raw[at:e])
-                ends.append(e)
-                at = e
-        assert lzprint.phrase_ends(raw) == ends + ([len(raw)] if at < len(raw) else [])
+        assert list(lzprint.phrase_ends(raw)) == lempel_ziv(raw)
+
+
+def test_likeness_is_of_the_smallest_hashes_of_both():
+    rng = random.Random(4)
+    for n, m in ((128, 128), (128, 3), (0, 5), (40, 60)):
+        x, y = (sorted(rng.sample(range(300), k)) for k in (n, m))
+        both = sorted({*x, *y})[: lzprint.SIZE]
+        a, b = ("".join(f"{v:08x}" for v in z) for z in (x, y))
+        assert lzprint.likeness(a, b) == sum(v in x and v in y for v in both) / len(both) and lzprint.likeness(a, a) == 1.0
 
 
 def test_chat(spark):
@@ -453,9 +466,15 @@ def test_fingerprints_of_repeated_ids_and_long_texts(spark, texts, monkeypatch):
     assert got == sorted(want)
     rng = random.Random(2)
     long = "".join(rng.choices("ab cdé", k=50_000)).encode()
-    one = lzprint.phrase_ends(long)
-    monkeypatch.setattr(lzprint, "FLAT", 1000)
-    assert list(lzprint.phrase_ends(long)) == one and list(lzprint.Parse(long[:20_000], long[20_000:]).ends) == one
+    parse = lzprint.Parse(long[:20_000], b"other")
+    assert list(parse.follow(long[20_000:])) == list(lzprint.phrase_ends(long)) == lempel_ziv(long)
+    mib = bytes(rng.choices(b"abcdefgh ", k=9 << 20))  # one dictionary, whatever the length
+    ends = lzprint.phrase_ends(mib)
+    cuts = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    phrases = [mib[a:b] for a, b in cuts]
+    assert ends[-1] == len(mib) and len(set(phrases[:-1])) == len(phrases) - 1
+    known = {b"", *phrases}
+    assert all(p[:-1] in known for p in phrases)
 
 
 def test_chat_probe_stays_apart(spark):
