@@ -28,7 +28,7 @@ from codeloom.llm.hashing import numbers, run_hashes
 #: Bytes of text that one batch holds, and that a long text is cut to.
 BATCH_BYTES, PIECE_CHARS = 1 << 20, 1 << 16
 #: Pre-tokens kept by a worker; beyond it the table starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: The one rule that CachedEncoder cuts by; fixed values of the tokenizer file's format. Any other file is the library's alone.
 KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
