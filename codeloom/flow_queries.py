@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
-from codeloom.operators import flow, resolve, types
+from codeloom.operators import context, flow, resolve, types
 from codeloom.plans.graph import PropertyGraph, from_tables
+from codeloom.plans.session import Session
 from codeloom.queries import _t, query
+from codeloom.streaming import watch
 
 _any = lambda words: "|".join(words)
 _listed = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
@@ -264,3 +266,72 @@ def edges_of_references(spark, sf_dir):
 def reopened_references(spark, sf_dir):
     g = from_tables(spark, sf_dir)
     return resolve.reopened(g.edges, g.nodes, spark.createDataFrame([("customer:1",)], "file_path string"))
+
+
+# --- contexts, sessions, changes ---
+
+
+@query("""with s as (select 'supplier:' || min(l_suppkey) as id from lineitem where l_partkey = 1), u as (select distinct 'supplier:' || l_suppkey as id from lineitem where l_partkey = 1)
+  select id, 'part:1' as src, id as dst from u union all select id, id, dst from (select 'part:' || l_partkey as id, min('supplier:' || l_suppkey) as dst from lineitem where 'supplier:' || l_suppkey in (select id from u) and l_partkey <> 1 group by 1)""", graph=False)
+def type_families(spark, sf_dir):
+    """The types around one part: what it implements and all that implement that too."""
+    g = from_tables(spark, sf_dir)
+    return context.expand_types(g, g.nodes.where("id = 'part:1'").select("id"), 2**30)
+
+
+@query("select src, dst, kind from edges where kind = 'Calls' union all select src, dst, kind from edges where kind = 'UsesType'")
+def recovered_edges(spark, sf_dir):
+    g = from_tables(spark, sf_dir)
+    return context.recovered_edges(g, g.nodes.where("kind <> 'Trait'"))
+
+
+@query("with f as (select file_path, count(distinct lower(name)) - 1 as boost from nodes group by 1) select id, boost from nodes join f using (file_path)")
+def colocated_names(spark, sf_dir):
+    return context.colocated(from_tables(spark, sf_dir).nodes)
+
+
+@query("""with o as (select 'order:' || o_orderkey as id from orders where o_custkey = 1) select id, 1 as depth from o union all select distinct e.dst, 2 from edges e join o on e.src = o.id where e.kind = 'UsesType'""")
+def flow_seeded(spark, sf_dir):
+    g = from_tables(spark, sf_dir)
+    return context.flow_seed(g, g.nodes.where("id = 'customer:1'").select("id"), 2)
+
+
+@query("select id, file_path from (select *, row_number() over (partition by file_path order by id) as k from nodes) where k <= 5")
+def diverse_files(spark, sf_dir):
+    g = from_tables(spark, sf_dir)
+    return context.diverse(g.nodes, g.nodes.limit(0), 5).select("id", "file_path")
+
+
+@query("select (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, (select count(distinct file_path) from nodes) as files, 0 as generation")
+def session_status(spark, sf_dir):
+    return Session(from_tables(spark, sf_dir)).status()
+
+
+@query("select file_path, count(*) as symbols from nodes group by 1")
+def session_files(spark, sf_dir):
+    return Session(from_tables(spark, sf_dir)).files()
+
+
+@query("select 'customer:' || o_custkey as id, 1 as depth from orders where o_orderkey = 1", graph=False)
+def session_callers(spark, sf_dir):
+    return Session(from_tables(spark, sf_dir)).callers("order_1")
+
+
+@query("""with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '1 hour' then 0 else 1 end as first from events), g as (select *, sum(first) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+  select user_id::varchar as path, min(ts) as first_seen, max(ts) as last_seen, count(*) as n from g group by user_id, k""", graph=False)
+def debounced_changes(spark, sf_dir):
+    return watch.debounced(_t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), "ts"), "1 hour")
+
+
+@query("""with t as (select epoch_us(min(ts)) as a, epoch_us(max(ts)) as b from events), m as (select make_timestamp(a + (b - a) // 2) as done, make_timestamp(b - (b - a) // 4) as running from t)
+  select user_id::varchar as path, count(*) as n, max(ts) <= max(running) as indexing from events, m where ts > done group by 1""", graph=False)
+def pending_changes(spark, sf_dir):
+    """A sync that ended at half of the time, one that runs from three quarters on."""
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    a, b = F.unix_micros("a"), F.unix_micros("b")
+    done = span.select(F.timestamp_micros((a + (b - a) / 2).cast("long")).alias("start"), F.col("b").alias("ended"), F.lit(True).alias("ok"))
+    running = span.select(F.timestamp_micros((b - (b - a) / 4).cast("long")).alias("start"), F.lit(None).cast("timestamp").alias("ended"), F.lit(None).cast("boolean").alias("ok"))
+    left = watch.pending(e, done.unionByName(running))
+    n = e.join(F.broadcast(done.select("start"))).where("ts > start").groupBy("path").agg(F.count("*").alias("n"))  # one row
+    return left.join(n, "path").select("path", "n", "indexing")

@@ -27,8 +27,8 @@ def token_estimate(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Secrets of flags, assignments, bearer headers and JSON web tokens blotted out."""
-    out = F.regexp_replace(text, r"(?i)(--(?:password|token|secret|api-key)[= ])\S+", "$1***")
-    out = F.regexp_replace(out, r"(?i)\b((?:password|token|secret|api_key)\s*=\s*)[^\s&]+", "$1***")
-    out = F.regexp_replace(out, r"(?i)(bearer )[A-Za-z0-9._-]+", "$1***")
-    return F.regexp_replace(out, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "***")
+    """Values of secret flags and assignments, bearer headers and JSON web tokens (20 characters or more) blotted out, up to a space or quote."""
+    out = F.regexp_replace(text, r"""(?i)(--(?:password|token|secret|api-?key)[= ]+)[^\s"']+""", "$1<REDACTED>")
+    out = F.regexp_replace(out, r"""(?i)((?:password|passwd|token|secret|api_?key)=)[^\s"']+""", "$1<REDACTED>")
+    out = F.regexp_replace(out, r"""(?i)(bearer )[^\s"']+""", "$1<REDACTED>")
+    return F.regexp_replace(out, r"eyJ[A-Za-z0-9_.-]{17,}", "<REDACTED_JWT>")
