@@ -22,13 +22,15 @@ components is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BATCH_ROWS, by_bytes, discard, fixed, freeing, partitions, stash
+from codeloom.llm.common import BATCH_ROWS, by_bytes, discard, fixed, freeing, partitions
+from codeloom.llm.common import stash as any_stash
 from codeloom.llm.hashing import scramble
 from codeloom.llm.shingles import shingle_sets
 
@@ -48,10 +50,16 @@ MEMBERS, WORDS = 512, 8
 COMPARED = 1 << 21
 #: Bits of the filter that picks the texts whose sets are needed.
 FILTER_BITS = 1 << 24
+#: Bits of a piece of that filter, which one task makes.
+PIECE = 1 << 18
 #: Columns of a set by which the first one that a pair shares is found.
 FIRSTS = 8
 #: Salts of a column's key where its rows look up whether it is still open.
 SALTS = 16
+#: Bytes of a stash up to which a join may take it through the driver.
+BROADCAST = 1 << 18
+
+stash = partial(any_stash, broadcast=BROADCAST)
 
 
 def _key(s: np.ndarray) -> int:
@@ -203,13 +211,17 @@ def _first_pass(postings: DataFrame, blocks: int) -> DataFrame:
 
 
 def _open_columns(columns: DataFrame, info: DataFrame) -> DataFrame:
-    """The rows of columns that hold several components, with dealt, the parts that the column is cut into."""
+    """The rows of columns that hold several components, with dealt, the parts that the column is cut into.
+
+    Open columns grow with the input, and Spark sees their file but not the
+    salts, so the join says that they are no table for the driver.
+    """
     c = columns.join(info.select("s", "c"), "s")
     # columns that are one component by now are done
     size = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
     alive = stash(c.groupBy("h").agg(size.alias("k"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h", "k"))
     salted = alive.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("k", "dealt")
-    return columns.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("salt")
+    return columns.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["h", "salt"]).drop("salt")
 
 
 def _tile_rows(columns: DataFrame, info: DataFrame) -> DataFrame:
@@ -349,6 +361,25 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Re
         yield held
 
 
+def _bitmap(need: DataFrame) -> np.ndarray:
+    """64-bit words in which the bits of the numbers at, under FILTER_BITS, are set; the driver gets a value for each piece, not for each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            piece, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for p in np.unique(piece).tolist():
+                held.setdefault(p, np.zeros(PIECE, dtype=np.uint8))[at[piece == p] % PIECE] = 1
+        bits = pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), bits], names=["piece", "bits"])
+
+    dealt = need.select(F.floor(F.col("at") / PIECE).cast("int").alias("piece"), "at").repartition(min(partitions(need.sparkSession), FILTER_BITS // PIECE), "piece")
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    for r in dealt.mapInArrow(run, "piece int, bits binary").collect():
+        out[r.piece * PIECE // 64 : (r.piece + 1) * PIECE // 64] = np.frombuffer(r.bits, dtype=np.uint64)
+    return out
+
+
 def _sets_of(need: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(s, set) of each row of need (s, row), which hold one document of each set.
 
@@ -361,9 +392,7 @@ def _sets_of(need: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     few = need.count() <= FILTER_BITS // 4
     at = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
     if few:
-        found = need.select((at / 64).cast("int").alias("w"), (at % 64).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("m")).toPandas()
-        wanted = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-        wanted[found.w.to_numpy()] = found.m.to_numpy().astype(np.int64).view(np.uint64)
+        wanted = _bitmap(need.select(at.alias("at")))
     else:
         own = own.join(need.select("row"), "row", "left_semi")
 
@@ -467,7 +496,8 @@ def classes(docs: DataFrame, words: int = 5) -> DataFrame:
     base = stash(describe(docs, words), batch_rows=BATCH_ROWS)
     meta = base.where("row is not null").select("row", "doc_id", "n", "s")
     sets = stash(base.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.first("sig").alias("sig")))
-    top = base.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
+    # written first: collected, the driver would get up to COMMON rows of each task and choose among them itself
+    top = stash(base.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON)).toPandas()
     common = top.h.to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(common)
     total = meta.agg(F.sum("n")).first()[0] or 0
@@ -497,7 +527,7 @@ def classes(docs: DataFrame, words: int = 5) -> DataFrame:
     of_set = sets.join(label, sets.s == label.v, "left").select("s", "first", F.coalesce("c", "s").alias("c"))
     named = of_set.groupBy("c").agg(F.min("first").alias("first"))
     set_class = stash(of_set.select("s", "c").join(named, "c").select("s", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept")))
-    full = meta.where("n > 0").join(set_class, "s").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("kept")).alias("keeper"))
+    full = meta.where("n > 0").join(set_class.hint("merge"), "s").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("kept")).alias("keeper"))
     empty = meta.where("n = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keeper"))
     return full.unionByName(empty)
 

@@ -503,3 +503,25 @@ def test_nothing_is_left_in_the_session(spark, texts):
     jaccard.keep_one(docs(spark, texts[:20])).count()
     lzprint.fingerprints(docs(spark, texts[:20])).count()
     assert before == {k: spark.conf.get(k) for k in before}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jaccard_keeps_growing_tables_off_the_driver(spark, texts, monkeypatch):
+    columns, info = spark.range(3000).selectExpr("id % 300 as h", "id as s", "1L as n"), spark.range(3000).selectExpr("id as s", "if(id % 300 < 200, id, 0L) as c")
+    alive = jaccard._open_columns(columns, info)  # 200 columns in 16 salts each
+    assert "Broadcast" not in plan(alive) and {(r.h, r.s) for r in alive.collect()} == {(i % 300, i) for i in range(3000) if i % 300 < 200}
+    at = random.Random(9).sample(range(jaccard.FILTER_BITS), 5000)
+    words = jaccard._bitmap(spark.createDataFrame([(x,) for x in [*at, *at[:50], 0, jaccard.FILTER_BITS - 1]], "at long"))
+    assert np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")).tolist() == sorted({*at, 0, jaccard.FILTER_BITS - 1})
+    frame, key = type(spark.range(1)), "spark.sql.autoBroadcastJoinThreshold"
+    writer, before, sent, most = type(spark.range(1).write), spark.conf.get(key), [], []
+    monkeypatch.setattr(frame, "toPandas", lambda self, f=frame.toPandas: (sent.append(plan(self)), f(self))[1])
+    monkeypatch.setattr(writer, "parquet", lambda self, *a, f=writer.parquet, **b: (most.append(spark.conf.get(key)), f(self, *a, **b))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+    assert sent and not any("TakeOrdered" in x for x in sent)  # the driver doesn't choose among every task's rows
+    stashes = most[1:]  # the first is that of documents that are no files
+    assert stashes and all(int(x) <= jaccard.BROADCAST for x in stashes) and spark.conf.get(key) == before
