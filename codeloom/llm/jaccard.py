@@ -56,8 +56,8 @@ PIECE = 1 << 18
 FIRSTS = 8
 #: Salts of a column's key where its rows look up whether it is still open.
 SALTS = 16
-#: Bytes of a stash up to which a join may take it through the driver.
-BROADCAST = 1 << 18
+#: Bytes of a stash, and rows that go, up to which a join may take them through the driver.
+BROADCAST, BROADCAST_ROWS = 1 << 18, 1 << 20
 
 stash = partial(any_stash, broadcast=BROADCAST)
 
@@ -537,5 +537,7 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     docs = fixed(docs)
     plain = [f"c{i}" for i in range(len(docs.columns))]
     gone = stash(classes(docs, words).where("not keeper").select("row"))
+    if gone.count() > BROADCAST_ROWS:
+        gone = gone.hint("merge")
     kept = docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()).join(gone, "row", "left_anti")
     return kept.select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])

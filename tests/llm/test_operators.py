@@ -525,3 +525,11 @@ def test_jaccard_keeps_growing_tables_off_the_driver(spark, texts, monkeypatch):
     assert sent and not any("TakeOrdered" in x for x in sent)  # the driver doesn't choose among every task's rows
     stashes = most[1:]  # the first is that of documents that are no files
     assert stashes and all(int(x) <= jaccard.BROADCAST for x in stashes) and spark.conf.get(key) == before
+
+
+def test_keep_one_sends_few_rows_through_the_driver(spark, texts, tmp_path, monkeypatch):
+    docs(spark, texts).write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 10)
+    kept = jaccard.keep_one(spark.read.parquet(str(tmp_path / "d")))
+    assert "Broadcast" not in plan(kept)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in brute_classes(texts).values()})
