@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, jaccard, lzprint, mixing, packing, tokens, topk, toxicity, urlfilter, warc
+from codeloom.llm import chat, hardneg, jaccard, lzprint, mixing, packing, periodic, sharding, tokens, topk, toxicity, urlfilter, warc
 from codeloom.llm.common import BATCH_ROWS, stash, table
 
 
@@ -64,7 +64,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.evaluate(pages.withColumn("fetch_day", F.col("page_id") % 365), url_entries(pages))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_warc, op4_topk, op5_fingerprints, op6_chat, op7_token_counts, op8_jaccard, op9_packing, op10_url_filter)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.negatives(rows.select("vec_id", "embedding", label.alias("label")), every=100, scale=256, positives=5, k=5, low=80, high=100)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.repeats(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_mix_sources, op2_toxicity, op3_warc, op4_topk, op5_fingerprints, op6_chat, op7_token_counts, op8_jaccard, op9_packing, op10_url_filter, op11_sharding, op12_hard_negatives, op13_periodic_runs)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _HOST_SQL = r"rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.')"
 
@@ -88,4 +103,16 @@ ORACLE_SQL = {
         g as (select page_id, count(*) as n_rules, max({{'n': length(rule), 'rule': rule, 'since': since}}) as best from h group by page_id)
         select c.page_id, c.url, c.fetch_day, c.host, coalesce(g.n_rules, 0) as n_rules, g.best.rule as rule, g.best.since as listed_day, g.n_rules is not null as blocked
         from c left join g on c.page_id = g.page_id""",
+    "op12_hard_negatives": """
+        with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+                   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        r as (select *, row_number() over (order by vec_id) as row from e),
+        s as (select a.row, a.vec_id as anchor_id, c.vec_id, a.label = c.label as alike,
+                cast(list_dot_product(list_transform(a.v, lambda x: cast(x as double)), list_transform(c.v, lambda x: cast(x as double))) as bigint) as score
+              from r a, r c where a.vec_id % 100 = 0 and a.row <> c.row),
+        p as (select *, row_number() over (partition by row order by score desc, vec_id) as place from s where alike),
+        n as (select p.row, p.place, p.anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+                row_number() over (partition by p.row, p.place order by s.score desc, s.vec_id) as rank
+              from p join s on p.row = s.row and p.place <= 5 and not s.alike and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+        select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 5""",
 }

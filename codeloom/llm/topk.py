@@ -141,12 +141,12 @@ def _block_top(k: int, queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFr
     return pd.DataFrame({n: np.array(c, dtype=np.int64) for n, c in zip(("row", "query_id", "vec_id", "score"), found, strict=True)})
 
 
-def quantise(embeddings: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, v) with v = floor(scale * x); vectors null, or with null or non-finite components, or without id, are left out."""
+def quantise(embeddings: DataFrame, scale: int, *carry: str) -> DataFrame:
+    """(vec_id, v) with v = floor(scale * x), and the columns to carry; vectors null, or with null or non-finite components, or without id, are left out."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     whole = lambda c: F.when(F.abs(c * scale) < float(BOUND), F.floor(c * scale).cast("long")).otherwise(F.raise_error(F.concat(F.lit("too large a component: "), c.cast("string"))).cast("long"))
-    return embeddings.where(F.coalesce(sound, F.lit(False))).select("vec_id", F.transform(x, whole).alias("v"))
+    return embeddings.where(F.coalesce(sound, F.lit(False))).select("vec_id", *carry, F.transform(x, whole).alias("v"))
 
 
 def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
