@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm.common import partitions
+from codeloom.llm.common import Batches, partitions
 from codeloom.llm.template import Template
 
 #: A turn is [TURN] role [TEXT] text [END]; texts and roles never hold a bracket or angle that is not escaped.
 CHAT_TEMPLATE = "{% for m in messages %}[TURN]{{ m.role | control }}[TEXT]{% if m.role == 'assistant' %}{% generation %}{{ m.text | control }}{% endgeneration %}{% else %}{{ m.text | control }}{% endif %}[END]\n{% endfor %}"
 _CONTROL, _ESCAPED = re.compile(r"[\\\[\]<>]"), re.compile(r"\\(.)", re.S)
+_TEXTS = ("formatted", "turns_sha256", "loss_sha256")
+_COLUMNS = ("conv_id", "formatted", "spans", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+_FORMATTED = pa.schema([(c, pa.list_(pa.list_(pa.int32())) if c == "spans" else pa.string() if c in _TEXTS else pa.int64()) for c in _COLUMNS])
 _TURN = re.compile(r"\[TURN\](.*?)\[TEXT\](.*?)\[END\]\n", re.S)
 
 
@@ -64,30 +67,29 @@ def conversations(turns: DataFrame, source: str = CHAT_TEMPLATE) -> DataFrame:
     spark = turns.sparkSession
     template = compiled(source)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Batches) -> Batches:
         held, now, out = [], None, []
 
         def done() -> dict:
             formatted, spans = format_turns(held, template)
             return {"conv_id": now, "formatted": formatted, "spans": [list(s) for s in spans]} | digest(formatted, spans)
 
-        for f in frames:
-            for c, r, t in zip(f.conv_id, f.role, f.text, strict=True):
-                c = None if pd.isna(c) else int(c)
+        for b in batches:  # ids stay whole numbers: a null beside them would make floats of them in pandas
+            for c, r, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if held and c != now:
                     out.append(done())
                     held = []
                 now = c
                 held.append((r, t))
             if out:
-                yield pd.DataFrame(out).astype({"conv_id": "Int64"})
+                yield pa.RecordBatch.from_pylist(out, schema=_FORMATTED)
                 out = []
         if held:
-            yield pd.DataFrame([done()]).astype({"conv_id": "Int64"})
+            yield pa.RecordBatch.from_pylist([done()], schema=_FORMATTED)
 
-    dealt = turns.select("conv_id", "turn", "role", "text").repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = "conv_id long, formatted string, spans array<array<int>>, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return dealt.select("conv_id", "role", "text").mapInPandas(run, schema)
+    return dealt.select("conv_id", "role", "text").mapInArrow(run, schema)
 
 
 def probe(spark: SparkSession) -> DataFrame:
