@@ -13,11 +13,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import freeing, partitions, stash
+from codeloom.llm.common import Batches, fixed, freeing, partitions, stash
 from codeloom.llm.hashing import numbers, run_hashes
 
 #: Hashes of a fingerprint, and hex digits of each.
@@ -141,94 +141,99 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _placed(spark, n: int) -> list[int]:
-    """For each of n partitions a number that hash partitioning by it sends there."""
-    got = spark.range(20 * n + 100).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
-    place = {r.p: r.id for r in got}
-    return [place.get(i, i) for i in range(n)]
+def dealt(docs: DataFrame) -> DataFrame:
+    """part, doc_id, text: documents by descending doc_id (null ids last, rows of one id by a hash of their text) in sorted ranges.
 
+    Bounds are sampled by Spark. The number of a row as it was read parts rows
+    that are alike in all else, so that a range may end in a group of any size.
+    """
+    docs = fixed(docs)
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").isNull().alias("lost"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("u"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    order = ["lost", F.desc("doc_id"), "u", "row"]
+    n = max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+
+
+_DIGEST = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_EDGE = [("part", pa.int32()), ("first_text", pa.string()), ("last_id", pa.int64()), ("last_text", pa.string())]
+_ROW = pa.schema(_DIGEST + _EDGE)
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string"}
+
+
+def _schema(fields: list) -> str:
+    return ", ".join(f"{n} {_SQL[t]}" for n, t in fields)
+
+
+class _Chain:
+    """Digests of documents that follow each other; a document's row comes once the next one is there."""
+
+    def __init__(self) -> None:
+        self.held: tuple | None = None  # id, text, parse, fingerprint
+
+    def follow(self, ids: list, texts: list) -> list[tuple]:
+        jobs: list[tuple[bytes, np.ndarray]] = []
+        rows, again = [], None
+        before = self.held
+        for i, t in zip(ids, texts, strict=True):
+            if before and before[1] == t:  # its parse and fingerprint hold
+                now = (i, t, *before[2:])
+            else:
+                k = len(t) // 2
+                head, tail = to_bytes(t[: len(t) - k]), to_bytes(t[len(t) - k :])
+                parse = Parse(head, tail)
+                jobs.append((head + tail, parse.ends))
+                now = (i, t, parse, len(jobs) - 1)
+            if before:
+                new = edit(before[1], t)
+                if new == before[1]:
+                    edited = None
+                elif again and again[0] is before[2] and again[1] == new:
+                    edited = again[2]
+                else:
+                    raw = to_bytes(new)
+                    jobs.append((raw, before[2].follow(raw[len(before[2].head) :])))
+                    edited = len(jobs) - 1
+                    again = before[2], new, edited
+                rows.append((before, edited, now[3], hashlib.sha256(to_bytes(new)).hexdigest()))
+            before = now
+        marks = [smallest(h) for h in hashes(jobs)]
+        named = lambda x: x if isinstance(x, str) else marks[x]
+        out = []
+        for (i, t, _, own), edited, following, sha in rows:
+            own = named(own)
+            mark = own if edited is None else marks[edited]
+            out.append((i, len(t), sha, own, mark, likeness(own, mark), likeness(own, named(following))))
+        self.held = before and (*before[:3], named(before[3]))
+        return out
+
+
+def _ranges(batches: Batches) -> Batches:
+    """Digests of all documents of a range but its last, and a row of what neighbouring ranges need: its first text, its last id and text."""
+    chain, first, part = _Chain(), None, None
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            some = b.slice(lo, ROWS)
+            ids, texts = some.column(1).to_pylist(), some.column(2).to_pylist()
+            if first is None:
+                first, part = texts[0], some.column(0)[0].as_py()
+            out = chain.follow(ids, texts)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(_ROW.names, r, strict=False)) for r in out], schema=_ROW)
+    if first is not None:
+        yield pa.RecordBatch.from_pylist([{"part": part, "first_text": first, "last_id": chain.held[0], "last_text": chain.held[1]}], schema=_ROW)
 
-class Ranges:
-    """Ranges of documents by descending doc_id, null ids last, the rows of an id by a hash of their text.
 
-    bounds are ids: region j holds the ids above bounds[j - 1] and up to
-    bounds[j], the region after them the larger ones. An id with many rows is
-    a region of its own, cut by the hash into parts[j] ranges, as are the null
-    ids, the last region.
-    """
+def _pairs(batches: Batches) -> Batches:
+    """Digests of documents, each beside the text of the next one."""
+    for b in batches:
+        rows = [_row_of(i, t, following) for i, t, following in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
+        yield pa.RecordBatch.from_pylist([dict(zip(_ROW.names, r, strict=False)) for r in rows], schema=pa.schema(_DIGEST))
 
-    def __init__(self, bounds: list[int], parts: list[int], of_null: int):
-        self.bounds, self.parts, self.of_null = np.array(bounds, dtype=np.int64), np.array(parts, dtype=np.int64), of_null
-        self.n = int(self.parts.sum()) + of_null
-        self.base = self.n - of_null - np.cumsum(self.parts)  # regions descend
-
-    @classmethod
-    def of(cls, ids: DataFrame, n: int) -> Ranges:
-        """About n ranges of as many bytes each; ids: doc_id, u, size. At most 8 n bounds and their sizes come to the driver."""
-        fine = 8 * n
-        r = ids.agg(F.sum("size").alias("size"), F.sum(F.when(F.col("doc_id").isNull(), F.col("size"))).alias("null")).first()
-        found = ids.where("doc_id is not null").approxQuantile("doc_id", [i / fine for i in range(1, fine)], 1 / (4 * fine))
-        each = max(1, (r.size or 0) // n)
-        marks = sorted(int(x) for x in found)
-        heavy = {x for x, y in zip(marks, marks[8:], strict=False) if x == y}
-        bounds = sorted({*marks, *(x - 1 for x in heavy)})
-        coarse = cls(bounds, [1] * (len(bounds) + 1), 1)
-        sizes = {x.r: x.size for x in ids.groupBy(coarse.number("doc_id", "u").alias("r")).agg(F.sum("size").alias("size")).collect()}
-        kept, parts, held = [], [], 0
-        for j, b in enumerate(bounds):  # neighbours are joined until they hold enough
-            size = sizes.get(int(coarse.base[j]), 0)
-            after = sizes.get(int(coarse.base[j + 1]), 0)
-            held += size
-            if b in heavy or held + after / 2 >= each or (j + 1 < len(bounds) and bounds[j + 1] in heavy):
-                kept.append(b)
-                parts.append(max(1, -(-size // each)) if b in heavy else 1)
-                held = 0
-        return cls(kept, [*parts, 1], max(1, -(-(r.null or 0) // each)))
-
-    def number(self, doc_id: str, u: str) -> Column:
-        """The range of a row."""
-        bounds, parts, base, n, of_null = self.bounds, self.parts, self.base, self.n, self.of_null
-
-        @F.pandas_udf("int")
-        def find(x: pd.Series, h: pd.Series) -> pd.Series:
-            lost = x.isna().to_numpy()
-            j = np.searchsorted(bounds, x.fillna(0).astype("int64").to_numpy(), side="left")
-            share = (h.to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # as signed numbers ascend
-            inside = lambda m: (share * np.asarray(m, dtype=np.uint64) >> np.uint64(32)).astype(np.int64)
-            return pd.Series(np.where(lost, n - of_null + inside(of_null), base[j] + inside(parts[j])).astype("int32"))
-
-        return find(F.col(doc_id), F.col(u))
-
-
-def neighbours(docs: DataFrame, n: int) -> DataFrame:
-    """Documents dealt into about n ranges, each sorted, with the following range's first document after its own (ghost).
-
-    Each range's first id and hash come to the driver; whole texts move once.
-    """
-    spark = docs.sparkSession
-    u = F.xxhash64(F.coalesce("text", F.lit("")))
-    ids = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), u.alias("u"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size")))
-    n = max(n, -(-(ids.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
-    ranges = Ranges.of(ids, n)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), F.bitwise_not("doc_id").alias("down"), "u")).alias("first")
-    tops = ids.select("doc_id", "u", ranges.number("doc_id", "u").alias("r")).groupBy("r").agg(first).orderBy("r").collect()
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), u.alias("u"))
-    own = whole.withColumn("r", ranges.number("doc_id", "u")).withColumn("ghost", F.lit(0))
-    if not tops:
-        return spark.createDataFrame([], "doc_id long, text string, u long, r int, ghost int, to long")
-    # the first row of each range follows the last one of the range before; one row a range
-    heads = [(None if t.first.lost else ~t.first.down, t.first.u, tops[i - 1].r) for i, t in enumerate(tops)]
-    lead = spark.createDataFrame(heads, "id long, hash long, r int")
-    ghosts = whole.join(F.broadcast(lead), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("u") == F.col("hash"))).groupBy("doc_id", "u", "r").agg(F.min("text").alias("text"))
-    every = own.unionByName(ghosts.withColumn("ghost", F.lit(1)))
-    place = np.array(_placed(spark, ranges.n), dtype=np.int64)
-
-    @F.pandas_udf("long")
-    def task(r: pd.Series) -> pd.Series:
-        return pd.Series(place[r.to_numpy()])
-
-    every = every.withColumn("to", task("r"))
-    return every.repartition(ranges.n, "to").sortWithinPartitions("r", "ghost", F.desc_nulls_last("doc_id"), "u", "text")
+
+def _row_of(i: int | None, text: str, following: str) -> tuple:
+    return _Chain().follow([i, None], [text, following])[0]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -240,47 +245,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     hash of their text); after the last comes the first. Null texts are empty;
     other columns are not read; one row out per row in; a lone document
     follows itself; an empty table gives no rows. A task streams its range
-    and holds ROWS texts; of equal texts in a row one is parsed.
+    and holds ROWS texts; of equal texts in a row one is parsed. A range's
+    last document meets the first of the next range in a join of one row a
+    range; nothing that grows with the input comes to the driver.
     """
-    spark = docs.sparkSession
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the row before: range, id, text, parse, fingerprint
-        for f in (f.iloc[k : k + ROWS] for f in frames for k in range(0, len(f), ROWS)):
-            jobs, rows, last = [], [], None
-            before, again = held, None
-            for r, ghost, i, t in zip(f.r, f.ghost, f.doc_id, f.text, strict=True):
-                number = None if pd.isna(i) else int(i)
-                if before and before[2] == t:  # its parse and fingerprint hold
-                    now = (r, number, t, *before[3:])
-                else:
-                    k = len(t) // 2
-                    head, tail = to_bytes(t[: len(t) - k]), to_bytes(t[len(t) - k :])
-                    parse = Parse(head, tail)
-                    jobs.append((head + tail, parse.ends))
-                    now = (r, number, t, parse, len(jobs) - 1)
-                if before and before[0] == r:
-                    new = edit(before[2], t)
-                    if new == before[2]:
-                        edited = None
-                    elif again and again[0] is before[3] and again[1] == new:
-                        edited = again[2]
-                    else:
-                        raw = to_bytes(new)
-                        jobs.append((raw, before[3].follow(raw[len(before[3].head) :])))
-                        edited = len(jobs) - 1
-                        again = before[3], new, edited
-                    rows.append((before, edited, now[4], hashlib.sha256(to_bytes(new)).hexdigest()))
-                before = last = None if ghost else now
-            marks = [smallest(h) for h in hashes(jobs)]
-            out = []
-            for (_, i, t, _, own), edited, following, sha in rows:
-                own = own if isinstance(own, str) else marks[own]
-                mark = own if edited is None else marks[edited]
-                out.append((i, len(t), sha, own, mark, likeness(own, mark), likeness(own, following if isinstance(following, str) else marks[following])))
-            held = last and (*last[:4], last[4] if isinstance(last[4], str) else marks[last[4]])
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return stash(neighbours(docs, partitions(spark)).select("r", "ghost", "doc_id", "text").mapInPandas(freeing(run), schema), batch_rows=ROWS)
+    found = stash(dealt(docs).mapInArrow(freeing(_ranges), _schema(_DIGEST + _EDGE)), batch_rows=ROWS)
+    columns = [n for n, _ in _DIGEST]
+    inner = found.where("part is null").select(columns)
+    edges = found.where("part is not null").select([n for n, _ in _EDGE])
+    parts = edges.select("part")
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))  # numbers of ranges only
+    turns = parts.select("part", following.alias("next"))
+    heads = edges.select(F.col("part").alias("next"), "first_text")
+    pairs = edges.select("part", "last_id", "last_text").join(turns.hint("merge"), "part").join(heads.hint("merge"), "next").select("last_id", "last_text", "first_text")
+    return inner.unionByName(stash(pairs.mapInArrow(freeing(_pairs), _schema(_DIGEST)), batch_rows=ROWS))
