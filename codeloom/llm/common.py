@@ -136,3 +136,37 @@ def freeing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
             _trim()
 
     return wrapped
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of whole numbers as rows, the shorter ones padded with zeros."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), width), dtype=np.int64)
+    heads = np.cumsum(sizes) - sizes
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(heads, sizes)] = values
+    return out
+
+
+def met(batches: Batches, build: Callable[[list[pa.RecordBatch]], object], meet: Callable[..., pa.RecordBatch], most: int) -> Batches:
+    """meet(block, queries) for each block and `most` queries at a time; rows come by block (rb), a block's own rows (kind 0), of which it is built, before the queries (kind 1)."""
+    held: list[pa.RecordBatch] = []
+    now, block = None, None
+    for batch in batches:
+        place = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("rb", "kind")])
+        cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            rb, kind = (int(v) for v in place[:, lo])
+            if rb != now:
+                now, held, block = rb, [], None
+            if kind == 0:
+                held.append(batch.slice(lo, hi - lo))
+                continue
+            if block is None:
+                if not held:
+                    continue  # a block without rows
+                block, held = build(held), []
+            for at in range(lo, hi, most):
+                yield meet(block, batch.slice(at, min(most, hi - at)))

@@ -18,25 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Batches, freeing, partitions, stash
-from codeloom.llm.topk import quantise
+from codeloom.llm.common import Batches, freeing, matrix, met, partitions, stash
+from codeloom.llm.topk import FEW_ROWS, quantise
 
 #: Numbers (rows times components) of a block of rows, of which a task holds one; anchors met at once; pairs verified at once.
 BLOCK_NUMBERS, ANCHORS, PAIRS = 1 << 20, 256, 1 << 14
 #: Rows met at once: few at first, so that the first scores make bounds, then more.
 FIRST_TILE, LAST_TILE = 64, 2048
-#: A table is dealt to all tasks only while blocks have this many rows.
-FEW_ROWS = 1024
-
-
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Lists of whole numbers as rows, the shorter ones padded with zeros."""
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(sizes), width), dtype=np.int64)
-    heads = np.cumsum(sizes) - sizes
-    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(heads, sizes)] = values
-    return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -193,30 +181,6 @@ class Block:
         return *best.held, width
 
 
-def _met(batches: Batches, turn: np.ndarray, meet) -> Batches:
-    """meet(block, some anchors) for all anchors of each block; rows come by block, a block's own rows before its anchors."""
-    held: list[pa.RecordBatch] = []
-    now, block = None, None
-    for batch in batches:
-        place = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("rb", "kind")])
-        cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if lo == hi:
-                continue
-            rb, kind = (int(v) for v in place[:, lo])
-            if rb != now:
-                now, held, block = rb, [], None
-            if kind == 0:
-                held.append(batch.slice(lo, hi - lo))
-                continue
-            if not held and block is None:
-                continue  # a block without rows
-            if block is None:
-                block, held = Block(held, turn), []
-            for at in range(lo, hi, ANCHORS):
-                yield meet(block, batch.slice(at, min(ANCHORS, hi - at)))
-
-
 def _out(names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
 
@@ -262,7 +226,7 @@ def negatives(embeddings: DataFrame, every: int = 100, scale: int = 256, positiv
             a, score, r = block.alike(anchors, turn, positives)
             return _out(["row", "positive_id", "score"], [anchors.column("row").to_numpy()[a], block.ids[r], score])
 
-        return _met(batches, turn, meet)
+        return met(batches, lambda parts: Block(parts, turn), meet, ANCHORS)
 
     anchors = rows.where(F.col("vec_id") % every == 0).withColumn("low", nothing).withColumn("high", nothing)
     near = past_blocks(anchors, alike, "row long, positive_id long, score long")
@@ -283,7 +247,7 @@ def negatives(embeddings: DataFrame, every: int = 100, scale: int = 256, positiv
             a, place = np.divmod(g, max(wide, 1))
             return _out(["row", "place", "negative_id", "negative_score"], [anchors.column("row").to_numpy()[a], place + 1, block.ids[r], score])
 
-        return _met(batches, turn, meet)
+        return met(batches, lambda parts: Block(parts, turn), meet, ANCHORS)
 
     far = past_blocks(asking, unlike, "row long, place long, negative_id long, negative_score long")
     best = Window.partitionBy("row", "place").orderBy(F.desc("negative_score"), "negative_id")

@@ -1,8 +1,8 @@
 """Operator 4, exact top-k by a bit-sliced index.
 
 Rows are dealt into blocks. In a block every attribute is a stack of bitmaps,
-one for each bit of the quantised value; the blocks are built once and kept as
-a table. For a query the attribute slices, shifted by the signed digits of its
+one for each bit of the quantised value; a block is built once, by the task
+past which all queries stream. For a query the attribute slices, shifted by the signed digits of its
 weights, are added with carry-save adders made of AND, OR and XOR; the sum is
 again a stack of slices. The top rows are selected from the most significant
 slice downward; rows that tie at the boundary are taken by smallest id. Scores
@@ -13,13 +13,15 @@ query row.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import stash
+from codeloom.llm.common import Batches, freeing, matrix, met, partitions, stash
 
-#: Rows and queries of a block: a task holds one block of each.
+#: A table is dealt to all tasks only while blocks have this many rows.
+FEW_ROWS = 1024
+#: Rows of a block and queries met at once: a task holds one block of each.
 BLOCK_ROWS, BLOCK_QUERIES = 16384, 512
 #: Quantised components are below this in magnitude, so that the range of an attribute fits 64 bits.
 BOUND = 1 << 62
@@ -105,40 +107,28 @@ class BitSlices:
         return np.concatenate((rows, edge))
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), dtype=np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
-
-
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
+class _Block:
     """A block of the index; its rows are in order of id and row number, so that ties go to the smaller id."""
-    rows = rows.sort_values(["vec_id", "row"], ignore_index=True)
-    index = BitSlices.of(_matrix(rows.v, max(map(len, rows.v))))
-    one = {"rb": rows.rb[0], "ids": rows.vec_id.to_numpy(), "rows": rows.row.to_numpy(), "low": index.low, "width": index.width, "bits": index.bits.tobytes()}
-    return pd.DataFrame([one])
-
-
-def _block_top(k: int, queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-    found = [[], [], [], []]
-    for block in blocks.itertuples() if len(queries) else ():
-        ids, rows, low = (np.asarray(x, dtype=np.int64) for x in (block.ids, block.rows, block.low))
-        dims = max(len(low), *map(len, queries.v))
-        bits = np.frombuffer(block.bits, dtype=np.uint64).reshape(len(low), block.width, -1)
-        if dims > len(low):  # a row that is shorter counts as padded with zeros
-            low, bits = np.append(low, np.zeros(dims - len(low), dtype=np.int64)), np.concatenate((bits, np.zeros((dims - len(low), *bits.shape[1:]), dtype=np.uint64)))
-        index = BitSlices(len(ids), low, bits)
-        place = {r: i for i, r in enumerate(rows.tolist())}
-        for q, row, own in zip(_matrix(queries.v, dims), queries.row, queries.vec_id, strict=True):
+
+    def __init__(self, parts: list[pa.RecordBatch], width: int):
+        ids, rows = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]).astype(np.int64) for c in ("vec_id", "row"))
+        order = np.lexsort((rows, ids))
+        self.ids, self.rows = ids[order], rows[order]
+        self.index = BitSlices.of(np.concatenate([matrix(b.column("v"), width) for b in parts])[order])
+        self.place = {r: i for i, r in enumerate(self.rows.tolist())}
+
+    def top(self, queries: pa.RecordBatch, width: int, k: int) -> pa.RecordBatch:
+        found: list[list[int]] = [[], [], [], []]
+        index = self.index
+        for q, row, own in zip(matrix(queries.column("v"), width), queries.column("row").to_pylist(), queries.column("vec_id").to_pylist(), strict=True):
             allowed = index.valid.copy()
-            if (at := place.get(row)) is not None:
+            if (at := self.place.get(row)) is not None:
                 allowed[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
             slices, rest = index.weighted(q)
             got = index.top(slices, k, allowed)
-            for col, values in zip(found, ([row] * len(got), [own] * len(got), ids[got].tolist(), index.values(slices, rest, got)), strict=True):
+            for col, values in zip(found, ([row] * len(got), [own] * len(got), self.ids[got].tolist(), index.values(slices, rest, got)), strict=True):
                 col.extend(values)
-    return pd.DataFrame({n: np.array(c, dtype=np.int64) for n, c in zip(("row", "query_id", "vec_id", "score"), found, strict=True)})
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in found], names=["row", "query_id", "vec_id", "score"])
 
 
 def quantise(embeddings: DataFrame, scale: int, *carry: str) -> DataFrame:
@@ -155,23 +145,26 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
     query_id, rank (from 1), vec_id, score; ties to the smaller vec_id, fewer
     rows if there are fewer. Null vectors and vectors with null, NaN or
     infinite components take no part; a shorter vector counts as padded with
-    zeros. A component of BOUND / scale or more, or a score of a block's top
-    that does not fit 64 bits, is an error. Rows that repeat a vec_id are
-    candidates, and queries, of their own: each such query row has its own
-    ranks. Other columns are not read. An empty table gives no rows. Queries
-    and the index meet block by block: each block of queries is sent to each
-    block of the index, and only k rows a query and block come out.
+    zeros, so an empty one scores 0 with all. A component of BOUND / scale or
+    more, or a score of a block's top that does not fit 64 bits, is an error.
+    Rows that repeat a vec_id are candidates, and queries, of their own: each
+    such query row has its own ranks. Other columns are not read. An empty
+    table gives no rows. Each row is in one block of the index, which one task
+    builds and keeps while all queries stream past it, block_queries at a
+    time; only k rows a query and block come out.
     """
     rows = stash(quantise(embeddings, scale).withColumn("row", F.monotonically_increasing_id()))
-    n, m = rows.count(), rows.where(F.col("vec_id") % every == 0).count()
-    row_blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
-    number = lambda count, *salt: F.pmod(F.xxhash64("row", *map(F.lit, salt)), F.lit(count)).cast("int")
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    kinds = "rb int, ids array<long>, rows array<long>, low array<long>, width int, bits binary"
-    index = stash(rows.withColumn("rb", number(row_blocks)).groupBy("rb").applyInPandas(_build, kinds))
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("qb", number(query_blocks, 1)).withColumn("rb", each(row_blocks))
-    key = ["qb", "rb"]
-    near = queries.groupBy(*key).cogroup(index.withColumn("qb", each(query_blocks)).groupBy(*key)).applyInPandas(lambda a, b: _block_top(k, a, b), "row long, query_id long, vec_id long, score long")
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    width = width or 0
+    blocks = max(1, -(-n // block_rows), min(partitions(embeddings.sparkSession), n // FEW_ROWS))
+    index = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("rb"), F.lit(0).alias("kind"), "row", "vec_id", "v")
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"), F.lit(1).alias("kind"), "row", "vec_id", "v")
+
+    def run(batches: Batches) -> Batches:
+        return met(batches, lambda parts: _Block(parts, width), lambda block, some: block.top(some, width, k), block_queries)
+
+    dealt = index.unionByName(queries).repartition(blocks, "rb").sortWithinPartitions("rb", "kind")
+    near = dealt.mapInArrow(freeing(run), "row long, query_id long, vec_id long, score long")
     w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from codeloom.llm import hardneg, periodic, queries, sharding
+from codeloom.llm import chat, hardneg, lzprint, periodic, queries, sharding, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -220,3 +220,46 @@ def test_next_smaller_by_its_stack():
 
 def test_new_queries_are_registered(spark):
     assert {"op11_sharding", "op12_hard_negatives", "op13_periodic_runs"} <= set(queries.QUERIES)
+
+
+# --- large ids beside a null, empty vectors ---
+
+BIG = 1 << 60
+
+
+def test_conversations_of_large_ids_beside_a_null(spark):
+    rows = [(BIG + i, 0, "assistant", f"t{i}") for i in range(12)] + [(None, 0, "user", "lost"), (None, 1, "assistant", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.conversations(table).collect()}
+    assert got == {**{BIG + i: (1, len(f"t{i}")) for i in range(12)}, None: (2, 1)}
+
+
+def test_a_conversation_longer_than_a_batch(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"[{i}]") for i in range(25_000)] + [(2, 0, "user", "b")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: r for r in chat.conversations(table).collect()}
+    said = "".join(f"{r}\n{t}\n" for _, _, r, t in rows[:-1])
+    assert got[1].n_turns == 25_000 and got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[2].n_turns == 1
+
+
+def test_fingerprints_of_large_ids_beside_a_null(spark):
+    rows = [(BIG + i, f"text {i} of some words " * (i + 1)) for i in range(9)] + [(None, "lost text"), (None, None), (BIG + 4, "again"), (-BIG, "first")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = sorted(rows[:9] + rows[11:], key=lambda r: -r[0])
+    got = {(r.doc_id, r.fingerprint): r for r in lzprint.fingerprints(table.repartition(3)).collect()}
+    assert sorted((i, f) for i, f in got if i is not None) == sorted((i, lzprint.fingerprint(t)) for i, t in ordered)
+    known = [(i, t) for i, t in ordered if i != BIG + 4]
+    for (i, t), (j, following) in zip(known, known[1:], strict=False):
+        if ordered[ordered.index((i, t)) + 1] == (j, following):
+            r = got[i, lzprint.fingerprint(t)]
+            assert r.edited_sha256 == hashlib.sha256(lzprint.edit(t, following).encode()).hexdigest()
+            assert r.near_next == lzprint.likeness(lzprint.fingerprint(t), lzprint.fingerprint(following))
+
+
+def test_top_k_of_empty_vectors(spark):
+    rows = [(20, []), (40, [])]
+    table = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(table(rows)).orderBy("query_id").collect()] == [(20, 1, 40, 0), (40, 1, 20, 0)]
+    rows += [(60, [1.0, -2.0]), (61, [0.5])]
+    want = {(20, 0), (40, 0), (61, 32)}
+    assert {(r.vec_id, r.score) for r in topk.top_k(table(rows), block_rows=1).where("query_id = 60").collect()} == {(i, 64 * s) for i, s in want}
