@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.scalars import words_of
 from codeloom.operators import search
 from codeloom.operators.facade import is_low_value, is_test
+from codeloom.sources.terms import TermIndex
 
 #: Fields that a query may name, and what kinds add to a score.
 FIELDS = {"kind": "kind", "type": "kind", "lang": "language", "language": "language", "path": "file_path", "file": "file_path", "name": "name"}
@@ -98,9 +99,12 @@ def exact_names(nodes: DataFrame, names: list[str], per_name: int = 20) -> DataF
     return scored.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_name).select("id", "name", "score")
 
 
-def find(nodes: DataFrame, text: str, limit: int = 20, offset: int = 0) -> DataFrame:
+def find(nodes: DataFrame, text: str, limit: int = 20, offset: int = 0, index: TermIndex | None = None) -> DataFrame:
     """(id, name, kind, score): words by BM25 over name and qualified name, or else within names, or else within two edits; filters alone give rows by name.
 
+    With an index of the nodes' words the first tier goes by stems, compounds
+    and words that meet in a file, and no row's words are read.
+
     Hits are scored again by name, kind and path; files of little value lose
     20. Ties by name and id. A tier is tried where the one before has no row.
     """
@@ -108,7 +112,10 @@ def find(nodes: DataFrame, text: str, limit: int = 20, offset: int = 0) -> DataF
     rows = filtered(nodes, q.filters)
     if not q.words:
         return rows.orderBy("name", "id").offset(offset).limit(limit).select("id", "name", "kind", F.lit(0.0).alias("score"))
-    hits = bm25_fields(rows, [w for x in q.words for w in _words(x)] or q.words, {"name": 10.0, "qualified_name": 5.0})
+    if index is not None:
+        hits = index.search(" ".join(q.words)).join(rows.select("id"), "id", "left_semi")
+    else:
+        hits = bm25_fields(rows, [w for x in q.words for w in _words(x)] or q.words, {"name": 10.0, "qualified_name": 5.0})
     if not hits.limit(1).count():
         hits = rows.select("id", search.like_score(F.col("name"), " ".join(q.words)).alias("score")).where("score is not null")
         if not hits.limit(1).count():

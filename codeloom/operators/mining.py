@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.plans.prefix import running
+
 
 def co_change(changes: DataFrame, least: int = 2, most_per_commit: int = 200) -> DataFrame:
     """(a, b, together, total_a, total_b, confidence) of changes(commit, item), a < b.
@@ -51,18 +53,26 @@ def enclosing(points: DataFrame, spans: DataFrame, width: int) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, gap: int) -> DataFrame:
-    """(file, start, end, n): ranges(file, start, end) of a file joined where they lie within `gap`."""
-    w = Window.partitionBy("file").orderBy("start", "end")
-    far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("new", F.when(far.isNull() | (F.col("start") > far + gap), 1).otherwise(0))
-    island = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("file", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
+    """(file, start, end, n): ranges(file, start, end) of a file joined where they lie within `gap`; a range with a null bound, or that ends before it starts, joins none and is left out.
+
+    Each range adds 1 where it starts and takes 1 away where its reach ends;
+    islands begin where the running sum comes up from 0. The sums run over
+    ranges of the sort order, so a file with most of the rows is no task.
+    """
+    r = ranges.where("start <= end").select("file", "start", "end")
+    opens = r.select("file", F.col("start").alias("at"), F.lit(0).alias("closing"), F.lit(1).alias("step"), "start", "end")
+    closes = r.select("file", (F.col("end") + gap).alias("at"), F.lit(1).alias("closing"), F.lit(-1).alias("step"), F.lit(None).cast(r.schema["start"].dataType).alias("start"), F.lit(None).cast(r.schema["end"].dataType).alias("end"))
+    # where the sum is back at 0 an island has ended, so the zeros before a row number its island
+    depth = running(opens.unionByName(closes), {"open": F.col("step")}, [F.col("at"), F.col("closing")], ["file"])
+    marked = running(depth, {"ended": F.when(F.col("open") == 0, 1).otherwise(0)}, [F.col("at"), F.col("closing"), -F.col("open")], ["file"])
+    inner = marked.where("closing = 0")
+    return inner.groupBy("file", "ended").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("ended")
 
 
 def budget_prefix(rows: DataFrame, group: str, size: str, cap: int, *order) -> DataFrame:
-    """Rows of each group, in order, while their sizes sum to `cap` at most."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__sum", F.sum(size).over(w)).where(F.col("__sum") <= cap).drop("__sum")
+    """Rows of each group, in order, while their sizes sum to `cap` at most; groups of any size, sizes in whole numbers."""
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    return running(rows, {"__sum": F.col(size)}, keys, [group]).where(F.col("__sum") <= cap).drop("__sum")
 
 
 def diff(base: DataFrame, current: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.traverse import bfs, both_ways, reversed_edges
-from codeloom.plans.cut import cut
+from codeloom.operators.traverse import bfs, both_ways, reversed_edges, shortest_distances
+from codeloom.plans.cut import cut, drop
 
 #: Hops of a path where none are given.
 HOPS = 32
@@ -95,13 +95,58 @@ def via_edge(paths: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     return paths.join(good, "path", "left_semi")
 
 
+def _bounded_search(links: DataFrame, sources: DataFrame, ends: DataFrame, k: int, most: int, done: DataFrame | None, keep: int | None) -> tuple[DataFrame, bool]:
+    """(source, target, path, cost) of simple paths that may be among the k cheapest, and whether any was left out for `keep`.
+
+    links carry near, the least cost from dst to a target, and hops, the fewest.
+    A path is dropped once its cost and what it must still cost are above the
+    k-th cheapest found; with `keep`, each node keeps that many paths a source.
+    """
+    open_ = cut(sources.select("id").distinct().select(F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(0.0).alias("cost")))
+    cut_off, hops = False, 0
+    columns = ["source", "target", "path", "cost"]
+    while open_.limit(1).count():
+        own = open_.join(ends.select(F.col("id").alias("at")), "at", "left_semi").select("source", F.col("at").alias("target"), "path", "cost")
+        found = own if done is None else done.unionByName(own).dropDuplicates(["path"])
+        done = cut(found.orderBy("cost", "path").limit(k).select(columns))
+        last = done.agg(F.count("*").alias("n"), F.max("cost").alias("c")).first()
+        hops += 1
+        near = links.where(F.col("hops") + hops <= most)
+        grown = open_.join(near, open_["at"] == near.src).where(~F.array_contains("path", F.col("dst")))
+        grown = grown.select("source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("cost") + F.col("weight")).alias("cost"), "near")
+        if last.n == k:  # sums of the same weights in another order may differ in the last bits
+            grown = grown.where(F.col("cost") + F.col("near") <= last.c + 1e-9 * (1 + abs(last.c)))
+        new = cut(grown.drop("near"))
+        if keep:
+            order = Window.partitionBy("source", "at").orderBy("cost", "path")
+            kept = cut(new.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n"))
+            cut_off = cut_off or kept.count() < new.count()
+            drop(new)
+            new = kept
+        drop(open_)
+        open_ = new
+    return done if done is not None else open_.select("source", F.col("at").alias("target"), "path", "cost"), cut_off
+
+
 def k_shortest(edges: DataFrame, sources: DataFrame, targets: DataFrame, k: int, most: int = HOPS) -> DataFrame:
-    """(source, target, path, cost): the k cheapest simple paths by weight, of parallel edges the lightest; ties by path."""
-    paths = cut(all_paths(edges, sources, targets, most))
-    light = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    cost = _hops(paths.where("size(path) > 1")).join(light, ["src", "dst"]).groupBy("path").agg(F.sum("weight").alias("cost"))
-    priced = paths.join(cost, "path", "left").select("source", "target", "path", F.coalesce("cost", F.lit(0.0)).alias("cost"))
-    return priced.orderBy("cost", "path").limit(k)
+    """(source, target, path, cost): the k cheapest simple paths by weight, of parallel edges the lightest; ties by path.
+
+    Least costs to a target, on reversed edges, bound what a path must still
+    cost. A first pass keeps the k best paths of each (source, node), which
+    gives k costs; if it left any path out, a second one keeps every path that
+    these do not rule out, so the result is exact, and paths that cost more
+    than the k-th are not listed. A cycle of negative weight is an error.
+    """
+    light = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    ends = cut(targets.select("id").distinct())
+    back = light.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    near = shortest_distances(back, ends).select(F.col("id").alias("dst"), F.col("distance").alias("near"))
+    left = bfs(back, ends, most).select(F.col("id").alias("dst"), F.col("depth").alias("hops"))
+    links = cut(light.where("src <> dst").join(near, "dst").join(left, "dst"))
+    done, cut_off = _bounded_search(links, sources, ends, k, most, None, k)
+    if cut_off:
+        done, _ = _bounded_search(links, sources, ends, k, most, done, None)
+    return done.orderBy("cost", "path").limit(k)
 
 
 def avoiding(edges: DataFrame, ids: DataFrame) -> DataFrame:

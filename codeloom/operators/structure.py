@@ -105,34 +105,110 @@ def bridges(forest: DataFrame) -> DataFrame:
     return forest.join(alone, "block", "left_semi").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
 
 
-def dominators(edges: DataFrame, root: DataFrame) -> DataFrame:
-    """(id, dominator): all pairs where each path from the root to id meets the dominator; a node dominates itself.
-
-    Starts with the nodes of one shortest path and keeps, round after round,
-    those that dominate all predecessors, until nothing goes: the largest
-    solution of the data-flow equations, so it is exact with cycles too.
-    """
-    links = cut(edges.select("src", "dst").distinct())
-    tree, deepest = bfs_tree(links, root)
-    level = pairs = cut(tree.where("depth = 0").select("id", F.col("id").alias("dominator")))
-    for d in range(1, deepest + 1):
-        now = tree.where(F.col("depth") == d)
-        above = level.select(F.col("id").alias("parent"), "dominator")
-        level = cut(now.join(above, "parent").select("id", "dominator").unionByName(now.select("id", F.col("id").alias("dominator"))))
-        pairs = pairs.unionByName(level)
-    pairs = cut(pairs)
-    known = cut(links.join(tree.select(F.col("id").alias("src")), "src", "left_semi"))
-    need = known.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need"))
-    size = pairs.count()
+def _jumps(tree: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (id, up) of the ancestors 1, 2, 4, ... steps above, the root's being the root, and (id, depth), of tree(id, parent) whose root has no parent."""
+    now = cut(tree.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    levels = [now.select("id", "up")]
     while True:
-        held = known.join(pairs, known.src == pairs.id).groupBy(F.col("dst").alias("id"), "dominator").agg(F.count("*").alias("held"))
-        kept = held.join(need, "id").where("held = need").select("id", "dominator")
-        own = pairs.where("id = dominator")
-        pairs = cut(pairs.where("id <> dominator").join(kept, ["id", "dominator"], "left_semi").unionByName(own))
-        left = pairs.count()
-        if left == size:
-            return pairs
-        size = left
+        step = now.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"))
+        new = cut(now.join(step, "up").select("id", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("grew")))
+        now = new.drop("grew")
+        if not new.where("grew").limit(1).count():
+            return levels, now.select("id", "depth")
+        levels.append(now.select("id", "up"))
+
+
+def _lifted(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """pairs(..., a, b) with nca, the nearest common ancestor of a and b: both are lifted to one depth (columns da, db), then together as long as they differ."""
+    short = F.abs(F.col("da") - F.col("db"))
+    pairs = pairs.withColumn("low", F.when(F.col("da") > F.col("db"), F.col("a")).otherwise(F.col("b"))).withColumn("top", F.when(F.col("da") > F.col("db"), F.col("b")).otherwise(F.col("a"))).withColumn("left", short)
+    for k, up in enumerate(levels):
+        mine = up.select(F.col("id").alias("_i"), F.col("up").alias("_u"))
+        bit = F.col("left").bitwiseAND(1 << k) != 0
+        pairs = pairs.join(mine, bit & (F.col("low") == F.col("_i")), "left").withColumn("low", F.when(bit, F.col("_u")).otherwise(F.col("low"))).drop("_i", "_u")
+        if k % 4 == 3:
+            pairs = cut(pairs)
+    pairs = cut(pairs)
+    for k in reversed(range(len(levels))):
+        one, two = (levels[k].select(F.col("id").alias(f"{n}_i"), F.col("up").alias(f"{n}_u")) for n in ("_a", "_b"))
+        open_ = F.col("low") != F.col("top")
+        met = pairs.join(one, open_ & (F.col("low") == F.col("_a_i")), "left").join(two, open_ & (F.col("top") == F.col("_b_i")), "left")
+        move = open_ & (F.col("_a_u") != F.col("_b_u"))
+        pairs = met.withColumn("low", F.when(move, F.col("_a_u")).otherwise(F.col("low"))).withColumn("top", F.when(move, F.col("_b_u")).otherwise(F.col("top"))).drop("_a_i", "_a_u", "_b_i", "_b_u")
+        if k % 2 == 0:
+            pairs = cut(pairs)
+    last = levels[0].select(F.col("id").alias("_i"), F.col("up").alias("_u"))
+    return pairs.join(last, F.col("low") == F.col("_i")).withColumn("nca", F.when(F.col("low") == F.col("top"), F.col("low")).otherwise(F.col("_u"))).drop("_i", "_u", "low", "top", "left")
+
+
+def _spanning_tree(links: DataFrame, root: DataFrame) -> DataFrame:
+    """(id, parent) of all that the root leads to. A node that only one edge leads to follows it, so chains are jumped over by doubling; rounds of a search are needed between the other nodes only."""
+    into = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("only"))
+    ids = links.select(F.col("src").alias("id")).union(links.select("dst")).union(root.select("id")).distinct().join(into, "id", "left")
+    base = cut(ids.select("id", F.when(F.col("n") == 1, F.col("only")).alias("only")))
+    now = cut(base.select("id", F.coalesce("only", "id").alias("head")))
+    n, rounds = now.count(), 0
+    while 1 << rounds < n:
+        up = now.select(F.col("id").alias("head"), F.col("head").alias("far"))
+        new = cut(now.join(up, "head").select("id", F.col("far").alias("head"), (F.col("far") != F.col("head")).alias("moved")))
+        now, rounds = new.select("id", "head"), rounds + 1
+        if not new.where("moved").limit(1).count():
+            break
+    # a ring of nodes with one edge each never comes to a head; nothing leads into it
+    heads = base.where("only is null").select(F.col("id").alias("head"))
+    now = cut(now.join(heads, "head", "left_semi"))
+    many = cut(links.join(base.where("only is null").select(F.col("id").alias("dst")), "dst", "left_semi").join(now.select(F.col("id").alias("src"), "head"), "src"))
+    tree, _ = bfs_tree(many.select(F.col("head").alias("src"), "dst").distinct(), root)
+    chosen = many.join(tree.select(F.col("id").alias("dst"), F.col("parent").alias("head")), ["dst", "head"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    first = root.select("id", F.lit(None).cast(links.schema["src"].dataType).alias("parent"))
+    inner = base.where("only is not null").join(now.join(tree.select(F.col("id").alias("head")), "head", "left_semi"), "id", "left_semi").select("id", F.col("only").alias("parent"))
+    return cut(first.unionByName(chosen).unionByName(inner))
+
+
+def dominator_tree(edges: DataFrame, root: DataFrame) -> DataFrame:
+    """(id, idom) of every node that root(id), one row, leads to: its nearest dominator, null for the root.
+
+    From a spanning tree on, a node whose parent is no ancestor of one of its
+    predecessors is moved up to the nearest common ancestor of both, all such
+    nodes at once, until there is none: an ancestor that dominates stays one,
+    and a tree in which every edge comes from below the parent of its end is
+    that of the dominators. Ancestors are looked up in tables of jumps, n log n
+    rows for n nodes; only nodes with two predecessors or more are looked at.
+    """
+    start = cut(root.select("id").distinct())
+    if start.limit(2).count() != 1:
+        raise ValueError("dominators need one root")
+    links = cut(edges.select("src", "dst").where("src <> dst").distinct().join(start.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    tree = _spanning_tree(links, start)
+    known = links.join(tree.select(F.col("id").alias("src")), "src", "left_semi")
+    several = known.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst")
+    tested = cut(known.join(several, "dst", "left_semi"))
+    while tested.limit(1).count():
+        levels, depths = _jumps(tree)
+        depth = lambda name, col: depths.select(F.col("id").alias(name), F.col("depth").alias(col))
+        ends = tested.join(tree.select(F.col("id").alias("dst"), F.col("parent").alias("b")), "dst").select("dst", F.col("src").alias("a"), "b")
+        ends = cut(ends.where("a <> b").join(depth("a", "da"), "a").join(depth("b", "db"), "b"))
+        found = _lifted(ends, levels).join(depth("nca", "dn"), "nca").where("nca <> b")
+        better = cut(found.groupBy(F.col("dst").alias("id")).agg(F.min_by("nca", "dn").alias("better")))
+        if not better.limit(1).count():
+            break
+        tree = cut(tree.join(better, "id", "left").select("id", F.coalesce("better", "parent").alias("parent")))
+    return tree.select("id", F.col("parent").alias("idom"))
+
+
+def dominator_pairs(tree: DataFrame) -> DataFrame:
+    """(id, dominator): all pairs of a tree(id, idom), each node with itself too; sets of ancestors double their height each round."""
+    levels, _ = _jumps(tree.select("id", F.col("idom").alias("parent")))
+    pairs = tree.select("id", F.col("id").alias("dominator"))
+    for up in levels:
+        far = pairs.select(F.col("id").alias("up"), "dominator")
+        pairs = cut(pairs.union(up.join(far, "up").select("id", "dominator")).distinct())
+    return pairs
+
+
+def dominators(edges: DataFrame, root: DataFrame) -> DataFrame:
+    """(id, dominator): all pairs where each path from the root to id meets the dominator; a node dominates itself."""
+    return dominator_pairs(dominator_tree(edges, root))
 
 
 def immediate_dominators(pairs: DataFrame) -> DataFrame:
@@ -200,12 +276,14 @@ def modularity(edges: DataFrame, parts: DataFrame, resolution: float = 1.0) -> D
     return each.agg(F.coalesce(value, F.lit(0.0)).alias("modularity"))
 
 
-def reach_estimates(edges: DataFrame, most: int = 64, bits: int = 12) -> DataFrame:
-    """(id, reach): about how many nodes a path leads to, the node itself included, by unions of sketches; `most` bounds the hops."""
+def reach_estimates(edges: DataFrame, most: int | None = None, bits: int = 12) -> DataFrame:
+    """(id, reach): about how many nodes a path leads to, the node itself included, by unions of sketches until none grows; `most`, where given, bounds the hops."""
     links = cut(edges.select("src", "dst").where("src <> dst").distinct())
     ids = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     now = cut(ids.groupBy("id").agg(F.hll_sketch_agg("id", bits).alias("sketch")).withColumn("reach", F.hll_sketch_estimate("sketch")))
-    for _ in range(most):
+    hops = 0
+    while most is None or hops < most:
+        hops += 1
         come = links.join(now, links.dst == now.id).select(F.col("src").alias("id"), "sketch")
         grown = now.select("id", "sketch").unionByName(come).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch"))
         old = now.select("id", F.col("reach").alias("old"))

@@ -12,7 +12,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators import resident
 from codeloom.plans.cut import cut, drop
+from codeloom.plans.snapshot import Snapshot
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -48,8 +50,10 @@ class _Known:
             drop(*old[:-1])  # the last one is the frontier that the next round reads
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """(id, depth): least number of hops from any seed, seeds at 0; `most` bounds the hops. The edges are read once."""
+def bfs(edges: DataFrame | Snapshot, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, depth): least number of hops from any seed, seeds at 0; `most` bounds the hops. The edges are read once, those of a snapshot where they lie."""
+    if isinstance(edges, Snapshot):
+        return resident.bfs(edges, seeds, most)
     links = cut(edges.select("src", "dst").distinct())
     frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     known, depth = _Known(frontier), 0
@@ -99,19 +103,27 @@ def compile_pattern(pattern: str) -> tuple[list[tuple[int, str, int]], list[set[
     return moves, reach, state
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, pattern: str, incoming: bool = False) -> DataFrame:
-    """Ids that a path whose kinds spell the pattern leads to; a seed is in if the empty path does."""
+def reachable(edges: DataFrame | Snapshot, seeds: DataFrame, pattern: str, incoming: bool = False) -> DataFrame:
+    """Ids that a path whose kinds spell the pattern leads to; a seed is in if the empty path does.
+
+    A round joins the frontier with the automaton and what it then waits for
+    with the edges by node; only edges of the pattern's kinds are kept.
+    """
     moves, reach, last = compile_pattern(pattern)
-    spark = edges.sparkSession
     steps = [(a, k, c) for a, k, b in moves for c in sorted(reach[b])]
-    nfa = F.broadcast(spark.createDataFrame(steps, "state int, label string, next int"))  # as long as the pattern
-    e = (reversed_edges(edges) if incoming else edges).select("src", "dst", "kind").distinct()
-    product = cut(e.join(nfa, (F.col("kind") == F.col("label")) | (F.col("label") == "any")).select("src", "state", "dst", "next").distinct())
+    if isinstance(edges, Snapshot):
+        return resident.reachable(edges, seeds, steps, sorted(reach[0]), last, incoming)
+    spark = edges.sparkSession
+    nfa = F.broadcast(spark.createDataFrame(steps or [(-1, "", -1)], "state int, label string, next int"))  # as long as the pattern
+    labels = {k for _, k, _ in steps}
+    e = (reversed_edges(edges) if incoming else edges).select("src", "dst", "kind")
+    e = cut((e if "any" in labels else e.where(F.col("kind").isin(*labels))).distinct())
     frontier = cut(seeds.select("id").distinct().withColumn("state", F.explode(F.array(*[F.lit(s) for s in sorted(reach[0])]))))
     known = _Known(frontier)
     while True:
-        at = frontier.select(F.col("id").alias("src"), "state")
-        new = product.join(at, ["src", "state"]).select(F.col("dst").alias("id"), F.col("next").alias("state")).distinct()
+        at = frontier.join(nfa, "state").select(F.col("id").alias("src"), "label", "next")
+        met = e.join(at, "src").where("label = 'any' or kind = label")
+        new = met.select(F.col("dst").alias("id"), F.col("next").alias("state")).distinct()
         frontier = cut(new.join(known.all(), ["id", "state"], "left_anti"))
         if not frontier.limit(1).count():
             return known.all().where(F.col("state") == last).select("id").distinct()
@@ -121,22 +133,25 @@ def reachable(edges: DataFrame, seeds: DataFrame, pattern: str, incoming: bool =
 def shortest_distances(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, distance) by weight from the seeds: rounds of relaxation of what changed, until nothing does.
 
-    A cycle of negative weight has no least distance and is an error.
+    A round writes improvements only; the least of a node's is its distance. A
+    cycle of negative weight has no least distance and is an error.
     """
     edges = cut(edges.select("src", "dst", "weight"))
-    best = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0.0)))
-    changed, hops = best, 0
+    changed = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0.0)))
+    known, hops, n = _Known(changed), 0, None
     while True:
         step = edges.join(changed, edges.src == changed.id).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
-        both = cut(best.join(step, "id", "full_outer"))
-        better = F.col("distance").isNull() | (F.col("new") < F.col("distance"))
-        changed = cut(both.where(F.col("new").isNotNull() & better).select("id", F.col("new").alias("distance")))
-        best = both.select("id", F.least("distance", "new").alias("distance"))
+        have = known.all().groupBy("id").agg(F.min("distance").alias("distance"))
+        better = step.join(have, "id", "left").where("distance is null or new < distance")
+        changed = cut(better.select("id", F.col("new").alias("distance")))
         if not changed.limit(1).count():
-            return best
+            return known.all().groupBy("id").agg(F.min("distance").alias("distance"))
+        known.add(changed)
         hops += 1
-        if hops >= both.count():  # a path without a cycle has fewer hops than there are nodes
-            raise ValueError("a cycle of negative weight")
+        if hops % ROUNDS_A_TABLE == 0:  # a path without a cycle has fewer hops than there are nodes
+            n = n or edges.select("src").union(edges.select("dst")).union(seeds.select("id")).distinct().count()
+            if hops >= n:
+                raise ValueError("a cycle of negative weight")
 
 
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int) -> DataFrame:
@@ -153,17 +168,22 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most:
     return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame | Snapshot) -> DataFrame:
     """(id, component): weakly connected components by least label and pointer jumping."""
+    if isinstance(edges, Snapshot):
+        return resident.components(edges)
     links = cut(both_ways(edges.select("src", "dst")).distinct())
     label = cut(links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component")))
+    past = [label]  # tables of the round before
     while True:
         near = links.join(label, links.dst == label.id).groupBy("src").agg(F.min("component").alias("m"))
         low = cut(label.join(near, label.id == near.src).select("id", F.col("component").alias("old"), F.least("component", "m").alias("c")))
         up = low.select(F.col("id").alias("x"), F.col("c").alias("up"))
         new = cut(low.join(up, low.c == up.x).select("id", "old", F.least("c", "up").alias("component")))
-        label = new.select("id", "component")
+        drop(low, *past)
+        label, past = new.select("id", "component"), [new]
         if not new.where("component <> old").limit(1).count():
+            drop(links)
             return label
 
 
@@ -217,8 +237,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         rest = cut(_within(rest, ids))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 50, damping: float = 0.85) -> DataFrame:
-    """(id, rank): predecessors count once, out-degrees count parallel edges; what dangling nodes hold is dealt to all."""
+def pagerank(nodes: DataFrame, edges: DataFrame | Snapshot, rounds: int = 50, damping: float = 0.85) -> DataFrame:
+    """(id, rank): predecessors count once, out-degrees count parallel edges; what dangling nodes hold is dealt to all. Of a snapshot, its own nodes are ranked."""
+    if isinstance(edges, Snapshot):
+        return resident.pagerank(edges, rounds, damping)
     ids = cut(nodes.select("id"))
     n = ids.count()
     if not n:

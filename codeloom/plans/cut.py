@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _path(df: DataFrame, path: str):
@@ -14,15 +14,20 @@ def _path(df: DataFrame, path: str):
     return hadoop.getFileSystem(sc._jsc.hadoopConfiguration()), hadoop
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written and read again. Without a checkpoint folder only a session on this machine alone gets one of its own."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share. Without a checkpoint folder only a session on this machine alone gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not (sc.master or "").startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeloom-"))
-    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = f"{shared(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     fs, hadoop = _path(df, path)
     fs.deleteOnExit(hadoop)

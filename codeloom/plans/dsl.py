@@ -22,17 +22,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from codeloom.operators import communities, mining, paths, structure, traverse
+from codeloom.operators import communities, mining, paths, resident, structure, traverse
 from codeloom.plans.graph import CALL_KINDS, EDGE_KINDS, ENTRY_KINDS, NODE_KINDS, TYPE_KINDS, PropertyGraph
 
-_TOKEN = re.compile(r'\s*(?:(?P<str>"[^"]*")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>->|→|[|()=\\{},]))')
+_TOKEN = re.compile(r'\s*(?:(?P<str>"[^"]*")|(?P<num>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<op>->|→|[|()=\\{},]))')
 #: Columns that a query shows; body shows all.
 _SHOWN = {"fields": ("id", "kind", "name"), "signature": ("id", "kind", "name", "qualified_name", "file_path"), "body": None}
 #: Operators that keep the nodes with a metadata entry, by its key.
 _KEPT = {"possible_types": ("possible_input_types", "possible_return_types"), "complexity": ("complexity", "cyclomatic"), "cfg": ("cfg",), "dataflow": ("dataflow",)}
 #: Operators that are queries by themselves.
-_BARE = ("hot", "scc", "dispatch", "communities", "affected", "co_changes", "untested", "cluster", "since", "filter")
+_BARE = ("between", "hot", "scc", "dispatch", "communities", "affected", "co_changes", "untested", "cluster", "since", "filter")
 _SETS = {"union": "union", "intersect": "intersect", "diff": "diff", "\\": "diff"}
 
 
@@ -87,10 +88,20 @@ class Engine:
         return df.select("id").distinct()
 
     def _step(self, w: DataFrame, kinds: tuple, back: bool = False) -> DataFrame:
+        if self.graph.snapshot:
+            return resident.neighbours(self.graph.snapshot, w, kinds, back)
         e = self.graph.edges_of_kind(*kinds)
         near, far = ("dst", "src") if back else ("src", "dst")
         return e.join(w, e[near] == w.id, "left_semi").select(F.col(far).alias("id")).distinct()
 
+    def _calls(self, w: DataFrame, back: bool = False) -> DataFrame:
+        """What calls lead to from a set, or lead to it; the set is in."""
+        g = self.graph
+        if g.snapshot:
+            return self._ids(resident.bfs(g.snapshot, w, kinds=CALL_KINDS, back=back))
+        e = g.edges_of_kind(*CALL_KINDS)
+        return self._ids(traverse.bfs(traverse.reversed_edges(e) if back else e, w))
+
     def _arrow(self, r: _Reader, scope: dict) -> DataFrame:
         if r.peek() not in ("->", "→"):
             raise QueryError(f"expected ->, found {r.peek()!r}")
@@ -166,7 +177,7 @@ class Engine:
             r.take()
             text = r.take("str")
             r.take(value=")")
-            return self._ids(traverse.bfs(self.graph.edges_of_kind(*CALL_KINDS), self._ids(self.graph.named(text, "Function"))))
+            return self._calls(self._ids(self.graph.named(text, "Function")))
         match word:
             case "entrypoints":
                 return self._entrypoints(r)
@@ -199,7 +210,7 @@ class Engine:
             case "callees":
                 return self._step(w, CALL_KINDS)
             case "depth":
-                return self._ids(traverse.bfs(g.edges, w, int(r.take("num"))))
+                return self._ids(traverse.bfs(g.adjacency, w, int(r.take("num"))))
             case "filter":
                 r.take(value="kind")
                 r.take(value="=")
@@ -207,12 +218,18 @@ class Engine:
                 return self._ids(nodes().where(F.col("kind") == kind))
             case "since":
                 return self._ids(nodes().where(F.col("revision") >= int(r.take("num"))))
+            case "between":
+                field, low, high = r.take("name"), float(r.take("num")), float(r.take("num"))
+                if g.ranges is not None:
+                    return g.ranges.between(field, low, high).select("id").distinct().join(w, "id", "left_semi")
+                value = F.col(field).cast("double") if field in g.nodes.columns else g.meta(field).try_cast("double")
+                return self._ids(nodes().where(value.between(low, high)))
             case "taint":
-                return self._ids(traverse.bfs(g.edges_of_kind(*CALL_KINDS), w))
+                return self._calls(w)
             case "preconditions":
-                return self._ids(traverse.bfs(traverse.reversed_edges(g.edges_of_kind(*CALL_KINDS)), w))
+                return self._calls(w, back=True)
             case "hot":
-                ranks = traverse.pagerank(g.nodes, g.edges).join(w, "id", "left_semi")
+                ranks = traverse.pagerank(g.nodes, g.adjacency).join(w, "id", "left_semi")
                 return self._ids(traverse.top_by(ranks, "rank", int(r.take("num")), "id"))
             case "scc":
                 # components of the whole graph that touch the set
@@ -236,7 +253,7 @@ class Engine:
                 incoming = r.peek() == "incoming"
                 if r.peek() in ("incoming", "outgoing"):
                     r.take()
-                return traverse.reachable(g.edges, w, pattern, incoming)
+                return traverse.reachable(g.adjacency, w, pattern, incoming)
             case "cluster":
                 r.take(value="by")
                 r.take(value="type")
@@ -313,7 +330,8 @@ class Engine:
         rows = g.nodes.join(w, "id", "left_semi")
         # a field is a column, or else an entry of the metadata
         value = None if not field or word == "forall" else F.col(field) if field in g.nodes.columns else g.meta(field)
-        number = None if value is None else value.cast("string").try_cast("double")
+        numeric = field in g.nodes.columns and isinstance(g.nodes.schema[field].dataType, NumericType)
+        number = None if value is None else value.cast("double") if numeric else value.cast("string").try_cast("double")
         match word:
             case "count":
                 return rows.agg(F.count("*").alias("count"))
@@ -324,7 +342,7 @@ class Engine:
             case "top_k_by":
                 return rows.withColumn("__by", number).orderBy(F.desc_nulls_last("__by"), "id").limit(k).drop("__by")
             case "group_by":
-                return rows.groupBy(F.coalesce(value.cast("string"), F.lit("")).alias("key")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+                return rows.select(F.coalesce(value.cast("string"), F.lit("")).alias("key"), "id")  # a row a member: a group may be of any size
             case "exists":
                 return rows.limit(1).agg((F.count("*") > 0).alias("exists"))
         return rows.agg(F.coalesce(F.bool_and(F.col("kind") == field), F.lit(True)).alias("forall"))

@@ -12,6 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.plans.cut import cut
+from codeloom.plans.snapshot import Snapshot, revision_of
+from codeloom.sources.ranges import RangeIndex
+
 NODE_KINDS = ("Function", "Struct", "Enum", "Module", "Trait", "EnumVariant", "Field", "TypeAlias", "Constant", "Interface")
 TYPE_KINDS = ("Struct", "Enum", "Trait")
 CALL_KINDS = ("Calls", "UnresolvedCall")
@@ -25,6 +29,13 @@ class PropertyGraph:
     nodes: DataFrame
     edges: DataFrame
     history: DataFrame | None = None
+    snapshot: Snapshot | None = None
+    ranges: RangeIndex | None = None
+
+    @property
+    def adjacency(self) -> DataFrame | Snapshot:
+        """The snapshot where there is one, else the edges: what a traversal over all edges takes."""
+        return self.snapshot or self.edges
 
     def meta(self, key: str) -> Column:
         """A node's metadata entry, null where there is none."""
@@ -118,3 +129,18 @@ def from_tables(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     e = e.unionByName(edges(uses, key("order", "l_orderkey"), key("part", "l_partkey"), "UsesType", F.col("q")))
     e = e.unionByName(edges(impl, key("part", "l_partkey"), key("supplier", "l_suppkey"), "Implements", one))
     return PropertyGraph(n, e)
+
+
+_RESIDENT: dict[tuple[str, str], PropertyGraph] = {}
+
+
+def resident(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """from_tables with its nodes, edges and snapshot kept in the shared folder for the application; built again once a file of the tables changes."""
+    g = from_tables(spark, sf_dir)
+    revision = revision_of(g.nodes.select("id").union(g.edges.select("src")))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    kept = _RESIDENT.get(key)
+    if kept is None or kept.snapshot.stale(revision):
+        nodes, edges = cut(g.nodes), cut(g.edges)
+        kept = _RESIDENT[key] = PropertyGraph(nodes, edges, None, Snapshot.build(nodes, edges, revision))
+    return kept
