@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import jaccard, mixing, packing, tokens, toxicity
-from codeloom.llm.common import stash, table
+from codeloom.llm.common import discard, stash, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,5 +34,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        before, docs = docs, stash(stage(spark, docs, sf_dir))
+        if docs is not before:
+            discard(before)  # a stage's table is written whole, so the one before it is not read again
     return STAGES[-1][1](spark, docs, sf_dir)

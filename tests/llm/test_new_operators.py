@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from codeloom.llm import chat, hardneg, lzprint, periodic, queries, sharding, topk
+from codeloom.llm import chat, hardneg, lzprint, periodic, queries, sharding, topk, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -263,3 +263,114 @@ def test_top_k_of_empty_vectors(spark):
     rows += [(60, [1.0, -2.0]), (61, [0.5])]
     want = {(20, 0), (40, 0), (61, 32)}
     assert {(r.vec_id, r.score) for r in topk.top_k(table(rows), block_rows=1).where("query_id = 60").collect()} == {(i, 64 * s) for i, s in want}
+
+
+# --- 2: the chain against plain Python ---
+
+
+def _plain_features(text):
+    out = set()
+    for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").lower().encode()):
+        out |= {(0, w), *((k, w[:k]) for k in (4, 5, 6) if len(w) > k)}
+    return out
+
+
+def _dot(a, b):
+    return sum(x * y for x, y in zip(a, b, strict=True))
+
+
+def _solve(m, v):
+    m = [[*r, c] for r, c in zip(m, v, strict=True)]
+    n = len(m)
+    for i in range(n):
+        p = max(range(i, n), key=lambda r: abs(m[r][i]))
+        m[i], m[p] = m[p], m[i]
+        for r in range(n):
+            if r != i and m[r][i]:
+                f = m[r][i] / m[i][i]
+                m[r] = [a - f * b for a, b in zip(m[r], m[i], strict=True)]
+    return [m[i][n] / m[i][i] for i in range(n)]
+
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-min(30, max(-30, z))))
+
+
+def _plain_fit(x, y, l2):
+    d = len(x[0])
+    if not y or min(y) == max(y):
+        return [0.0] * d + [30.0 if y and y[0] else -30.0]
+    x = [[*r, 1.0] for r in x]
+    penalty = [l2 * len(x)] * d + [1e-9]
+    w = [0.0] * (d + 1)
+    loss = lambda v: sum(np.logaddexp(0, (-1 if t else 1) * _dot(r, v)) for r, t in zip(x, y, strict=True)) + sum(p * a * a for p, a in zip(penalty, v, strict=True)) / 2
+    for _ in range(30):
+        p = [_sigmoid(_dot(r, w)) for r in x]
+        curve = [[sum(max(q * (1 - q), 1e-6) * r[i] * r[j] for q, r in zip(p, x, strict=True)) + (penalty[i] if i == j else 0) for j in range(d + 1)] for i in range(d + 1)]
+        slope = [sum((q - t) * r[i] for q, t, r in zip(p, y, x, strict=True)) + penalty[i] * w[i] for i in range(d + 1)]
+        step, size = _solve(curve, slope), 1.0
+        while size > 1e-3 and loss([a - size * b for a, b in zip(w, step, strict=True)]) > loss(w):
+            size /= 2
+        if size <= 1e-3:
+            break
+        w = [a - size * b for a, b in zip(w, step, strict=True)]
+    return w
+
+
+def _plain_chain(rows, labels):
+    """(p_quality, p_toxic, threshold) by loops over dense rows, with the operator's folds and penalties."""
+    known = [(i, t, labels[i]) for i, t in rows if i in labels and t is not None]
+    counts = [defaultdict(lambda: [0, 0]) for _ in range(2)]
+    for _, t, y in known:
+        for f in _plain_features(t):
+            for k in range(2):
+                counts[k][f][y[k]] += 1
+    kept = sorted({f for c in counts for f, (a, b) in c.items() if a + b >= 5})
+    vector = lambda t: [float(f in held) for held in [_plain_features(t)] for f in kept]
+    x, fold = [vector(t) for _, t, _ in known], [((i * 0x9E3779B97F4A7C15) % (1 << 64) >> 33) % 4 for i, _, _ in known]
+    every, weights, threshold = [vector(t) for _, t in rows], [], 0.5
+    outs = []
+    for k in range(2):
+        y, best = [r[2][k] for r in known], None
+        for l2 in (3e-5, 3e-4, 3e-3):
+            out = [0.0] * len(x)
+            for f in set(fold):
+                w = _plain_fit([r for r, g in zip(x, fold, strict=True) if g != f], [t for t, g in zip(y, fold, strict=True) if g != f], l2)
+                for n, g in enumerate(fold):
+                    if g == f:
+                        out[n] = _sigmoid(_dot([*x[n], 1.0], w))
+            loss = -sum(np.log(max(1e-9, p if t else 1 - p)) for p, t in zip(out, y, strict=True)) / len(y)
+            if best is None or loss < best[0]:
+                best = loss, l2, out
+        w = _plain_fit(x, y, best[1])
+        outs.append([_sigmoid(_dot([*r, 1.0], w)) for r in every])
+        x = [[*r, p] for r, p in zip(x, best[2], strict=True)]
+        every = [[*r, p] for r, p in zip(every, outs[-1], strict=True)]
+        ranked = sorted(zip(best[2], y, strict=True), reverse=True)
+        score = lambda n: 2 * sum(t for _, t in ranked[:n]) / (n + sum(t for _, t in ranked))  # noqa: B023, E731
+        top = max(range(1, len(ranked) + 1), key=lambda n: (score(n) if n == len(ranked) or ranked[n - 1][0] > ranked[n][0] else -1, -n))  # noqa: B023
+        threshold = (ranked[top - 1][0] + (ranked[top][0] if top < len(ranked) else 0.0)) / 2
+        weights.append(w)
+    return outs, threshold
+
+
+def test_the_chain_equals_a_plain_one(spark):
+    rng = random.Random(6)
+    rows, labels = [], {}
+    for i in range(90):
+        bad, poor = rng.random() < 0.4, rng.random() < 0.5
+        words = [rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randint(1, 6))] + ["vile"] * (bad and rng.random() < 0.9) + ["spamming"] * (poor and rng.random() < 0.8)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        if i < 70:
+            labels[i] = (int(not poor), int(bad))
+    rows += [(200, ""), (201, "VILE é spamming"), (201, "VILE é spamming"), (202, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = toxicity.train(d, spark.createDataFrame([(i, *y) for i, y in labels.items()], "doc_id long, quality int, toxic int"))
+    (quality, toxic), threshold = _plain_chain(rows, labels)
+    got = sorted((r.doc_id, r.p_quality, r.p_toxic, r.rejected) for r in toxicity.score(d, chain).collect())
+    want = sorted((i, q, t) for (i, _), q, t in zip(rows, quality, toxic, strict=True))
+    for (i, q, t, rejected), (j, q2, t2) in zip(got, want, strict=True):
+        assert i == j and abs(q - q2) < 0.01 and abs(t - t2) < 0.01, (i, q, q2, t, t2)
+        assert rejected == (t2 > threshold) or abs(t2 - threshold) < 0.02
+    assert abs(chain.threshold - threshold) < 0.02 and sum(r[3] for r in got) > 20
