@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeloom.operators import channels, facade, lookup, mining, paths, structure, traverse
@@ -60,12 +61,11 @@ def file_dependencies(spark, sf_dir):
     return facade.file_edges(from_tables(spark, sf_dir))
 
 
-@query("""with f as (select distinct p_brand as a from part) select 'region' as folder, array_to_string(list_sort(list(distinct 'region:' || n_regionkey)), ',') as files, count(distinct n_regionkey) as n from nation
-  union all select 'nation', array_to_string(list_sort(list(distinct f)), ','), count(distinct f) from (select 'nation:' || c_nationkey as f from customer union select 'nation:' || s_nationkey from supplier)
-  union all select 'customer', array_to_string(list_sort(list(distinct 'customer:' || o_custkey)), ','), count(distinct o_custkey) from orders
-  union all select '', array_to_string(list_sort(list(a)), ','), count(*) from (select a from f union select 'world')""", graph=False)
+@query("""with f as (select distinct p_brand as f, '' as folder from part union all select 'world', '' union all select distinct 'region:' || n_regionkey, 'region' from nation
+  union select 'nation:' || c_nationkey, 'nation' from customer union select 'nation:' || s_nationkey, 'nation' from supplier union select 'customer:' || o_custkey, 'customer' from orders)
+  select folder, f as file_path, count(*) over (partition by folder) as n from f""", graph=False)
 def module_structure(spark, sf_dir):
-    return facade.module_structure(from_tables(spark, sf_dir).nodes).select("folder", F.array_join("files", ",").alias("files"), "n")
+    return facade.module_structure(from_tables(spark, sf_dir).nodes)
 
 
 #: Transitions between event types that follow each other for a user; small and full of cycles.
@@ -119,12 +119,11 @@ def blast_radius(spark, sf_dir):
     return facade.blast_radius(g, g.nodes.where("id = 'part:1'").select("id"), 2)
 
 
-@query("select 'nation:' || n_nationkey as id, 'nation::' || n_name as qualified_name, 1 as score from nation where n_name = 'NATION_3' or n_name = (select max(n_name) from nation)", graph=False)
+@query("select 'part:' || p_partkey as id, 'part::' || p_name as qualified_name, 1 as score from part where p_name = (select max(p_name) from part)", graph=False)
 def disambiguate(spark, sf_dir):
-    nodes = from_tables(spark, sf_dir).of_kind("Module")
-    last = _t(spark, sf_dir, "nation").agg(F.max("n_name")).first()[0]
-    found = facade.disambiguate(nodes.where("id like 'nation:%'"), last)
-    return found if last == "NATION_3" else found.unionByName(facade.disambiguate(nodes.where("id like 'nation:%'"), "NATION_3"))
+    """Parts that share the last of all names."""
+    nodes = from_tables(spark, sf_dir).of_kind("Struct")
+    return facade.disambiguate(nodes, nodes.agg(F.max("name")).first()[0])
 
 
 @query("""select (select count(*) from nodes) as nodes, (select count(*) from edges) as edges,
@@ -238,58 +237,73 @@ def search_fuzzy(spark, sf_dir):
     return lookup.find(from_tables(spark, sf_dir).nodes, "kind:module eurpe", 100)
 
 
-@query("""select id, name, 20.0 as score from nodes where lower(name) in ('nation_3', 'asia') and false union all select id, name, 0.0 from nodes where lower(name) in ('nation_3', 'asia')""")
+@query("""with f as (select distinct file_path from nodes where lower(name) in ('order_1', 'order_2', 'order_3', 'order_7') group by file_path having count(distinct name) > 1)
+  select id, name, case when file_path in (select file_path from f) then 20.0 else 0.0 end as score from nodes where lower(name) in ('order_1', 'order_2', 'order_3', 'order_7')
+  union all select * from (select id, name, case when file_path in (select file_path from f) then 20.0 else 0.0 end from nodes where name = 'small ring' order by 3 desc, id limit 20)""")
 def exact_names(spark, sf_dir):
-    return lookup.exact_names(from_tables(spark, sf_dir).nodes, ["Nation_3", "ASIA"])
+    """Four orders, each in its customer's file, and a common name, of which 20 are kept."""
+    return lookup.exact_names(from_tables(spark, sf_dir).nodes, ["Order_1", "order_2", "ORDER_3", "order_7", "Small Ring"])
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text is not null)
   select doc_id, cast(line as int) as line, content, 'license' as literal from l where contains(lower(content), 'license')""", graph=False)
 def literal_lines(spark, sf_dir):
-    return lookup.literal_lines(_t(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text", ["license"])
+    return lookup.literal_lines(_t(spark, sf_dir, "documents"), "doc_id", "text", ["license"])
 
 
 # --- structure ---
 
 
-def _star(spark, sf_dir):
-    """Regions and nations as a forest, and a ring through the regions."""
-    n = _t(spark, sf_dir, "nation")
-    name = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
-    ring = n.select(name("r", F.col("n_regionkey")).alias("src"), name("r", (F.col("n_regionkey") + 1) % 5).alias("dst")).distinct()
-    return n.select(name("r", F.col("n_regionkey")).alias("src"), name("n", F.col("n_nationkey")).alias("dst")).unionByName(ring)
+def _rings(spark, sf_dir):
+    """Nations lead to their customers, a customer to its first order of each priority, an order to the customer's next one of that priority, the last one back to the customer."""
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey").over(w).alias("next"))
+    down = _t(spark, sf_dir, "customer").select(name("nation", "c_nationkey").alias("src"), name("customer", "c_custkey").alias("dst"))
+    into = o.select(F.coalesce(name("order", "before"), name("customer", "o_custkey")).alias("src"), name("order", "o_orderkey").alias("dst"))
+    back = o.where("next is null").select(name("order", "o_orderkey").alias("src"), name("customer", "o_custkey").alias("dst"))
+    return down.unionByName(into).unionByName(back)
+
+
+_ORDERS = "k as (select o_custkey as c, max('order:' || o_orderkey) as top from orders group by 1), p as (select o_custkey as c, count(*) as n, min('order:' || o_orderkey) as one from orders group by o_custkey, o_orderpriority)"
 
 
-@query("select distinct 'r' || n_regionkey as id from nation", graph=False)
+@query(f"with {_ORDERS} select 'customer:' || c as id from k join customer on c_custkey = c union all select 'nation:' || c_nationkey from customer left join k on c = c_custkey group by c_nationkey having count(*) > 1", graph=False)
 def articulation_points(spark, sf_dir):
-    return structure.articulation_points(structure.blocks(_star(spark, sf_dir))).select("id")
+    return structure.articulation_points(structure.blocks(_rings(spark, sf_dir))).select("id")
 
 
-@query("select least('r' || n_regionkey, 'n' || n_nationkey) as a, greatest('r' || n_regionkey, 'n' || n_nationkey) as b from nation", graph=False)
+@query(f"with {_ORDERS} select 'customer:' || c_custkey as a, 'nation:' || c_nationkey as b from customer union all select 'customer:' || c, one from p where n = 1", graph=False)
 def bridges(spark, sf_dir):
-    found = structure.bridges(structure.blocks(_star(spark, sf_dir)))
+    found = structure.bridges(structure.blocks(_rings(spark, sf_dir)))
     x, y = found.columns[:2]
     return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-@query("select 'n' || n_nationkey as a, 'r' || n_regionkey as b from nation", graph=False)
+@query(f"with {_ORDERS} select 'nation:' || c_nationkey as a, coalesce(top, 'customer:' || c_custkey) as b from customer left join k on c = c_custkey", graph=False)
 def condensation(spark, sf_dir):
-    links = _star(spark, sf_dir)
-    up = links.where("dst like 'n%'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    parts = traverse.strong_components(up)
-    return traverse.condensation(up, parts).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    links = _rings(spark, sf_dir)
+    parts = traverse.strong_components(links)
+    return traverse.condensation(links, parts).select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-@query("select 'n' || n_nationkey as target, 'r' || n_regionkey || '>n' || n_nationkey as path from nation", graph=False)
+@query("""with o as (select o_orderkey, o_custkey, c_nationkey, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) as k from orders join customer on c_custkey = o_custkey)
+  select 'order:' || o_orderkey as target, 'nation:' || c_nationkey as source, k + 1 as hops from o""", graph=False)
 def multi_source_paths(spark, sf_dir):
-    links = _star(spark, sf_dir)
-    found = paths.nearest_paths(links, links.where("src like 'r%'").select(F.col("src").alias("id")).distinct(), links.where("dst like 'n%'").select(F.col("dst").alias("id")))
-    return found.select("target", F.array_join("path", ">").alias("path"))
+    """From all nations to all orders; a path runs through the orders before."""
+    links = _rings(spark, sf_dir)
+    ends = lambda kind, c: links.where(F.col(c).startswith(kind)).select(F.col(c).alias("id")).distinct()
+    found = paths.nearest_paths(links, ends("nation:", "src"), ends("order:", "dst"))
+    return found.select("target", F.col("path")[0].alias("source"), (F.size("path") - 1).cast("long").alias("hops"))
 
 
-@query("select 'r' || n_regionkey as src, 'n' || n_nationkey as dst from nation where n_regionkey <> 2", graph=False)
+@query("""with o as (select o_custkey, o_orderkey, o_orderstatus as s, lead(o_orderkey) over w as next, lead(o_orderstatus) over w as next_s, row_number() over w as k from orders window w as (partition by o_custkey, o_orderpriority order by o_orderkey))
+  select 'order:' || o_orderkey as src, coalesce('order:' || next, 'customer:' || o_custkey) as dst from o where s <> 'P' and coalesce(next_s, '') <> 'P'
+  union all select 'customer:' || o_custkey, 'order:' || o_orderkey from o where k = 1 and s <> 'P' union all select 'nation:' || c_nationkey, 'customer:' || c_custkey from customer""", graph=False)
 def edges_avoiding(spark, sf_dir):
-    return paths.avoiding(_star(spark, sf_dir).where("dst like 'n%'"), spark.createDataFrame([("r2",)], "id string")).select("src", "dst")
+    """The rings without the orders of one status."""
+    gone = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"))
+    return paths.avoiding(_rings(spark, sf_dir), gone).select("src", "dst")
 
 
 @query("select src, dst, kind from edges where kind = 'Contains' and starts_with(src, 'region')")
@@ -297,11 +311,11 @@ def filtered_subgraph(spark, sf_dir):
     return from_tables(spark, sf_dir).filtered(F.col("kind") == "Module").edges.select("src", "dst", "kind")
 
 
-@query("""select n_nationkey, case when n_nationkey % 4 = 0 then 'new' else n_name end as n_name from nation union all select 100, 'added'""", graph=False)
+@query("""select c_custkey, case when c_custkey % 4 = 0 then 'new' else c_name end as c_name from customer union all select -1, 'added'""", graph=False)
 def overlay_of_branch(spark, sf_dir):
-    base = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
-    changed = base.where("n_nationkey % 4 = 0").select("n_nationkey", F.lit("new").alias("n_name")).unionByName(spark.createDataFrame([(100, "added")], "n_nationkey long, n_name string"))
-    return mining.overlay(base, changed, "n_nationkey")
+    base = _t(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    changed = base.where("c_custkey % 4 = 0").select("c_custkey", F.lit("new").alias("c_name")).unionByName(spark.createDataFrame([(-1, "added")], "c_custkey long, c_name string"))
+    return mining.overlay(base, changed, "c_custkey")
 
 
 @query("""with t as (select l_suppkey as owner, l_linenumber as member from lineitem where l_quantity >= 49 group by 1, 2), r as (select l_partkey as wanted, l_linenumber as member from lineitem group by 1, 2),

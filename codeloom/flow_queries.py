@@ -76,10 +76,10 @@ def semantic_hashes(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.semantic_hash(F.col("text")).alias("hash"))
 
 
-@query("select doc_id, lang, n_chars % 7 + 1 as line, 1 as col, 'zero_width' as category from documents where lang = 'de' union all select doc_id, lang, n_chars % 7 + 1, 3, 'bidi' from documents where lang = 'de'", graph=False)
+@query("select doc_id, lang, n_chars % 7 + 1 as line, 1 as col, 'zero_width' as category from documents union all select doc_id, lang, n_chars % 7 + 1, 3, 'bidi' from documents", graph=False)
 def unicode_hazards(spark, sf_dir):
-    """Texts of one language, as lines above a line with two hazards."""
-    d = _t(spark, sf_dir, "documents").where("lang = 'de'")
+    """As many lines as a text's length leaves of 7, above a line with two hazards."""
+    d = _t(spark, sf_dir, "documents")
     noted = F.concat(F.repeat(F.lit("text\n"), (F.col("n_chars") % 7).cast("int")), F.lit("\u200bx\u202e"))
     return d.select("doc_id", "lang", F.explode(text.hazards(noted)).alias("h")).select("doc_id", "lang", F.col("h.line").alias("line"), F.col("h.column").alias("col"), "h.category")
 
@@ -180,9 +180,9 @@ def roles_of_fixes(spark, sf_dir):
 # --- types ---
 
 
-@query("select n.id as trait, coalesce(string_agg(e.src, ',' order by e.src), '') as implementors from nodes n left join edges e on e.dst = n.id and e.kind = 'Implements' where n.kind = 'Trait' group by 1")
+@query("select n.id as trait, e.src as implementor, count(e.src) over (partition by n.id) as n from nodes n left join (select distinct src, dst from edges where kind = 'Implements') e on e.dst = n.id where n.kind = 'Trait'")
 def trait_hierarchies(spark, sf_dir):
-    return types.trait_hierarchies(from_tables(spark, sf_dir)).select("trait", F.array_join("implementors", ",").alias("implementors"))
+    return types.trait_hierarchies(from_tables(spark, sf_dir))
 
 
 @query("""with own as (select 'order:' || l_orderkey as id, p_name as type from lineitem join part on p_partkey = l_partkey group by 1, 2), up as (select distinct 'customer:' || o_custkey as id, type from orders join own on own.id = 'order:' || o_orderkey),
@@ -192,14 +192,19 @@ def possible_types(spark, sf_dir):
     return types.possible_types(from_tables(spark, sf_dir)).groupBy("id", "input").agg(F.count("*").alias("types"))
 
 
-@query("select file_path, string_agg(distinct n.id, ',' order by n.id) as callers from nodes n join edges e on e.src = n.id where e.kind = 'Calls' and e.dst = 'order:1' group by 1")
+@query("select distinct e.dst as target, n.file_path, n.id as caller, count(*) over (partition by e.dst, n.file_path) as n from nodes n join edges e on e.src = n.id where e.kind = 'Calls'")
 def signature_cascade(spark, sf_dir):
-    return types.cascade(from_tables(spark, sf_dir), "order:1").select("file_path", F.array_join("callers", ",").alias("callers"))
+    """Of every order, who calls it."""
+    g = from_tables(spark, sf_dir)
+    return types.cascade(g, g.nodes.where("id like 'order:%'").select("id"))
 
 
-@query("select n.id, n.name, false as compatible, 'passes 1 args, but new signature expects 2' as reason from nodes n join edges e on e.src = n.id where e.kind = 'Calls' and e.dst = 'order:1'")
+@query("""select e.dst as target, n.id, n.name, o_orderkey % 3 = 0 as compatible, case when o_orderkey % 3 <> 0 then 'passes 1 args, but new signature expects ' || (1 + o_orderkey % 3) end as reason
+  from orders join edges e on e.dst = 'order:' || o_orderkey and e.kind = 'Calls' join nodes n on n.id = e.src""")
 def arity_of_callers(spark, sf_dir):
-    return types.arity(from_tables(spark, sf_dir), "order:1", 1, 2)
+    """Every order's signature grows by what its key leaves of 3."""
+    changes = _t(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit(1).alias("old"), (1 + F.col("o_orderkey") % 3).cast("int").alias("new"))
+    return types.arity(from_tables(spark, sf_dir), changes)
 
 
 @query("select id, lower(kind) || ':' || qualified_name || case when n > 1 then '#' || n else '' end as handle from (select *, row_number() over (partition by lower(kind), qualified_name order by file_path, id) as n from nodes)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators import aliases, budget, chains, eventlog, routes
+from codeloom.operators import aliases, budget, chains, eventlog, facade, routes
 from codeloom.plans.dsl import Engine
 from codeloom.plans.graph import resident
 from codeloom.queries import _t, query
@@ -145,3 +145,31 @@ def stem_matches(spark, sf_dir):
     """Rings, and small widgets as a compound, among all names; each is found by its stem."""
     g = resident(spark, sf_dir)
     return TermIndex.build(g.nodes).matches("rings Small_Widgets")
+
+
+# --- small ones ---
+
+
+@query("""select distinct n.file_path, n.id, n.name, n.kind from nodes n join edges e on e.dst = n.id and e.kind <> 'Contains' join nodes m on m.id = e.src where m.file_path <> n.file_path""")
+def exported_symbols(spark, sf_dir):
+    g = resident(spark, sf_dir)
+    return facade.exported_symbols(g.nodes, g.edges, g.nodes.select("file_path"))
+
+
+@query("""with f as (select distinct l_suppkey as s, l_partkey as f from lineitem), n as (select s, count(*) as fields from f group by s)
+  select l_orderkey as id, l_suppkey as struct, count(distinct l_partkey) as used, any_value(n.fields) as fields, count(distinct l_partkey) / any_value(n.fields) as share from lineitem join n on n.s = l_suppkey group by 1, 2""", graph=False)
+def partial_structs(spark, sf_dir):
+    """Suppliers as structs whose fields are the parts they supply, orders as functions that use some of them."""
+    li = _t(spark, sf_dir, "lineitem")
+    field = F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))
+    fields = li.select(F.col("l_suppkey").cast("string").alias("src"), field.alias("dst"), F.lit("Contains").alias("kind")).distinct()
+    uses = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), field.alias("dst"), F.lit("References").alias("kind"))
+    nodes = fields.select(F.col("dst").alias("id"), F.lit("Field").alias("kind")).union(uses.select("src", F.lit("Function")).distinct())
+    found = facade.partial_structs(nodes, fields.unionByName(uses))
+    return found.select(F.expr("cast(substring(id, 2) as bigint)").alias("id"), F.col("struct").cast("long").alias("struct"), "used", "fields", "share")
+
+
+@query("select lang as language, count(*) as files, sum(n_chars) as nodes, max(doc_id) as last_indexed from documents group by lang", graph=False)
+def languages_indexed(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return facade.languages_of(d.select(F.col("doc_id").alias("path"), F.col("lang").alias("language"), F.col("n_chars").alias("node_count"), F.col("doc_id").alias("indexed_at")))

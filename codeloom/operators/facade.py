@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators import structure, traverse
+from codeloom.operators import paths, structure, traverse
 from codeloom.plans.cut import cut, drop
 from codeloom.plans.graph import CALL_KINDS, PropertyGraph
 
@@ -62,15 +62,13 @@ def type_hierarchy(g: PropertyGraph, seeds: DataFrame) -> DataFrame:
 
 
 def node_context(g: PropertyGraph, seeds: DataFrame) -> DataFrame:
-    """(id, role, other, kind): each seed's containers, children, and references in and out."""
+    """(id, role, other, kind): each seed's containers at any height, children, and references in and out, whatever other seeds there are."""
     inner, rest = g.edges_of_kind("Contains"), g.edges.where("kind <> 'Contains'")
     ids = seeds.select("id").distinct()
     pick = lambda e, own, far, role: e.join(ids, e[own] == ids.id, "left_semi").select(F.col(own).alias("id"), F.lit(role).alias("role"), F.col(far).alias("other"), "kind")
     out = pick(inner, "src", "dst", "child").unionByName(pick(rest, "dst", "src", "incoming")).unionByName(pick(rest, "src", "dst", "outgoing"))
-    chain = relation_layers(g.edges, ids, 64, ("Contains",), back=True) if ids.limit(2).count() == 1 else None
-    if chain is None:  # of several seeds each has its own containers
-        return out.unionByName(pick(inner, "dst", "src", "ancestor"))
-    return out.unionByName(ids.crossJoin(F.broadcast(chain.select(F.lit("ancestor").alias("role"), F.col("id").alias("other"), "kind"))))
+    up = paths.containers(g.edges, ids).select("id", F.lit("ancestor").alias("role"), F.col("container").alias("other"), F.lit("Contains").alias("kind"))
+    return out.unionByName(up)
 
 
 def file_edges(g: PropertyGraph) -> DataFrame:
@@ -81,10 +79,15 @@ def file_edges(g: PropertyGraph) -> DataFrame:
     return e.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
+def folder_of(path: str = "file_path") -> Column:
+    """The folder of a path, '' where it has none."""
+    return F.regexp_replace(F.regexp_extract(path, r"^(.*[/:])?[^/:]*$", 1), r"[/:]$", "")
+
+
 def module_structure(nodes: DataFrame) -> DataFrame:
-    """(folder, files, n): the files of each folder; a file of none is in ''."""
-    folder = F.regexp_replace(F.regexp_extract("file_path", r"^(.*[/:])?[^/:]*$", 1), r"[/:]$", "")
-    return nodes.select("file_path").distinct().withColumn("folder", folder).groupBy("folder").agg(F.sort_array(F.collect_list("file_path")).alias("files"), F.count("*").alias("n"))
+    """(folder, file_path, n): a row for each file, with the number of files of its folder; a file of none is in ''."""
+    files = nodes.select("file_path").distinct().withColumn("folder", folder_of())
+    return files.join(files.groupBy("folder").agg(F.count("*").alias("n")), "folder").select("folder", "file_path", "n")
 
 
 def circular_files(edges: DataFrame) -> DataFrame:
@@ -217,3 +220,39 @@ def page_after(rows: DataFrame, key: str, after, size: int) -> DataFrame:
 def hottest(events: DataFrame, item: str, k: int) -> DataFrame:
     """(item, n): the k most frequent, ties by name."""
     return events.groupBy(item).agg(F.count("*").alias("n")).orderBy(F.desc("n"), item).limit(k)
+
+
+def exported_symbols(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_path, id, name, kind): what files(file_path) show to others: symbols marked exported or public, and those that an edge from another file uses."""
+    own = nodes.join(files.select("file_path").distinct(), "file_path", "left_semi")
+    shown = F.lit(False)
+    if "exported" in nodes.columns:
+        shown = shown | F.coalesce(F.col("exported"), F.lit(False))
+    if "visibility" in nodes.columns:
+        shown = shown | F.coalesce(F.col("visibility") == "Public", F.lit(False))
+    at = nodes.select("id", "file_path")
+    across = edges.where("kind <> 'Contains'").select("src", "dst").join(at.select(F.col("id").alias("src"), F.col("file_path").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("file_path").alias("b")), "dst").where("a <> b")
+    used = own.join(across.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+    return own.where(shown).union(used.select(own.columns)).select("file_path", "id", "name", "kind").distinct()
+
+
+def partial_structs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, struct, used, fields, share): for each function and struct of which it uses some fields, how many, of how many. Fields are contained by structs; any edge to a field uses it."""
+    fields = edges.where("kind = 'Contains'").select(F.col("src").alias("struct"), F.col("dst").alias("field")).join(nodes.where("kind = 'Field'").select(F.col("id").alias("field")), "field", "left_semi").distinct()
+    sizes = fields.groupBy("struct").agg(F.count("*").alias("fields"))
+    own = nodes.where("kind = 'Function'").select(F.col("id").alias("src"))
+    uses = edges.where("kind <> 'Contains'").join(own, "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("field")).distinct()
+    part = uses.join(fields, "field").groupBy("id", "struct").agg(F.count("*").alias("used")).join(sizes, "struct")
+    return part.select("id", "struct", "used", "fields", (F.col("used") / F.col("fields")).alias("share"))
+
+
+def field_projection(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, struct, field): the fields that the functions wanted(id) use of each struct: what of it a context must show."""
+    fields = edges.where("kind = 'Contains'").select(F.col("src").alias("struct"), F.col("dst").alias("field")).join(nodes.where("kind = 'Field'").select(F.col("id").alias("field")), "field", "left_semi")
+    uses = edges.where("kind <> 'Contains'").join(wanted.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("field"))
+    return uses.join(fields, "field").select("id", "struct", "field").distinct()
+
+
+def languages_of(files: DataFrame) -> DataFrame:
+    """(language, files, nodes, last_indexed) of files(path, language, node_count, indexed_at), a language null where it is not known."""
+    return files.groupBy("language").agg(F.count("*").alias("files"), F.coalesce(F.sum("node_count"), F.lit(0)).alias("nodes"), F.max("indexed_at").alias("last_indexed"))

@@ -184,6 +184,13 @@ def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         chain = cut(chain.unionByName(frontier))
 
 
+def containers(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, container, depth): all that contain each seed, at any height, by the shortest way; of several containers all."""
+    up = _links(reversed_edges(edges.where("kind = 'Contains'").select("src", "dst")))
+    trees = _trees(up, seeds.select(F.col("id").alias("source"), "id"), 1 << 30)
+    return trees.where("depth > 0").select(F.col("source").alias("id"), F.col("id").alias("container"), "depth")
+
+
 def redundant_edges(edges: DataFrame) -> DataFrame:
     """(src, dst): edges whose ends another path of two hops or more joins, one that does not return to its start; parallel edges count once.
 

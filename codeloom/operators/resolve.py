@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import dirname, name_parts, normal_path, proximity
+from codeloom.operators import aliases, chains
 from codeloom.plans.cut import cut
 
 #: Directories of a path that count; proximity is capped at 80, 15 each.
@@ -173,15 +174,35 @@ def by_fuzzy(references: DataFrame, symbols: DataFrame) -> DataFrame:
     return met.withColumn("confidence", c).where("confidence is not null").select("ref_id", F.coalesce("id", "any").alias("id"), "confidence", F.lit("fuzzy").alias("how"))
 
 
-def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, typed: DataFrame | None = None) -> DataFrame:
+def by_alias(references: DataFrame, symbols: DataFrame, table: DataFrame) -> DataFrame:
+    """0.9: the name stands for a file by the longest of the aliases of the nearest folder that has any; see aliases.by_alias."""
+    files = symbols.where("s_kind = 'File'").select("id", F.col("s_path").alias("path"))
+    return aliases.by_alias(references.select("ref_id", "path", "name"), files, table).select("ref_id", "id", F.lit(0.9).alias("confidence"), F.lit("alias").alias("how"))
+
+
+def by_chain(references: DataFrame, members: DataFrame, typed: DataFrame, supertypes: DataFrame | None = None) -> DataFrame:
+    """0.85: a chain of calls whose first receiver typed(path, variable, type) tells, each link on what the one before returns; see chains.resolve_chains."""
+    receiver, links = chains.links_of(F.col("name"))
+    asked = references.where(F.col("name").rlike(r"\)\s*(?:\?\.|\.|::|->)")).select("ref_id", "path", receiver.alias("variable"), links.alias("links"))
+    known = asked.join(typed, ["path", "variable"]).groupBy("ref_id").agg(F.min(F.struct("type", "links")).alias("t")).select("ref_id", F.col("t.type").alias("receiver"), "t.links")
+    return chains.resolve_chains(known, members, supertypes).where("id is not null").select("ref_id", "id", F.lit(0.85).alias("confidence"), F.lit("call-chain").alias("how"))
+
+
+def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, typed: DataFrame | None = None, alias_table: DataFrame | None = None, members: DataFrame | None = None, supertypes: DataFrame | None = None) -> DataFrame:
     """(ref_id, id, confidence, how): the first tier that finds a symbol decides; what none finds is left out.
 
+    Aliases come before file paths, chains of calls (with members and typed)
+    before qualified names.
+
     Built-in and external names are best taken out first by prefilter().
     """
     r, s = _shaped(references, symbols)
     r, s = cut(r), cut(s)
     tiers = [lambda x: by_import(x, s, imports)] if imports is not None else []
-    tiers += [lambda x: by_path(x, s), lambda x: by_qualified(x, s), lambda x: by_method(x, s, typed), lambda x: by_exact(x, s), lambda x: by_fuzzy(x, s)]
+    tiers += [lambda x: by_alias(x, s, alias_table)] if alias_table is not None else []
+    tiers += [lambda x: by_path(x, s)]
+    tiers += [lambda x: by_chain(x, members, typed, supertypes)] if members is not None and typed is not None else []
+    tiers += [lambda x: by_qualified(x, s), lambda x: by_method(x, s, typed), lambda x: by_exact(x, s), lambda x: by_fuzzy(x, s)]
     done, rest = None, r
     for tier in tiers:
         found = cut(tier(rest).select(*_OUT))

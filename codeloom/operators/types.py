@@ -10,9 +10,11 @@ from codeloom.plans.graph import CALL_KINDS, TYPE_KINDS, PropertyGraph
 
 
 def trait_hierarchies(g: PropertyGraph) -> DataFrame:
-    """(trait, implementors): the direct implementors of each trait, in order; a trait without any keeps an empty list."""
-    made = g.edges_of_kind("Implements").groupBy(F.col("dst").alias("trait")).agg(F.array_sort(F.collect_set("src")).alias("implementors"))
-    return g.of_kind("Trait").select(F.col("id").alias("trait")).join(made, "trait", "left").select("trait", F.coalesce("implementors", F.array().cast("array<string>")).alias("implementors"))
+    """(trait, implementor, n): a row for each direct implementor of a trait, with their number; a trait without any has one row with null and 0."""
+    made = g.edges_of_kind("Implements").select(F.col("dst").alias("trait"), F.col("src").alias("implementor")).distinct()
+    n = made.groupBy("trait").agg(F.count("*").alias("n"))
+    traits = g.of_kind("Trait").select(F.col("id").alias("trait")).join(n, "trait", "left")
+    return traits.join(made, "trait", "left").select("trait", "implementor", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def possible_types(g: PropertyGraph) -> DataFrame:
@@ -62,17 +64,21 @@ def boundaries(g: PropertyGraph) -> DataFrame:
     return g.of_kind("Function").select("id", "file_path", F.explode(found).alias("b")).select("b.kind", "id", "b.name", "b.method", "file_path")
 
 
-def cascade(g: PropertyGraph, target: str) -> DataFrame:
-    """(file_path, callers): who calls the target, by file, ids in order."""
-    near = g.edges_of_kind(*CALL_KINDS).where(F.col("dst") == target).select(F.col("src").alias("id")).distinct()
-    return g.nodes.select("id", "file_path").join(near, "id", "left_semi").groupBy("file_path").agg(F.array_sort(F.collect_set("id")).alias("callers"))
+def cascade(g: PropertyGraph, targets: DataFrame) -> DataFrame:
+    """(target, file_path, caller, n): who calls each of targets(id), a row for a caller, with the number of callers in its file."""
+    wanted = targets.select(F.col("id").alias("dst")).distinct()
+    near = g.edges_of_kind(*CALL_KINDS).join(wanted, "dst", "left_semi").select(F.col("dst").alias("target"), F.col("src").alias("id")).distinct()
+    rows = g.nodes.select("id", "file_path").join(near, "id").select("target", "file_path", F.col("id").alias("caller"))
+    return rows.join(rows.groupBy("target", "file_path").agg(F.count("*").alias("n")), ["target", "file_path"]).select("target", "file_path", "caller", "n")
 
 
-def arity(g: PropertyGraph, target: str, old: int, new: int) -> DataFrame:
-    """(id, name, compatible, reason) of each direct caller when a signature goes from `old` to `new` parameters."""
-    near = g.edges_of_kind("Calls").where(F.col("dst") == target).select(F.col("src").alias("id")).distinct()
-    reason = F.lit(None if old == new else f"passes {old} args, but new signature expects {new}").cast("string")
-    return g.nodes.select("id", "name").join(near, "id", "left_semi").select("id", "name", F.lit(old == new).alias("compatible"), reason.alias("reason"))
+def arity(g: PropertyGraph, changes: DataFrame) -> DataFrame:
+    """(target, id, name, compatible, reason) of each direct caller of changes(id, old, new), signatures that go from `old` to `new` parameters."""
+    c = changes.select(F.col("id").alias("target"), "old", "new")
+    near = g.edges_of_kind("Calls").select(F.col("dst").alias("target"), F.col("src").alias("id")).distinct().join(c, "target")
+    same = F.col("old") == F.col("new")
+    reason = F.when(~same, F.concat(F.lit("passes "), F.col("old").cast("string"), F.lit(" args, but new signature expects "), F.col("new").cast("string")))
+    return g.nodes.select("id", "name").join(near, "id").select("target", "id", "name", same.alias("compatible"), reason.alias("reason"))
 
 
 def symbol_handles(nodes: DataFrame) -> DataFrame:

@@ -45,6 +45,7 @@ class RangeIndex:
         n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // VALUES_A_FILE))
         kind = rows.schema["id"].dataType.simpleString()
         rows.repartitionByRange(n, "field", "value", "id").sortWithinPartitions("field", "value", "id").write.partitionBy("field").parquet(f"{path}/values")
+        spark.createDataFrame([(kind,)], "value string").coalesce(1).write.text(f"{path}/kind")
         known = spark.read.schema(f"value double, id {kind}, field string").parquet(f"{path}/values")
         name = F.regexp_extract(F.input_file_name(), r"/values/(.*)$", 1)
         known.groupBy("field", name.alias("file")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n")).write.parquet(f"{path}/files")
@@ -63,7 +64,7 @@ class RangeIndex:
         if high is not None:
             meets, inside = meets & (F.col("low") <= high), inside & (F.col("value") <= float(high))
         found = [f"{self.path}/values/{r.file}" for r in self.files().where(meets).select("file").collect()]  # names of files
-        kind = next((f.dataType.simpleString() for f in self.spark.read.parquet(f"{self.path}/values").schema if f.name == "id"), "string")
+        kind = self.spark.read.text(f"{self.path}/kind").first().value
         if not found:
             return self.spark.createDataFrame([], f"id {kind}, value double")
         return self.spark.read.schema(f"value double, id {kind}").parquet(*found).where(inside).select("id", "value")

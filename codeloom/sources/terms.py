@@ -23,7 +23,7 @@ K1, B = 1.2, 0.75
 #: What a name's and a qualified name's words weigh, what words in a row add, and each further word met in the same file, as a share.
 WEIGHTS, PHRASE, TOGETHER = {"name": 10.0, "qualified_name": 5.0}, 8.0, 0.25
 #: Suffixes taken off, in turn; each with the fewest letters that must stay before it.
-_RULES = ((r"^(.{3,})ies$", "$1y"), (r"^(.+(?:ss|x|z|ch|sh))es$", "$1"), (r"^(.{3,}[^su])s$", "$1"), (r"^(.{3,})ment$", "$1"), (r"^(.{3,}[ts])ion$", "$1"), (r"^(.{3,})ing$", "$1"), (r"^(.{2,}[^e])ed$", "$1"), (r"^(.{3,})ers?$", "$1"), (r"^(.{2,}([^aeiouls]))\2$", "$1"), (r"^(.{3,})e$", "$1"))
+_RULES = ((r"^(.{3,})ies$", "$1y"), (r"^(.+(?:ss|x|z|ch|sh))es$", "$1"), (r"^(.{2,}[^su])s$", "$1"), (r"^(.{3,})ment$", "$1"), (r"^(.{3,}[ts])ion$", "$1"), (r"^(.{3,})ing$", "$1"), (r"^(.{2,}[^e])ed$", "$1"), (r"^(.{3,})ers?$", "$1"), (r"^(.{2,}([^aeiouls]))\2$", "$1"), (r"^(.{3,})e$", "$1"))
 
 
 def stem(term: Column) -> Column:
@@ -78,6 +78,10 @@ class TermIndex:
             symbols = symbols.unionByName(removed.select("id", *none, F.lit(batch).alias("batch"), F.lit(True).alias("gone")).join(rows.select("id"), "id", "left_anti"))
         symbols.write.mode("append").parquet(f"{self.path}/symbols")
 
+    def _posted(self) -> DataFrame:
+        kind = self.spark.read.parquet(f"{self.path}/symbols").schema["id"].dataType.simpleString()
+        return self.spark.read.schema(f"id {kind}, field string, length int, position int, term string, stem string, batch int, bucket int").parquet(f"{self.path}/postings")
+
     def update(self, changed: DataFrame, removed: DataFrame | None = None) -> None:
         """New and changed nodes, and ids(id) that are gone, as a batch of their own; a symbol in both is there."""
         batch = self.spark.read.parquet(f"{self.path}/symbols").agg(F.max("batch")).first()[0]
@@ -91,7 +95,7 @@ class TermIndex:
     def postings(self, stems: list[str]) -> DataFrame:
         """(id, stem, field, position, length, file_path) of the stems in symbols as they are now."""
         buckets = [r.b for r in self.spark.createDataFrame([(s,) for s in stems], "s string").select(F.pmod(F.xxhash64("s"), F.lit(BUCKETS)).cast("int").alias("b")).collect()]
-        rows = self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(*buckets) & F.col("stem").isin(*stems))
+        rows = self._posted().where(F.col("bucket").isin(*buckets) & F.col("stem").isin(*stems))
         return rows.join(self.symbols().select("id", "batch", "file_path"), ["id", "batch"]).select("id", "stem", "field", "position", "length", "file_path")
 
     def matches(self, text: str) -> DataFrame:
@@ -124,7 +128,7 @@ class TermIndex:
             return found.select("id", F.lit(0.0).alias("score"))
         n = self.symbols().count()
         rows = self.postings(stems).groupBy("id", "stem", "field", "length").agg(F.count("*").alias("tf"))
-        lengths = self.spark.read.parquet(f"{self.path}/postings").where("position = 0").join(self.symbols().select("id", "batch"), ["id", "batch"], "left_semi")
+        lengths = self._posted().where("position = 0").join(self.symbols().select("id", "batch"), ["id", "batch"], "left_semi")
         mean = {r.field: r.words / max(n, 1) for r in lengths.groupBy("field").agg(F.sum("length").alias("words")).collect()}  # two fields
         df = rows.groupBy("field", "stem").agg(F.count("*").alias("df"))
         typical = F.coalesce(*[F.when(F.col("field") == f, F.lit(max(m, 1e-9))) for f, m in mean.items()], F.lit(1.0))

@@ -187,15 +187,16 @@ def graph(spark, nodes, edges):
 def test_types(spark):
     nodes = [("f", "Function", "f", "f", "a.rs", {"callee_type_args": '{"g": ["int"]}', "http_route": "/x", "http_method": "post"}), ("g", "Function", "g", "g", "b.rs", {"generic_params": '["T"]', "ffi_export": "g"}), ("h", "Function", "h", "h", "b.rs", {"wasm_import_module": "env", "wasm_import_name": "h"}), ("T", "Trait", "T", "T", "t.rs", {}), ("U", "Trait", "U", "U", "t.rs", {}), ("S", "Struct", "S", "S", "t.rs", {}), ("R", "Struct", "R", "R", "t.rs", {})]
     g = graph(spark, nodes, [("f", "g", "Calls"), ("h", "f", "Calls"), ("f", "T", "UsesType"), ("S", "T", "Implements"), ("g", "R", "UsesType")])
-    assert rows(types.trait_hierarchies(g)) == [("T", ["S"]), ("U", [])]
+    assert rows(types.trait_hierarchies(g)) == [("T", "S", 1), ("U", None, 0)]
     got = {(r.id, r.input): set() for r in types.possible_types(g).collect()}
     for r in types.possible_types(g).collect():
         got[r.id, r.input].add(r.type)
     assert got == {("f", False): {"T", "S", "R"}, ("f", True): {"T", "S", "R"}, ("g", True): {"T", "S", "R"}, ("g", False): {"R"}, ("h", False): {"T", "S", "R"}}
     assert rows(types.instantiations(g)) == [("g", "f", ["int"])]
     assert sorted((r.kind, r.id, r.name, r.method) for r in types.boundaries(g).collect()) == [("ffi_export", "g", "g", None), ("http_route", "f", "/x", "POST"), ("wasm_import", "h", "env.h", None)]
-    assert rows(types.cascade(g, "g")) == [("a.rs", ["f"])]
-    assert rows(types.arity(g, "g", 1, 2)) == [("f", "f", False, "passes 1 args, but new signature expects 2")] and types.arity(g, "g", 1, 1).first().compatible
+    assert rows(types.cascade(g, spark.createDataFrame([("g",), ("f",)], "id string"))) == [("f", "b.rs", "h", 1), ("g", "a.rs", "f", 1)]
+    changes = spark.createDataFrame([("g", 1, 2), ("f", 3, 3)], "id string, old int, new int")
+    assert rows(types.arity(g, changes)) == [("f", "h", "h", True, None), ("g", "f", "f", False, "passes 1 args, but new signature expects 2")]
     twice = spark.createDataFrame([("1", "Function", "m::f", "a"), ("2", "Function", "m::f", "b")], "id string, kind string, qualified_name string, file_path string")
     assert rows(types.symbol_handles(twice), "id", "handle") == [("1", "function:m::f"), ("2", "function:m::f#2")]
 

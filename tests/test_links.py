@@ -287,6 +287,7 @@ def test_a_range_reads_few_files(spark, tmp_path):
     every = len(spark.read.parquet(str(tmp_path / "ix" / "values")).inputFiles())
     assert len(index.between("score", 100, 130).inputFiles()) * 3 < every
     assert "PushedFilters: [IsNotNull(value), GreaterThanOrEqual(value,100.0)" in index.between("score", 100, 130)._jdf.queryExecution().executedPlan().toString()
+    assert RangeIndex.build(nodes.limit(0), path=str(tmp_path / "none")).between("score", 0, 9).count() == 0
     g = PropertyGraph(nodes.withColumn("kind", F.lit("Function")).withColumn("name", F.col("id")), spark.createDataFrame([], "src string, dst string, kind string, weight double"))
     for graph in (g, PropertyGraph(g.nodes, g.edges, ranges=index)):
         assert Engine(graph).query('fn("n1") | between score 100 130.5').count() == sum("n1" in r[0] and 100 <= r[1] <= 130.5 for r in rows)
