@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +86,28 @@ def escaped_glob(text: Column) -> Column:
     return F.regexp_replace(text, r"([*?\[\]])", r"[$1]")
 
 
+#: Parts of a pattern for paths and what each stands for; any other character is itself.
+_GLOB = re.compile(r"(?P<folders>\*\*/)|(?P<all>\*\*)|(?P<some>\*)|(?P<one>\?)|\{(?P<either>[^{}]*[^{},][^{}]*)\}|(?P<self>.)", re.S)
+_STANDS = {"folders": "(?:.*/)?", "all": ".*", "some": "[^/]*", "one": "[^/]"}
+
+
+def path_glob(pattern: str) -> str:
+    """A regular expression of a pattern for whole paths: * and ? stop at slashes, ** does not, **/ is any folders or none, {a,b} is either."""
+    out = []
+    for m in _GLOB.finditer(pattern):
+        kind, text = m.lastgroup, m[m.lastgroup]
+        out.append(_STANDS.get(kind) or ("(?:" + "|".join(re.escape(x) for x in text.split(",") if x) + ")" if kind == "either" else re.escape(text)))
+    return "^" + "".join(out) + "$"
+
+
+def matches_glob(path: Column, *patterns: str) -> Column:
+    """Whether a path matches one of the patterns; none of no patterns."""
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | path.rlike(path_glob(p))
+    return F.coalesce(hit, F.lit(False))
+
+
 def dirname(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions import structured, text
 from codeloom.operators import aliases, budget, chains, eventlog, facade, routes
 from codeloom.plans.dsl import Engine
 from codeloom.plans.graph import resident
@@ -173,3 +174,14 @@ def partial_structs(spark, sf_dir):
 def languages_indexed(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     return facade.languages_of(d.select(F.col("doc_id").alias("path"), F.col("lang").alias("language"), F.col("n_chars").alias("node_count"), F.col("doc_id").alias("indexed_at")))
+
+
+@query("""with e as (select event_id, unnest(json_keys(props)) as key, props from events) select event_id, key, json_extract_string(props, '$.' || key) as value from e""", graph=False)
+def json_members(spark, sf_dir):
+    return structured.json_each(_t(spark, sf_dir, "events").select("event_id", "props"), "props").select("event_id", "key", "value")
+
+
+@query(r"""select page_id from (select page_id, regexp_extract(url, '^[A-Za-z]+://([^?#]*)', 1) as path from pages) where regexp_full_match(path, '[^/]*/(?:en|fr)/[^/]*') or regexp_full_match(path, '(?:.*/)?[^/][^/][^/]\.html')""", graph=False)
+def glob_paths(spark, sf_dir):
+    path = F.regexp_extract("url", r"^[A-Za-z]+://([^?#]*)", 1)
+    return _t(spark, sf_dir, "pages").where(text.matches_glob(path, "*/{en,fr}/*", "**/???.html")).select("page_id")

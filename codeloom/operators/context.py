@@ -110,9 +110,11 @@ def build(g: PropertyGraph, task: str, limit: int = 3, depth: int = 1, most: int
 
 def gate_measure(g: PropertyGraph, task: str, **options) -> DataFrame:
     """One row (without_gate, with_gate, saved, abstained): related nodes that the gate kept out."""
-    n = lambda gate: build(g, task, gate=gate, **options).agg(F.count(F.when(F.col("role") == "related", 1)).alias("n")).first().n
-    a, b = n(False), n(True)
-    return g.nodes.sparkSession.createDataFrame([(a, b, max(a - b, 0), b < a or b == 0)], "without_gate long, with_gate long, saved long, abstained boolean")
+    both = [build(g, task, gate=gate, **options).where("role = 'related'").select(F.lit(gate).alias("gate")) for gate in (False, True)]
+    n = lambda gate: F.count(F.when(F.col("gate") == gate, 1))
+    counts = both[0].unionByName(both[1]).agg(n(False).alias("without_gate"), n(True).alias("with_gate"))
+    saved = F.greatest(F.col("without_gate") - F.col("with_gate"), F.lit(0))
+    return counts.select("without_gate", "with_gate", saved.alias("saved"), ((F.col("with_gate") < F.col("without_gate")) | (F.col("with_gate") == 0)).alias("abstained"))
 
 
 def call_paths(g: PropertyGraph, ids: DataFrame, most: int = 6) -> DataFrame:

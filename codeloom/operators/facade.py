@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,6 +187,33 @@ def all_pairs(edges: DataFrame) -> DataFrame:
     raise ValueError("a cycle of negative weight")
 
 
+def distances_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, id, distance): least weights from each of sources(id) to all that it leads to, at 0 itself; a graph of any size, since only what sources reach is kept.
+
+    A round relaxes what changed and writes improvements only. A cycle of
+    negative weight is an error.
+    """
+    edges = cut(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    changed = cut(sources.select(F.col("id").alias("source"), "id").distinct().withColumn("distance", F.lit(0.0)))
+    known, rounds, n = [changed], 0, None
+    best = lambda: functools.reduce(DataFrame.unionByName, known).groupBy("source", "id").agg(F.min("distance").alias("distance"))
+    while True:
+        step = edges.join(changed.withColumnRenamed("id", "src"), "src").groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
+        better = step.join(best(), ["source", "id"], "left").where("distance is null or new < distance")
+        changed = cut(better.select("source", "id", F.col("new").alias("distance")))
+        if not changed.limit(1).count():
+            return best()
+        known.append(changed)
+        rounds += 1
+        if rounds % 8 == 0:
+            whole = cut(best())
+            drop(*known[:-1])
+            known = [whole, changed]
+            n = n or edges.select("src").union(edges.select("dst")).union(sources.select("id")).distinct().count()
+            if rounds >= n:
+                raise ValueError("a cycle of negative weight")
+
+
 def nearest(edges: DataFrame, seed: DataFrame, n: int) -> DataFrame:
     """(id, distance): the n nodes closest to the seeds by weight, themselves not; ties by id."""
     found = traverse.shortest_distances(edges, seed).join(seed.select("id"), "id", "left_anti")

@@ -187,15 +187,50 @@ def components(edges: DataFrame | Snapshot) -> DataFrame:
             return label
 
 
+def _without_starts(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Ids but those that only nodes which nothing leads to lead to. A node that one edge leads to follows it, so a chain of any length goes at once, by doubling."""
+    into = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("only"))
+    base = cut(ids.join(into, "id", "left"))
+    now = cut(base.select("id", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("id")).alias("head")))
+    n, rounds = now.count(), 0
+    while 1 << rounds < n:
+        far = now.select(F.col("id").alias("head"), F.col("head").alias("far"))
+        new = cut(now.join(far, "head").select("id", F.col("far").alias("head"), (F.col("far") != F.col("head")).alias("moved")))
+        drop(now)
+        now, rounds = new, rounds + 1
+        if not new.where("moved").limit(1).count():
+            break
+    starts = base.where("n is null").select(F.col("id").alias("head"))
+    out = cut(now.select("id", "head").join(starts, "head", "left_anti").select("id"))
+    drop(base, now)
+    return out
+
+
+#: Rounds in which ends are peeled off one layer at a time, before chains are looked for.
+PEELED = 3
+
+
 def _on_cycles(links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and ids without the nodes that nothing leads to or that lead to nothing, until there are none."""
-    n = ids.count()
+    n, rounds = ids.count(), 0
+    first = links
     while n:
-        ids = cut(links.select(F.col("src").alias("id")).distinct().join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"))
-        left = ids.count()
+        rounds += 1
+        if rounds <= PEELED:
+            kept = cut(links.select(F.col("src").alias("id")).distinct().join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"))
+        else:
+            half = _without_starts(links, ids)
+            inner = cut(_within(links, half))
+            kept = _without_starts(reversed_edges(inner), half)
+            drop(half, inner)
+        left = kept.count()
+        more = links if left == n else cut(_within(links, kept))
+        if links is not first and more is not links:
+            drop(links)
+        links, ids = more, kept
         if left == n:
             break
-        links, n = cut(_within(links, ids)), left
+        n = left
     return links, ids
 
 
@@ -221,20 +256,23 @@ def strong_components(edges: DataFrame) -> DataFrame:
         done, ids = cut(done.unionByName(alone)), core
         if not ids.limit(1).count():
             return done
-        colour = ids.select("id", F.col("id").alias("c"))
+        colour, past = ids.select("id", F.col("id").alias("c")), []
         while True:
             come = rest.join(colour, rest.src == colour.id).groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("m"))
             new = cut(colour.join(come, "id", "left").select("id", "c", F.greatest("c", F.coalesce("m", "c")).alias("c2")))
-            colour = new.select("id", F.col("c2").alias("c"))
+            drop(*past)
+            colour, past = new.select("id", F.col("c2").alias("c")), [new]
             if not new.where("c <> c2").limit(1).count():
                 break
         a, b = colour.select(F.col("id").alias("src"), F.col("c").alias("ca")), colour.select(F.col("id").alias("dst"), F.col("c").alias("cb"))
         inner = cut(rest.join(a, "src").join(b, "dst").where("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         back = bfs(inner, colour.where("id = c").select("id"))
         found = cut(back.join(colour, "id").select("id", F.col("c").alias("component")))
-        done = cut(done.unionByName(found))
-        ids = cut(ids.join(found, "id", "left_anti"))
-        rest = cut(_within(rest, ids))
+        more = cut(done.unionByName(found))
+        drop(done)
+        done, left = more, cut(ids.join(found, "id", "left_anti"))
+        drop(inner, found, *past)
+        ids, rest = left, cut(_within(rest, left))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame | Snapshot, rounds: int = 50, damping: float = 0.85) -> DataFrame:
@@ -260,19 +298,24 @@ def pagerank(nodes: DataFrame, edges: DataFrame | Snapshot, rounds: int = 50, da
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
-    """(id, level): longest path from a source; nodes on or behind a cycle are missing."""
+    """(id, level): longest path from a source; nodes on or behind a cycle are missing. A round for each level; a round's tables replace those before."""
     rest = cut(edges.select("src", "dst").distinct())
     ids = cut(rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct())
-    done, level = None, 0
+    known, level = None, 0
     while True:
-        free = cut(ids.join(rest.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
-        if not free.limit(1).count():
-            return free.withColumn("level", F.lit(0)) if done is None else done
-        own = free.withColumn("level", F.lit(level))
-        done = own if done is None else done.unionByName(own)
-        ids = cut(ids.join(free, "id", "left_anti"))
-        rest = cut(rest.join(free, rest.src == free.id, "left_anti"))
-        level += 1
+        free = ids.join(rest.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+        own = cut(free.withColumn("level", F.lit(level)))
+        if not own.limit(1).count():
+            drop(ids, rest)
+            return own if known is None else known.all()
+        if known is None:
+            known = _Known(own)
+        else:
+            known.add(own)
+        left = cut(ids.join(own, "id", "left_anti"))
+        more = cut(rest.join(own.select(F.col("id").alias("src")), "src", "left_anti"))
+        drop(ids, rest)
+        ids, rest, level = left, more, level + 1
 
 
 def condensation(edges: DataFrame, parts: DataFrame) -> DataFrame:

@@ -3,24 +3,38 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import matches_glob
+
 #: Directories that hold no sources of a project's own.
 IGNORED = r"(^|/)(node_modules|target|dist|build|\.git|__pycache__|\.venv|vendor)/"
 #: Language of a file by its ending.
 LANGUAGES = {"py": "python", "rs": "rust", "go": "go", "js": "javascript", "ts": "typescript", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "kt": "kotlin", "swift": "swift", "scala": "scala", "sh": "bash", "lua": "lua", "sql": "sql"}
 
 
-def scan_directory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, language, size, content, content_hash) of files whose ending is known, ignored directories left out."""
+def scan_directory(spark: SparkSession, root: str, include: tuple[str, ...] = (), forced: tuple[str, ...] = (), exclude: tuple[str, ...] = (), endings: dict[str, str] | None = None) -> DataFrame:
+    """(path, language, size, content, content_hash) of files whose ending is known, ignored directories left out.
+
+    Patterns are for paths below the root (see text.path_glob): with `include`
+    only what matches is taken, `exclude` is left out, and `forced` is taken
+    though its directory is ignored, but not what is excluded. endings add
+    languages by ending, or say others.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    out = f.where(~F.col("path").rlike(IGNORED)).withColumn("language", F.try_element_at(known, ending)).where("language is not null")
+    known = F.create_map(*[F.lit(x) for kv in (LANGUAGES | (endings or {})).items() for x in kv])
+    inside = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
+    wanted = ~F.col("path").rlike(IGNORED) | matches_glob(inside, *forced)
+    if include:
+        wanted = wanted & (matches_glob(inside, *include) | matches_glob(inside, *forced))
+    wanted = wanted & ~matches_glob(inside, *exclude)
+    out = f.where(wanted).withColumn("language", F.try_element_at(known, ending)).where("language is not null")
     return out.select("path", "language", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"))
 
 

@@ -43,6 +43,20 @@ class GraphStore:
         at = f"{self.folder}/gen-{generation or self.generations()[-1]}"
         return PropertyGraph(self.spark.read.parquet(f"{at}/nodes"), self.spark.read.parquet(f"{at}/edges"))
 
+    def compact(self, files: int = 1) -> int:
+        """The current generation again in `files` sorted files a table, with its metadata, as a new generation; older ones but the last go."""
+        g, meta = self.load(), {r.key: r.value for r in self.metadata().collect()}
+        nodes = g.nodes.repartitionByRange(files, "id").sortWithinPartitions("id")
+        edges = g.edges.repartitionByRange(files, "src", "dst").sortWithinPartitions("src", "dst")
+        now = self.save(PropertyGraph(nodes, edges), meta)
+        for old in self.generations()[:-2]:
+            self._fs.delete(self._new(f"{self.folder}/gen-{old}"), True)
+        return now
+
+    def clear(self) -> None:
+        """Without any generation."""
+        self._fs.delete(self._new(self.folder), True)
+
     def metadata(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/gen-{self.generations()[-1]}/meta")
 
@@ -82,6 +96,14 @@ def stale_files(indexed: DataFrame, found: DataFrame) -> DataFrame:
     return indexed.join(found, "path").where("modified > indexed_at").select("path")
 
 
+def index_state(indexed: DataFrame, found: DataFrame, version: str | None = None, built_by: str | None = None) -> DataFrame:
+    """One row (state, files, changed, last_indexed, rebuild) of indexed(path, content_hash, indexed_at) and found(path, content_hash): none without an index, stale where a file changed, else fresh; rebuild where another version built it."""
+    changes = changed_files(indexed, found).agg(F.count("*").alias("changed"))
+    own = indexed.agg(F.count("*").alias("files"), F.max("indexed_at").alias("last_indexed"))
+    state = F.when(F.col("files") == 0, "none").when(F.col("changed") > 0, "stale").otherwise("fresh")
+    return own.crossJoin(F.broadcast(changes)).select(state.alias("state"), "files", "changed", "last_indexed", F.lit(version != built_by).alias("rebuild"))  # one row each
+
+
 def dot(graph: PropertyGraph) -> DataFrame:
     """(line): the graph in DOT, a line for each node and edge, in order of kind of line and then of id."""
     quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\\\])', r"\\$1"), F.lit('"'))

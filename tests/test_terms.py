@@ -74,3 +74,32 @@ def test_exported_symbols_partial_structs_and_folders(spark):
     assert sorted(map(tuple, facade.partial_structs(n, e).collect())) == [("g", "S", 1, 2, 0.5), ("h", "S", 2, 2, 1.0)]
     assert sorted(map(tuple, facade.field_projection(n, e, spark.createDataFrame([("g",)], "id string")).collect())) == [("g", "S", "S.x")]
     assert sorted(map(tuple, facade.module_structure(n).collect())) == [("", "b", 1), ("d", "d/a", 1)]
+
+
+def test_distances_from_sources(spark):
+    import random
+
+    from codeloom.operators.facade import all_pairs, distances_from
+
+    rng = random.Random(3)
+    e = spark.createDataFrame([(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}", float(rng.randint(1, 9))) for _ in range(25)], "src string, dst string, weight double")
+    every = {(r.a, r.b): r.distance for r in all_pairs(e).collect()}
+    got = {(r.source, r.id): r.distance for r in distances_from(e, spark.createDataFrame([("n1",), ("n4",)], "id string")).collect()}
+    assert got == {k: v for k, v in every.items() if k[0] in ("n1", "n4")}
+    with pytest.raises(ValueError, match="negative"):
+        distances_from(spark.createDataFrame([("a", "b", 1.0), ("b", "a", -2.0)], e.schema), spark.createDataFrame([("a",)], "id string"))
+
+
+def test_a_store_is_compacted_and_cleared(spark, tmp_path):
+    from codeloom.sources.store import GraphStore
+
+    n = nodes(spark, ROWS).repartition(5)
+    e = spark.createDataFrame([("1", "2", "Calls", 1.0)], "src string, dst string, kind string, weight double")
+    store = GraphStore(spark, str(tmp_path / "g"))
+    for _ in range(3):
+        store.save(PropertyGraph(n, e), {"k": "v"})
+    now = store.compact()
+    assert store.generations() == [now - 1, now] and len(store.load().nodes.inputFiles()) == 1
+    assert sorted(r.id for r in store.load().nodes.collect()) == [r[0] for r in ROWS] and store.metadata().first().value == "v"
+    store.clear()
+    assert store.generations() == []
