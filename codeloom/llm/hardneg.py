@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import Batches, freeing, matrix, met, partitions, stash
-from codeloom.llm.topk import FEW_ROWS, quantise
+from codeloom.llm.topk import quantise
 
 #: Numbers (rows times components) of a block of rows, of which a task holds one; anchors met at once; pairs verified at once.
 BLOCK_NUMBERS, ANCHORS, PAIRS = 1 << 20, 256, 1 << 14
 #: Rows met at once: few at first, so that the first scores make bounds, then more.
 FIRST_TILE, LAST_TILE = 64, 2048
+#: A table is dealt to all tasks only while blocks have this many rows.
+FEW_ROWS = 1024
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:

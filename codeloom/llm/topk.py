@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import Batches, freeing, matrix, met, partitions, stash
 
 #: A table is dealt to all tasks only while blocks have this many rows.
-FEW_ROWS = 1024
+FEW_ROWS = 1 << 14
 #: Rows of a block and queries met at once: a task holds one block of each.
-BLOCK_ROWS, BLOCK_QUERIES = 16384, 512
+BLOCK_ROWS, BLOCK_QUERIES = 1 << 16, 512
 #: Quantised components are below this in magnitude, so that the range of an attribute fits 64 bits.
 BOUND = 1 << 62
 
