@@ -72,7 +72,7 @@ def dsl(name: str, text: str, sql: str, *columns: str) -> None:
 
 @query("select kind, count(*) as n from nodes group by kind")
 def graph_kind_counts(spark, sf_dir):
-    return from_tables(spark, sf_dir).kind_counts()
+    return resident(spark, sf_dir).kind_counts()
 
 
 @query("select id, name from nodes where kind = 'Function' and contains(lower(name), 'customer#00000001')")
@@ -90,23 +90,23 @@ def qualified_glob(spark, sf_dir):
   count(*) filter (where e.src = n.id and e.kind = 'Contains') as children
   from nodes n left join (select src as at, * from edges union all select dst, * from edges) e on e.at = n.id group by n.id""")
 def node_metrics(spark, sf_dir):
-    return from_tables(spark, sf_dir).metrics()
+    return resident(spark, sf_dir).metrics()
 
 
 @query("select id from nodes n where kind = 'Function' and not exists (select 1 from edges e where e.dst = n.id and e.kind <> 'Contains')")
 def dead_code(spark, sf_dir):
-    return from_tables(spark, sf_dir).dead("Function").select("id")
+    return resident(spark, sf_dir).dead("Function").select("id")
 
 
 @query("select e.src, e.dst, e.kind, e.weight from edges e join nodes a on a.id = e.src join nodes b on b.id = e.dst where a.score > 5000 and b.score > 5000")
 def induced_edges(spark, sf_dir):
-    g = from_tables(spark, sf_dir)
+    g = resident(spark, sf_dir)
     return g.induced(g.nodes.where("score > 5000").select("id"))
 
 
 @query("select r_name as region, n_name as nation, s_name as handler from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey", graph=False)
 def routing_manifest(spark, sf_dir):
-    g = from_tables(spark, sf_dir)
+    g = resident(spark, sf_dir)
     e = g.edges_of_kind("Contains")
     n = lambda p: g.nodes.select(F.col("id").alias(p + "id"), F.col("kind").alias(p + "kind"), F.col("name").alias(p))
     two = e.select("src", "dst").join(e.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst")
