@@ -3,8 +3,10 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom import facade_queries, flow_queries, link_queries  # noqa: F401  (register their queries)
+from codeloom.operators import channels
 from codeloom.queries import QUERIES
 
 
@@ -29,3 +31,15 @@ def rows(spark, tables, name):
 
 def test_groups_hold_their_members_in_one_text(spark, tables):
     assert rows(spark, tables, "dsl_group_by_file") == [("nation:0", "supplier:0,supplier:2"), ("nation:1", "supplier:1")]
+
+
+def test_division_is_by_classes_of_equal_sets(spark):
+    """3,000 asking sets of three kinds and 50 offering ones of two: members meet by class, never set by set."""
+    asked = spark.range(3000).select(F.col("id").alias("wanted"), F.explode(F.array_compact(F.array(F.lit(1), F.when(F.col("id") % 3 > 0, 2), F.when(F.col("id") % 3 > 1, 3)))).alias("member"))
+    given = spark.range(50).select(F.col("id").alias("owner"), F.explode(F.array_compact(F.array(F.lit(1), F.lit(2), F.when(F.col("id") % 2 > 0, 3)))).alias("member"))
+    _, classes, members = channels._by_members(asked, "wanted")
+    assert (classes.count(), members.count()) == (3, 6)
+    got = channels.fulfilled(asked, given)
+    want = {(o, w) for o in range(50) for w in range(3000) if o != w and (o % 2 or w % 3 < 2)}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
