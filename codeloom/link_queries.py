@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import structured, text
 from codeloom.operators import aliases, budget, chains, eventlog, facade, routes
 from codeloom.plans.dsl import Engine
-from codeloom.plans.graph import resident
+from codeloom.plans.graph import from_tables
 from codeloom.queries import _t, query
 from codeloom.sources.ranges import RangeIndex
 from codeloom.sources.terms import TermIndex
@@ -110,13 +110,13 @@ def call_chains(spark, sf_dir):
 
 @query("select id, cast(score as double) as value from nodes where score between 1000 and 25000")
 def score_range(spark, sf_dir):
-    g = resident(spark, sf_dir)
+    g = from_tables(spark, sf_dir)
     return RangeIndex.build(g.nodes.select("id", "score", "revision")).between("score", 1000, 25000)
 
 
 @query("select id from nodes where kind = 'Function' and score between 1000 and 25000 and revision >= 23960")
 def dsl_between(spark, sf_dir):
-    return Engine(resident(spark, sf_dir)).query('fn("") | between score 1000 25000 | since 23960').select("id")
+    return Engine(from_tables(spark, sf_dir)).query('fn("") | between score 1000 25000 | since 23960').select("id")
 
 
 @query("""with b as (select source as file, doc_id as block, case lang when 'en' then 0 else 1 end as tier, coalesce(text, '') as text, cast(ceil(length(coalesce(text, '')) / 4.0) as bigint) as tokens, length(coalesce(text, '')) % 97 as score from documents),
@@ -144,7 +144,7 @@ def budget_blocks(spark, sf_dir):
   from h join f on f.file_path = h.file_path where hits > 0""")
 def stem_matches(spark, sf_dir):
     """Rings, and small widgets as a compound, among all names; each is found by its stem."""
-    g = resident(spark, sf_dir)
+    g = from_tables(spark, sf_dir)
     return TermIndex.build(g.nodes).matches("rings Small_Widgets")
 
 
@@ -153,7 +153,7 @@ def stem_matches(spark, sf_dir):
 
 @query("""select distinct n.file_path, n.id, n.name, n.kind from nodes n join edges e on e.dst = n.id and e.kind <> 'Contains' join nodes m on m.id = e.src where m.file_path <> n.file_path""")
 def exported_symbols(spark, sf_dir):
-    g = resident(spark, sf_dir)
+    g = from_tables(spark, sf_dir)
     return facade.exported_symbols(g.nodes, g.edges, g.nodes.select("file_path"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom import facade_queries, flow_queries, link_queries  # noqa: F401  (register their queries)
 from codeloom.operators import channels
+from codeloom.plans.snapshot import Snapshot
 from codeloom.queries import QUERIES
 
 
@@ -17,10 +18,10 @@ def tables(spark, tmp_path_factory):
     table = lambda name, schema, rows: spark.createDataFrame(rows, schema).write.parquet(str(path / f"{name}.parquet"))
     table("region", "r_regionkey int, r_name string", [(0, "EAST"), (1, "WEST")])
     table("nation", "n_nationkey int, n_name string, n_regionkey int", [(0, "ONE", 0), (1, "TWO", 1)])
-    table("customer", "c_custkey long, c_name string, c_nationkey int, c_acctbal double", [(k, f"Customer#00000000{k}", k % 2, 4000.0 * k) for k in range(3)])
+    table("customer", "c_custkey long, c_name string, c_nationkey int, c_acctbal double", [(k, f"Customer#00000001{k}", k % 2, 6000.0 * k) for k in range(3)])
     table("supplier", "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(k, f"Supplier#00000000{k}", int(k == 1), 6000.0) for k in range(3)])
     table("part", "p_partkey long, p_name string, p_brand string, p_size int", [(0, "small ring", "A", 3), (1, "large bolt", "B", 4)])
-    table("orders", "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string", [(k, k % 2, datetime(1997, 1 + k, 1), 3000.0 * k, "1") for k in (1, 2, 3, 4)])
+    table("orders", "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string", [(k, k % 2, datetime(1998, 1 + k, 1), 3000.0 * k, "1") for k in (1, 2, 3, 4)])
     table("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double", [(1, 0, 0, 1, 2.0), (1, 0, 0, 2, 3.0), (2, 1, 1, 1, 50.0), (4, 0, 2, 1, 1.0)])
     return str(path)
 
@@ -43,3 +44,13 @@ def test_division_is_by_classes_of_equal_sets(spark):
     want = {(o, w) for o in range(50) for w in range(3000) if o != w and (o % 2 or w % 3 < 2)}
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+@pytest.mark.parametrize(
+    ("name", "n"),
+    [("graph_kind_counts", 4), ("dsl_callers", 6), ("dsl_callees", 4), ("dsl_exists_in_rows", 1), ("dsl_since", 4), ("dsl_sum", 1), ("score_range", 9), ("stem_matches", 1), ("induced_edges", 1), ("routing_manifest", 3), ("bfs_depths", 8), ("pagerank_three_rounds", 16)],
+)
+def test_one_query_builds_no_snapshot(spark, tables, monkeypatch, name, n):
+    """A query that reads the graph once must not pay for adjacency in both directions."""
+    monkeypatch.setattr(Snapshot, "build", lambda *_, **__: pytest.fail("a snapshot was built"))
+    assert len(rows(spark, tables, name)) == n
