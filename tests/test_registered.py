@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import facade_queries, flow_queries, link_queries  # noqa: F401  (register their queries)
-from codeloom.operators import channels
+from codeloom.operators import channels, structure
 from codeloom.plans.snapshot import Snapshot
 from codeloom.queries import QUERIES
 
@@ -54,3 +54,15 @@ def test_one_query_builds_no_snapshot(spark, tables, monkeypatch, name, n):
     """A query that reads the graph once must not pay for adjacency in both directions."""
     monkeypatch.setattr(Snapshot, "build", lambda *_, **__: pytest.fail("a snapshot was built"))
     assert len(rows(spark, tables, name)) == n
+
+
+@pytest.mark.parametrize("length", [3, 15])
+def test_dominators_are_of_what_the_root_leads_to(spark, monkeypatch, length):
+    """A chain from the root, within the bounded search and past it, beside a chain that the root does not lead to."""
+    own, other = [(k, k + 1) for k in range(length)], [(100 + k, 101 + k) for k in range(30)]
+    seen = []
+    plain = structure._spanning_tree
+    monkeypatch.setattr(structure, "_spanning_tree", lambda links, root: seen.append(links.count()) or plain(links, root))
+    got = structure.dominator_tree(spark.createDataFrame(own + other, "src long, dst long"), spark.createDataFrame([(0,)], "id long"))
+    assert {r.id: r.idom for r in got.collect()} == {0: None} | {b: a for a, b in own}
+    assert seen == [length if length < structure.NEAR else len(own + other)]
