@@ -145,7 +145,8 @@ def budget_blocks(spark, sf_dir):
 def stem_matches(spark, sf_dir):
     """Rings, and small widgets as a compound, among all names; each is found by its stem."""
     g = from_tables(spark, sf_dir)
-    return TermIndex.build(g.nodes).matches("rings Small_Widgets")
+    nodes = g.nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # names are spelled out in as many tasks, however few the files
+    return TermIndex.build(nodes).matches("rings Small_Widgets")
 
 
 # --- small ones ---
