@@ -1,6 +1,7 @@
 """Points-to, slices, taint, roles, inside of Python functions, types and resolution on small inputs with known answers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +202,32 @@ def test_types(spark):
     assert rows(types.symbol_handles(twice), "id", "handle") == [("1", "function:m::f"), ("2", "function:m::f#2")]
 
 
+def test_possible_types_agree_with_brute_force(spark):
+    """Cycles, several callers, traits of traits, a trait that a function implements, types without a name; callees of one caller share its set."""
+    rnd = random.Random(4)
+    fs = [f"f{i}" for i in range(24)]
+    kinds = {**{f: "Function" for f in fs}, **{t: "Trait" for t in ("T0", "T1", "T2")}, **{f"S{i}": "Struct" for i in range(6)}}
+    name = lambda x: {"S4": None, "S5": "S3"}.get(x, x)
+    calls = {(rnd.choice(fs[:12]), rnd.choice(fs)) for _ in range(22)}
+    uses = {(rnd.choice(fs), rnd.choice([x for x in kinds if x not in fs])) for _ in range(26)}
+    impl = {("T1", "T0"), ("S0", "T1"), ("S1", "T0"), ("f3", "T2"), ("S4", "T2")}
+    edges = [(a, b, k) for k, pairs in (("Calls", calls), ("UsesType", uses), ("Implements", impl)) for a, b in sorted(pairs)]
+    g = graph(spark, [(x, k, name(x), x, "a", {}) for x, k in kinds.items()], edges * 2)
+    expand = lambda ts: ts | {name(s) for s, t in impl if t in ts}
+    seeds = {f: expand({name(t) for x, t in uses if x == f}) for f in fs}
+    out = {f: set(seeds[f]) for f in fs}
+    for _ in fs:
+        for a, b in calls:
+            out[a] |= out[b]
+    into = {f: expand(seeds[f].union(*(out[a] for a, b in calls if b == f))) for f in fs}
+    want = sorted((str((f, i)), str(t)) for i, sets in ((False, out), (True, into)) for f in fs for t in sets[f])
+    assert sorted((str((r.id, r.input)), str(r.type)) for r in types.possible_types(g).collect()) == want
+    star = graph(spark, [("c", "Function", "c", "c", "a", {})] + [(f"{k[0]}{i}", k, f"{k[0]}{i}", "q", "a", {}) for i in range(30) for k in ("Function", "Struct")], [("c", f"F{i}", "Calls") for i in range(30)] + [(f"F{i}", f"S{i}", "UsesType") for i in range(30)])
+    s = types.type_sets(star)
+    assert s.out.count() == 60 and s.own.count() == s.passed.count() == 0
+    assert sorted((r.id, r.input, r.types) for r in types.possible_type_counts(star).collect()) == sorted([("c", False, 30)] + [(f"F{i}", x, n) for i in range(30) for x, n in ((False, 1), (True, 30))])
+
+
 def test_enriched_calls(spark):
     n = spark.createDataFrame([("a", "m.py", 1, 20), ("b", "m.py", 5, 9)], "id string, file_path string, line int, end_line int")
     g = PropertyGraph(n, spark.createDataFrame([("x", "foo", "UnresolvedCall"), ("x", "bar", "UnresolvedCall")], "src string, dst string, kind string"))
