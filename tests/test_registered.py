@@ -46,6 +46,16 @@ def test_division_is_by_classes_of_equal_sets(spark):
     assert len(rows) == len(want) and set(rows) == want
 
 
+def test_an_owner_meets_a_group_of_asking_sets_as_one_row(spark, monkeypatch):
+    """100 asking sets of one class in groups of about seven: the join is by group, and pairs come of it afterwards."""
+    monkeypatch.setattr(channels, "SETS_A_GROUP", 7)
+    asked, given = spark.range(100).select(F.col("id").alias("wanted"), F.lit(1).alias("member")), spark.range(90, 110).select(F.col("id").alias("owner"), F.lit(1).alias("member"))
+    got = channels.fulfilled(asked, given)
+    assert sorted(tuple(r) for r in got.collect()) == [(o, w) for o in range(90, 110) for w in range(100) if o != w]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(sets") < plan.index("Join Inner")
+
+
 @pytest.mark.parametrize(
     ("name", "n"),
     [("graph_kind_counts", 4), ("dsl_callers", 6), ("dsl_callees", 4), ("dsl_exists_in_rows", 1), ("dsl_since", 4), ("dsl_sum", 1), ("score_range", 9), ("stem_matches", 1), ("induced_edges", 1), ("routing_manifest", 3), ("bfs_depths", 8), ("pagerank_three_rounds", 16)],
