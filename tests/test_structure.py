@@ -50,6 +50,50 @@ def test_cut_nodes_and_bridges(spark, seed):
     assert {(r.a, r.b) for r in structure.bridges(forest).collect()} == lone
 
 
+def parts_by_hand(edges):
+    """The blocks as sets of edges: edges that meet in a node are in one block where the rest of the graph leads from one to the other without that node."""
+    links = {(min(e), max(e)) for e in edges if e[0] != e[1]}
+    both = links | {(b, a) for a, b in links}
+    of = {e: {e} for e in links}
+    for e, f in itertools.combinations(sorted(links), 2):
+        meet = set(e) & set(f)
+        if meet and of[e] is not of[f]:
+            at = meet.pop()
+            if next(iter(set(f) - {at})) in reached(both, next(iter(set(e) - {at})), at):
+                of[e] |= of[f]
+                for x in of[f]:
+                    of[x] = of[e]
+    return sorted({tuple(sorted(b)) for b in of.values()})
+
+
+SHAPES = {
+    "dense": sample(5, 9, 24),
+    "chains between cores": [*itertools.combinations("abcd", 2), ("a", "x1"), ("x1", "x2"), ("x2", "c"), ("d", "y1"), ("y1", "y2"), ("y2", "p"), *itertools.combinations("pqrs", 2), ("q", "t"), ("t", "r")],
+    "rings, trees and twice the same chain": [("h", f"c{i}") for i in range(4)] + [("c0", "r1"), ("r1", "r2"), ("r2", "c0"), ("c1", "l1"), ("l1", "l2"), ("c2", "u"), ("u", "v"), ("c2", "w"), ("w", "v"), ("v", "z"), ("k1", "k2"), ("k2", "k3"), ("k3", "k1"), ("h", "h"), ("c0", "h")],
+    "a strip that only loses its ends": [(f"s{i:02d}", f"s{i + k:02d}") for i in range(12) for k in (1, 2)],
+    "none": [("a", "a")],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_blocks(spark, shape):
+    got = structure.blocks(frame(spark, SHAPES[shape])).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.block, []).append((r.a, r.b))
+    assert sorted(tuple(sorted(b)) for b in found.values()) == parts_by_hand(SHAPES[shape])
+    assert all(r.lone == (len(found[r.block]) == 1) for r in got)
+
+
+def test_rings_and_trees_need_no_search(spark, monkeypatch):
+    """A path of 60 nodes, a ring of 40 and a star are gone in a few rounds, none of which goes from node to node."""
+    monkeypatch.setattr(structure, "bfs_tree", lambda *_, **__: pytest.fail("a search was made"))
+    edges = [(f"p{i}", f"p{i + 1}") for i in range(60)] + [(f"p{i}" if i else "r", f"q{i}") for i in range(9)] + [(f"r{i or ''}", f"r{(i + 1) % 40 or ''}") for i in range(40)]
+    parts = structure.blocks(frame(spark, edges))
+    assert structure.bridges(parts).count() == 69
+    assert parts.where("not lone").agg({"block": "count", "a": "count"}).first()[0] == 40 == parts.where("not lone").groupBy("block").count().first()[1]
+
+
 @pytest.mark.parametrize("seed", [4])
 def test_dominators(spark, seed):
     edges = [("r", "n00"), ("r", "n01"), *sample(seed, 9, 20)]
