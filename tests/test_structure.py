@@ -94,6 +94,14 @@ def test_rings_and_trees_need_no_search(spark, monkeypatch):
     assert parts.where("not lone").agg({"block": "count", "a": "count"}).first()[0] == 40 == parts.where("not lone").groupBy("block").count().first()[1]
 
 
+def test_cut_nodes_of_rings_need_no_search(spark, monkeypatch):
+    """A hub with 12 rings of three to five nodes, one of which has a tail: the hub and the tail's nodes but the last are cut nodes."""
+    monkeypatch.setattr(structure, "bfs_tree", lambda *_, **__: pytest.fail("a search was made"))
+    rings = [("hub", *(f"r{k}_{i}" for i in range(2 + k % 3)), "hub") for k in range(12)]
+    edges = [e for r in rings for e in itertools.pairwise(r)] + [("r0_0", "t0"), ("t0", "t1"), ("t1", "t2")]
+    assert {r.id for r in structure.articulation_points(structure.blocks(frame(spark, edges))).collect()} == {"hub", "r0_0", "t0", "t1"}
+
+
 @pytest.mark.parametrize("seed", [4])
 def test_dominators(spark, seed):
     edges = [("r", "n00"), ("r", "n01"), *sample(seed, 9, 20)]
