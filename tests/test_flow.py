@@ -228,6 +228,19 @@ def test_possible_types_agree_with_brute_force(spark):
     assert sorted((r.id, r.input, r.types) for r in types.possible_type_counts(star).collect()) == sorted([("c", False, 30)] + [(f"F{i}", x, n) for i in range(30) for x, n in ((False, 1), (True, 30))])
 
 
+def test_counts_are_of_the_sets_that_callees_get(spark, monkeypatch):
+    """Types that are taken out of one callee's set only, on their way from the caller, are missing from its count only."""
+    plain, kinds = types._flows, ("Function", "Struct")
+    nodes = [(x, kinds[x[0] == "S"], x, "q", "a", {}) for x in ("c", "f", "g", "S0", "S1", "S2")]
+    star = graph(spark, nodes, [("c", "f", "Calls"), ("c", "g", "Calls"), ("f", "S0", "UsesType"), ("g", "S1", "UsesType"), ("c", "S2", "UsesType")])
+    count = lambda: {(r.id, r.input): r.types for r in types.possible_type_counts(star).collect()}
+    want = {("c", False): 3, ("c", True): 1, ("f", False): 1, ("g", False): 1, ("f", True): 3, ("g", True): 3}
+    assert count() == want
+    some = lambda s: plain(s).join(s.names, "t").where("not (id = 'f' and input and type <> 'S0')").select("id", "input", "t")
+    monkeypatch.setattr(types, "_flows", some)
+    assert count() == {**want, ("f", True): 1}
+
+
 def test_enriched_calls(spark):
     n = spark.createDataFrame([("a", "m.py", 1, 20), ("b", "m.py", 5, 9)], "id string, file_path string, line int, end_line int")
     g = PropertyGraph(n, spark.createDataFrame([("x", "foo", "UnresolvedCall"), ("x", "bar", "UnresolvedCall")], "src string, dst string, kind string"))
